@@ -38,7 +38,7 @@ def sliced_track(spark: SparkSession, sf_dir: str, width: int = TRACK.slice_ms)
 
 # The same track for the oracle.
 TRACK_SQL = f"""t AS (
-  SELECT user_id % 8 AS group_id, user_id AS entity_id, epoch_ms(ts) AS seq, event_id,
+  SELECT user_id % 8 AS group_id, user_id AS entity_id, epoch_us(ts) // 1000 AS seq, event_id,
          event_type AS kind, value AS y,
          CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS DOUBLE) AS x,
          CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS DOUBLE) / 100 * {COURT_W} AS cx,
