@@ -1,6 +1,6 @@
 """Rounding and window arithmetic shared by the operators."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,12 @@ def array_median(a: Column) -> Column:
 
 def count_if(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+
+
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    Plain projections may be merged into every later reference, which repeats costly
+    array and regex work; a generator output never is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
