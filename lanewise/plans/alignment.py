@@ -1 +1,340 @@
-"""Queries."""
+"""Joins: score keys, priors, as-of and range joins, fills, differences."""
+
+
+from pyspark.sql import functions as F
+
+from ..functions.numeric import count_if, r6, ratio
+from ..operators import slices as S
+from ..operators.fold import fold
+from ..operators.quantiles import quantiles
+from ..presets import DAY, HOUR, TRACK
+from ..session import cut_lineage
+from ..sources.tables import TRACK_SQL, sequences, sliced_track, table, track
+from .notation import flip
+from .registry import query
+from .registry import r6 as q6
+from .signals import FLAG_SQL, flag_segments, in_segments, is_hit
+
+P = TRACK
+
+# ---- score-key join: truth points and observed clips of one match (customer) ----
+_TRUTH = {"match_id": "o_custkey", "pt": "o_orderkey", "set1": "o_orderkey % 2", "gm1": "floor(o_orderkey / 2) % 2",
+          "svr": "CAST(1 + floor(o_totalprice / 3) % 2 AS INT)", "pts": "CASE CAST(floor(o_totalprice) % 3 AS INT) WHEN 0 THEN '15-0' WHEN 1 THEN '0-15' ELSE '30-15' END"}
+_P1 = "CASE WHEN svr = 2 THEN split_part(pts, '-', 2) || '-' || split_part(pts, '-', 1) ELSE pts END"
+KEYS_SQL = "tr AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _TRUTH.items()) + f""" FROM orders),
+  k AS (SELECT match_id, pt, match_id || ':' || CAST(set1 AS BIGINT) || ':' || CAST(gm1 AS BIGINT) || ':' || {_P1} AS key FROM tr),
+  ob AS (SELECT match_id, pt AS clip, CASE WHEN pt % 7 = 0 THEN key || '?' ELSE key END AS key FROM k),
+  ag AS (SELECT key, count(*) AS n, min(pt) AS first_pt, max(pt) AS last_pt FROM k GROUP BY 1),
+  mj AS (SELECT ob.match_id, clip, ob.key, coalesce(n, 0) AS n_cands, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'NO MATCH' END AS status,
+     coalesce(first_pt, -1) AS first_pt, coalesce(last_pt, -1) AS last_pt FROM ob LEFT JOIN ag USING (key))"""
+
+
+def truth_keys(spark, sf):
+    t = table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in _TRUTH.items()])
+    key = F.concat_ws(":", F.col("match_id"), F.col("set1").cast("long"), F.col("gm1").cast("long"), flip(F.col("pts"), F.col("svr")))
+    return t.select("match_id", "pt", key.alias("key"))
+
+
+def observed(spark, sf):
+    k = truth_keys(spark, sf)
+    return k.select("match_id", F.col("pt").alias("clip"), F.when(F.col("pt") % 7 == 0, F.concat("key", F.lit("?"))).otherwise(F.col("key")).alias("key"))
+
+
+def key_join(spark, sf):
+    """Candidates are aggregated per key before the join, so an ambiguous key never
+    multiplies rows, however many points and clips share it."""
+    ag = truth_keys(spark, sf).groupBy("key").agg(F.count("*").alias("n"), F.min("pt").alias("first_pt"), F.max("pt").alias("last_pt"))
+    j = observed(spark, sf).join(ag, "key", "left")
+    status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("NO MATCH")
+    none = lambda c, v: F.coalesce(F.col(c), F.lit(v)).cast("long")
+    return j.select("match_id", "clip", "key", none("n", 0).alias("n_cands"), status.alias("status"), none("first_pt", -1).alias("first_pt"), none("last_pt", -1).alias("last_pt"))
+
+
+@query("score_key_join", f"WITH {KEYS_SQL} SELECT * FROM mj")
+def score_key_join(spark, sf):
+    return key_join(spark, sf)
+
+
+@query("order_resolve")
+def order_resolve(spark, sf):
+    """Ambiguous clips take the smallest candidate between their resolved neighbours,
+    left to right. Matched clips bound independent runs, so each run is folded alone;
+    candidates meet only the runs whose bounds contain them (bucketed on pt)."""
+    width = 1 << 14
+    j = S.add_slice(key_join(spark, sf), width, "clip")
+    fixed = F.when(F.col("status") == "matched", F.col("first_pt"))
+    by = dict(keys=("match_id",), order=("clip",))
+    j = S.carry(j, {"lo": fixed}, True, False, **by)
+    j = S.carry(j, {"hi": fixed}, False, False, **by)
+    span = truth_keys(spark, sf).groupBy("match_id").agg((F.min("pt") - 1).alias("_a"), (F.max("pt") + 1).alias("_z"))
+    amb = j.filter("status = 'ambiguous'").join(span, "match_id").select(
+        "match_id", "clip", "key", F.coalesce("lo", "_a").alias("lo"), F.coalesce("hi", "_z").alias("hi"))
+    runs = amb.select("match_id", "key", "lo", "hi").distinct().filter("hi > lo")
+    cands = S.bucket_join(truth_keys(spark, sf), runs, ["key"], "pt", F.col("lo"), F.col("hi"), width,
+                          (F.col("l.pt") > F.col("r.lo")) & (F.col("l.pt") < F.col("r.hi")))
+    cands = cands.select("r.match_id", "r.lo", "r.hi", "r.key", F.lit(0).alias("what"), "l.pt")
+    rows = amb.select("match_id", "lo", "hi", "key", F.lit(1).alias("what"), F.col("clip").alias("pt")).unionByName(cands)
+
+    def step(state, r):
+        if r.what == 0:
+            state.setdefault(r.key, []).append(r.pt)
+            return []
+        last = state.get("", r.lo)
+        pt = next((c for c in state.get(r.key, []) if c > last), None)
+        if pt is None:
+            return [(r.match_id, r.pt, -1, "ambiguous")]
+        state[""] = pt
+        return [(r.match_id, r.pt, pt, "order-resolved")]
+
+    return fold(rows, ["match_id", "lo", "hi"], ["what", "pt"], dict, step, "match_id long, clip long, pt long, status string")
+
+
+@query("monotonic_check", f"""WITH {KEYS_SQL}, m AS (SELECT match_id, clip, first_pt, lag(first_pt) OVER (PARTITION BY match_id ORDER BY (clip * 7919) % 100003, clip) AS p FROM mj WHERE status = 'matched')
+  SELECT match_id, clip, first_pt AS pt, p AS prev_pt FROM m WHERE first_pt < p""")
+def monotonic_check(spark, sf):
+    """Matched points out of order along the reel (here: a scrambled one)."""
+    m = key_join(spark, sf).filter("status = 'matched'").withColumn("reel", (F.col("clip") * 7919) % 100003)
+    m = S.adjacent(S.add_slice(m, 10000, "reel"), ["first_pt"], ("match_id",), ("reel", "clip"))
+    return m.filter(F.col("first_pt") < F.col("prev.first_pt")).select("match_id", "clip", F.col("first_pt").alias("pt"), F.col("prev.first_pt").alias("prev_pt"))
+
+
+@query("dedupe_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity) = 1")
+def dedupe_first(spark, sf):
+    """First row of each key in a total order: a min aggregate, combined map-side."""
+    m = F.min(F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")).alias("m")
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(m).select("l_orderkey", "l_linenumber", "m.l_partkey", "m.l_suppkey", "m.l_quantity")
+
+
+def lcs_udf():
+    import pandas as pd
+
+    @F.pandas_udf("array<array<int>>")
+    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)])
+    return lcs
+
+
+def _lcs(a, b):
+    """Longest monotone matching; ties skip in `a` first."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append([i, j])
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+@query("lcs_align")
+def lcs_align(spark, sf):
+    """Each distinct pair of orderings is aligned once."""
+    pairs = sequences(spark, sf).groupBy("truth", "draft").agg(F.count("*").alias("n"))
+    df = pairs.select("truth", "draft", "n", lcs_udf()("truth", "draft").alias("m"))
+    return df.select(F.array_join("truth", " ").alias("t"), F.array_join("draft", " ").alias("d"), "n", F.size("m").alias("matched"),
+                     F.array_join(F.transform("m", lambda p: F.concat_ws(":", p[0].cast("string"), p[1].cast("string"))), " ").alias("pairs"))
+
+
+_EXPORT = "o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS STRING) ELSE '' END AS pt, CASE WHEN o_orderstatus = 'F' THEN c_mktsegment ELSE '' END AS svr, coalesce(c_name, '') AS clip"
+
+
+@query("left_default_join", f"SELECT {_EXPORT} FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = o_custkey".replace("THEN c_mktsegment", "THEN coalesce(c_mktsegment, '')"))
+def left_default_join(spark, sf):
+    return exported(spark, sf)
+
+
+def exported(spark, sf):
+    c = table(spark, sf, "customer").filter("c_nationkey < 20").select("c_custkey", "c_name", "c_mktsegment")
+    j = table(spark, sf, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return j.select(*[F.expr(e) for e in ["o_orderkey"]], F.expr("CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS STRING) ELSE '' END").alias("pt"),
+                    F.expr("CASE WHEN o_orderstatus = 'F' THEN coalesce(c_mktsegment, '') ELSE '' END").alias("svr"), F.coalesce("c_name", F.lit("")).alias("clip"))
+
+
+@query("export_sort", f"SELECT {_EXPORT.replace('THEN c_mktsegment', 'THEN coalesce(c_mktsegment, {})')} FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = o_custkey ORDER BY try_cast(pt AS BIGINT) NULLS LAST, clip, o_orderkey".replace("{}", "''"))
+def export_sort(spark, sf):
+    return exported(spark, sf).orderBy(F.expr("try_cast(pt AS BIGINT)").asc_nulls_last(), "clip", "o_orderkey")
+
+
+@query("truth_join", "SELECT o_orderkey, l_linenumber, p_brand, o_orderstatus, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'")
+def truth_join(spark, sf):
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    p = table(spark, sf, "part").select("p_partkey", "p_brand")
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+            .select("o_orderkey", "l_linenumber", "p_brand", "o_orderstatus", "l_quantity"))
+
+
+# (region, nation) -> games already played; '*' matches anything. Fixed, eight rows.
+PRIORS = [("1", "1", 9), ("2", "*", 10), ("*", "3", 12), ("2", "7", 13), ("*", "8", 11), ("3", "*", 6), ("3", "13", 8), ("0", "*", 2)]
+_PRIOR_SQL = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {v})" for a, b, v in PRIORS) + ") v(a, b, v))"
+
+
+@query("wildcard_prior_join", f"""WITH {_PRIOR_SQL}, c AS (SELECT c_custkey, CAST(n_regionkey AS VARCHAR) AS a, CAST(n_nationkey AS VARCHAR) AS b FROM customer JOIN nation ON n_nationkey = c_nationkey)
+  SELECT c_custkey, coalesce((SELECT v FROM pr WHERE pr.a = c.a AND pr.b = c.b), (SELECT v FROM pr WHERE pr.a = '*' AND pr.b = c.b), (SELECT v FROM pr WHERE pr.a = c.a AND pr.b = '*'), 0) AS prior FROM c""")
+def wildcard_prior_join(spark, sf):
+    """Exact key, then *,b, then a,*: three lookups in a fixed map, no row is multiplied."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    c = table(spark, sf, "customer").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))     # nation: fixed size
+    prior = F.create_map(*[x for a, b, v in PRIORS for x in (F.lit(f"{a},{b}"), F.lit(v))])
+    at = lambda a, b: F.try_element_at(prior, F.concat_ws(",", a, b))
+    a, b, star = F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.lit("*")
+    return c.select("c_custkey", F.coalesce(at(a, b), at(star, b), at(a, star), F.lit(0)).alias("prior"))
+
+
+REACH = DAY
+
+
+@query("asof_nearest", f"""WITH {TRACK_SQL}, h AS (SELECT *, coalesce(seq - lag(seq) OVER w, 1e15) AS gp, coalesce(lead(seq) OVER w - seq, 1e15) AS gn FROM t WHERE kind = 'purchase' WINDOW w AS (PARTITION BY entity_id ORDER BY seq, event_id)),
+  j AS (SELECT h.entity_id, h.event_id, c.event_id AS near_id, round_even(sqrt(power(h.cx - c.cx, 2) + power(h.cy - c.cy, 2)), 9) AS d, abs(c.seq - h.seq) AS dt, c.seq AS cs FROM h JOIN t c ON c.entity_id = h.entity_id AND c.kind = 'click'
+     AND abs(c.seq - h.seq) <= least({REACH}, gp // 2, gn // 2))
+  SELECT entity_id, event_id, near_id, {q6('d')} AS dist FROM j QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, dt, cs, near_id) = 1""")
+def asof_nearest(spark, sf):
+    """Nearest sample to each hit within reach and half the gap to its neighbours."""
+    hits = S.adjacent(sliced_track(spark, sf).filter(is_hit()), ["seq"])
+    far = F.lit(1 << 50)
+    lim = F.least(F.lit(REACH), F.coalesce(F.floor((F.col("seq") - F.col("prev.seq")) / 2), far), F.coalesce(F.floor((F.col("next.seq") - F.col("seq")) / 2), far))
+    hits = hits.select("entity_id", "event_id", "seq", "cx", "cy", lim.alias("lim"))
+    clicks = track(spark, sf).filter("kind = 'click'").select("entity_id", "event_id", "seq", "cx", "cy")
+    dt = F.abs(F.col("l.seq") - F.col("r.seq"))
+    j = S.bucket_join(clicks, hits, ["entity_id"], "seq", F.col("seq") - F.col("lim"), F.col("seq") + F.col("lim"), REACH, dt <= F.col("r.lim"))
+    d = F.bround(F.sqrt(F.pow(F.col("l.cx") - F.col("r.cx"), 2) + F.pow(F.col("l.cy") - F.col("r.cy"), 2)), 9)
+    best = F.min(F.struct(d.alias("d"), dt.alias("dt"), F.col("l.seq").alias("s"), F.col("l.event_id").alias("id"))).alias("m")
+    return j.groupBy("r.entity_id", "r.event_id").agg(best).select("entity_id", "event_id", F.col("m.id").alias("near_id"), r6(F.col("m.d")).alias("dist"))
+
+
+@query("range_anti", f"""WITH {TRACK_SQL} SELECT entity_id, event_id FROM t WHERE kind = 'click' AND NOT EXISTS (SELECT 1 FROM t p WHERE p.entity_id = t.entity_id AND p.kind = 'purchase' AND abs(p.seq - t.seq) < {6 * HOUR})
+   AND NOT EXISTS (SELECT 1 FROM t s WHERE s.entity_id = t.entity_id AND s.kind = 'signup' AND abs(s.seq - t.seq) <= {3 * HOUR})""")
+def range_anti(spark, sf):
+    """Candidates with no accepted event within min gap and far from every start."""
+    t = track(spark, sf).select("entity_id", "event_id", "seq", "kind")
+
+    def without(cand, other, gap, strict):
+        dt = F.abs(F.col("l.seq") - F.col("r.seq"))
+        return S.bucket_join(cand, other, ["entity_id"], "seq", F.col("seq") - gap, F.col("seq") + gap, gap, dt < gap if strict else dt <= gap, "left_anti")
+
+    left = without(t.filter("kind = 'click'"), t.filter("kind = 'purchase'"), 6 * HOUR, True).drop("_b")
+    return without(left, t.filter("kind = 'signup'"), 3 * HOUR, False).select("entity_id", "event_id")
+
+
+@query("contaminated_anti", f"""WITH {TRACK_SQL} SELECT event_id FROM t WHERE kind = 'view' AND event_id NOT IN (SELECT event_id FROM t WHERE y > 100 UNION SELECT event_id FROM t WHERE x < 10)""")
+def contaminated_anti(spark, sf):
+    t = track(spark, sf)
+    bad = t.filter("y > 100").select("event_id").union(t.filter("x < 10").select("event_id"))
+    return t.filter("kind = 'view'").select("event_id").join(bad, "event_id", "left_anti")
+
+
+STEP, SPAN, TOL = P.second // 200, P.second // 2, P.second // 25
+
+
+@query("grid_search_offset", f"""WITH {TRACK_SQL}, g AS (SELECT i, -{SPAN} + i * {STEP} AS off FROM range(200) r(i)), p AS (SELECT h.group_id, h.event_id, c.seq - h.seq AS dt FROM t h JOIN t c ON c.entity_id = h.entity_id
+      AND h.kind = 'purchase' AND c.kind = 'click' AND abs(c.seq - h.seq) <= {SPAN + TOL}),
+  n AS (SELECT group_id, off, i, count(DISTINCT event_id) AS n FROM p JOIN g ON abs(dt - off) <= {TOL} GROUP BY 1, 2, 3)
+  SELECT group_id, off AS offset_ms, n AS matched FROM n QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, i) = 1""")
+def grid_search_offset(spark, sf):
+    """Offset with most hits that have an onset within tolerance. A pair votes for the few
+    grid cells it satisfies, so the 200 offsets are never crossed with the pairs."""
+    t = track(spark, sf).select("group_id", "entity_id", "event_id", "seq", "kind")
+    reach = SPAN + TOL
+    dt = F.col("l.seq") - F.col("r.seq")
+    j = S.bucket_join(t.filter("kind = 'click'"), t.filter(is_hit()), ["entity_id"], "seq", F.col("seq") - reach, F.col("seq") + reach, reach, F.abs(dt) <= reach)
+    lo = F.greatest(F.ceil((dt - TOL + SPAN) / STEP), F.lit(0)).cast("int")
+    hi = F.least(F.floor((dt + TOL + SPAN) / STEP), F.lit(199)).cast("int")
+    v = j.select("r.group_id", "r.event_id", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+    v = v.select("group_id", "event_id", F.explode(F.sequence("lo", "hi")).alias("i")).distinct()
+    n = v.groupBy("group_id", "i").agg(F.count("*").alias("n"))
+    best = n.groupBy("group_id").agg(F.max(F.struct("n", (-F.col("i")).alias("i"))).alias("m"))
+    return best.select("group_id", (-SPAN - F.col("m.i").cast("long") * STEP).alias("offset_ms"), F.col("m.n").alias("matched"))
+
+
+@query("segment_offset_median", f"""WITH {TRACK_SQL}, {FLAG_SQL} SELECT s.entity_id, s.start_seq, CAST(trunc(median(x - 50)) AS BIGINT) AS dx, CAST(trunc(median(floor(y) - 40)) AS BIGINT) AS dy
+   FROM sg s JOIN t ON t.entity_id = s.entity_id AND t.seq BETWEEN s.start_seq AND s.end_seq GROUP BY 1, 2""")
+def segment_offset_median(spark, sf):
+    """Median shift of the samples inside each segment, truncated toward zero."""
+    d = in_segments(track(spark, sf), cut_lineage(flag_segments(spark, sf))).select("entity_id", F.col("segm.start_seq").alias("start_seq"), (F.col("x") - 50).alias("dx"), (F.floor("y") - 40).alias("dy"))
+    key = ["entity_id", "start_seq"]
+    q = quantiles(d, key, "dx", {"dx": .5}, 10.0).drop("n").join(quantiles(d, key, "dy", {"dy": .5}, 10.0).drop("n"), key)
+    return q.select(*key, F.col("dx").cast("long").alias("dx"), F.col("dy").cast("long").alias("dy"))
+
+
+FILL_TOL, FILL_SCORE, BRIDGE = 4.0, 30.0, 12
+
+
+@query("gated_fill", f"""WITH {TRACK_SQL}, a AS (SELECT entity_id, seq // {HOUR} AS f, arg_min(cx, event_id) AS cx, arg_min(cy, event_id) AS cy FROM t WHERE kind = 'view' GROUP BY 1, 2),
+  b AS (SELECT entity_id, seq // {HOUR} AS f, arg_min(cx, event_id) AS cx, arg_min(cy, event_id) AS cy, arg_min(y, event_id) AS score FROM t WHERE kind = 'click' GROUP BY 1, 2),
+  g AS (SELECT entity_id, f AS f0, lead(f) OVER w AS f1, cx AS x0, cy AS y0, lead(cx) OVER w AS x1, lead(cy) OVER w AS y1 FROM a WINDOW w AS (PARTITION BY entity_id ORDER BY f)),
+  d AS (SELECT b.entity_id, b.f FROM b JOIN g ON g.entity_id = b.entity_id AND b.f > f0 AND b.f < f1 WHERE score >= {FILL_SCORE}
+     AND sqrt(power(x0 + (b.f - f0)::DOUBLE / (f1 - f0) * (x1 - x0) - b.cx, 2) + power(y0 + (b.f - f0)::DOUBLE / (f1 - f0) * (y1 - y0) - b.cy, 2)) <= {FILL_TOL}),
+  i AS (SELECT entity_id, unnest(range(f0 + 1, f1)) AS f FROM g WHERE f1 - f0 <= {BRIDGE})
+  SELECT entity_id, CAST(sum(det) AS BIGINT) AS n_det, CAST(sum(1 - det) AS BIGINT) AS n_int FROM (SELECT entity_id, f, 1 AS det FROM d UNION ALL SELECT entity_id, f, 0 FROM i ANTI JOIN d USING (entity_id, f)) GROUP BY 1""")
+def gated_fill(spark, sf):
+    """Holes take a trusted secondary sample near the interpolated path, else a short bridge."""
+    f = F.floor(F.col("seq") / HOUR).cast("long").alias("f")
+    pick = lambda kind, *cols: track(spark, sf).filter(F.col("kind") == kind).groupBy("entity_id", f).agg(
+        F.min(F.struct("event_id", *cols)).alias("m")).select("entity_id", "f", *[f"m.{c}" for c in cols])
+    by = dict(order=("f", "what"))
+    main = pick("view", "cx", "cy").withColumn("what", F.lit(0))
+    other = pick("click", "cx", "cy", "y").withColumn("what", F.lit(1))
+    both = S.add_slice(main.unionByName(other, allowMissingColumns=True), P.slice_ms // HOUR, "f")
+    anchor = F.when(F.col("what") == 0, F.struct("f", "cx", "cy"))
+    both = S.carry(both, {"a": anchor}, True, False, **by)
+    both = S.carry(both, {"b": anchor}, False, False, **by)
+    t = (F.col("f") - F.col("a.f")) / (F.col("b.f") - F.col("a.f"))
+    path = lambda c: F.col(f"a.{c}") + t * (F.col(f"b.{c}") - F.col(f"a.{c}"))
+    inside = (F.col("what") == 1) & (F.col("f") > F.col("a.f")) & (F.col("f") < F.col("b.f"))
+    near = F.sqrt(F.pow(path("cx") - F.col("cx"), 2) + F.pow(path("cy") - F.col("cy"), 2)) <= FILL_TOL
+    det = both.filter(inside & (F.col("y") >= FILL_SCORE)).filter(near).select("entity_id", "f")
+    gap = F.col("f") - F.col("a.f")
+    bridge = both.filter((F.col("what") == 0) & (gap > 1) & (gap <= BRIDGE)).select("entity_id", F.explode(F.sequence(F.col("a.f") + 1, F.col("f") - 1)).alias("f"))
+    fills = det.withColumn("det", F.lit(1)).unionByName(bridge.join(det, ["entity_id", "f"], "left_anti").withColumn("det", F.lit(0)))
+    return fills.groupBy("entity_id").agg(F.sum("det").alias("n_det"), F.sum(1 - F.col("det")).alias("n_int"))
+
+
+_DIFF = "count(CASE WHEN o_totalprice > 300000 THEN 1 END) AS k, count(*) AS n"
+
+
+@query("snapshot_diff", f"""WITH a AS (SELECT o_orderpriority AS metric, {_DIFF} FROM orders WHERE o_custkey % 2 = 0 AND o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_orderpriority AS metric, {_DIFF} FROM orders WHERE o_custkey % 2 = 1 AND o_orderpriority <> '5-LOW' GROUP BY 1),
+  d AS (SELECT coalesce(a.metric, b.metric) AS metric, coalesce(100.0::DOUBLE * a.k / a.n, 0) AS pa, coalesce(100.0::DOUBLE * b.k / b.n, 0) AS pb FROM a FULL JOIN b ON a.metric = b.metric)
+  SELECT metric, {q6('pa')} AS pa, {q6('pb')} AS pb, CASE WHEN abs(pb - pa) < 0.5 THEN 'flat' WHEN pb > pa THEN 'up' ELSE 'down' END AS arrow FROM d""")
+def snapshot_diff(spark, sf):
+    o = table(spark, sf, "orders")
+    snap = lambda cond, p: o.filter(cond).groupBy(F.col("o_orderpriority").alias("metric")).agg(
+        (100.0 * ratio(count_if(F.col("o_totalprice") > 300000), F.count("*"))).alias(p))
+    d = snap("o_custkey % 2 = 0 AND o_orderstatus <> 'P'", "pa").join(snap("o_custkey % 2 = 1 AND o_orderpriority <> '5-LOW'", "pb"), "metric", "full_outer").fillna(0.0)
+    arrow = F.when(F.abs(F.col("pb") - F.col("pa")) < 0.5, "flat").when(F.col("pb") > F.col("pa"), "up").otherwise("down")
+    return d.select("metric", r6(F.col("pa")).alias("pa"), r6(F.col("pb")).alias("pb"), arrow.alias("arrow"))
+
+
+@query("missing_from_published", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def missing_from_published(spark, sf):
+    done = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
+
+
+# ---- set operations ----
+@query("union_all_groups", f"WITH {TRACK_SQL} SELECT 'hit' AS src, entity_id, seq FROM t WHERE kind = 'purchase' UNION ALL SELECT 'bounce', entity_id, seq FROM t WHERE kind = 'view'")
+def union_all_groups(spark, sf):
+    t = track(spark, sf)
+    one = lambda src, kind: t.filter(F.col("kind") == kind).select(F.lit(src).alias("src"), "entity_id", "seq")
+    return one("hit", "purchase").unionByName(one("bounce", "view"))
+
+
+@query("union_distinct", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
+def union_distinct(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.filter("o_orderstatus = 'F'").select("o_custkey").union(o.filter("o_totalprice > 400000").select("o_custkey")).distinct()
+
+
+@query("except_ids", "SELECT c_nationkey AS id FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 2000")
+def except_ids(spark, sf):
+    s = table(spark, sf, "supplier").filter("s_acctbal > 2000").select(F.col("s_nationkey").alias("id"))
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("id")).subtract(s)
+
+
+
