@@ -79,7 +79,7 @@ def cusps(df: DataFrame, p: Track, near: float, far: float, far_y: float) -> Dat
         F.transform(F.sequence(i - 2, i + 2), lambda j: F.struct(
             _mean3(a, j, "y").alias("ys"), F.get(a, j)["seq"].alias("seq"))).alias("_s")))
     df = df.filter("_ok").select("*", F.inline(F.transform(F.array("_s"), lambda s: F.struct(
-        F.get(s, F.lit(2))["ys"].alias("ys"), _slope_at(s, F.lit(1), "ys", 3_600_000).alias("_v0"),
+        F.get(s, F.lit(2))["ys"].alias("ys"), (F.get(s, F.lit(3))["seq"] - F.get(s, F.lit(1))["seq"]).alias("straddle"), _slope_at(s, F.lit(1), "ys", 3_600_000).alias("_v0"),
         _slope_at(s, F.lit(3), "ys", 3_600_000).alias("_v1")))))
     df = df.withColumn("swing", F.col("_v0") - F.col("_v1"))
     need = F.when(F.col("ys") >= far_y, near).otherwise(far)
@@ -189,7 +189,7 @@ def longest_chain(chained: DataFrame) -> DataFrame:
 
 def long_partitions(chain: DataFrame, first_seen: DataFrame, p: Track) -> DataFrame:
     """Over-long gaps inside a chain, and the stretch before its first crossing."""
-    df = S.adjacent(chain.drop("chain"), ["start_seq"], **BY_START)
+    df = S.adjacent(S.add_slice(chain, p.slice_ms, "start_seq"), ["start_seq"], **BY_START)
     inner = (df.filter(F.col("next.start_seq") - F.col("end_seq") > p.long_gap)
              .select("group_id", "entity_id", F.col("end_seq").alias("p0"), F.col("next.start_seq").alias("p1")))
     head = chain.groupBy("group_id", "entity_id").agg(F.min("start_seq").alias("p1"))

@@ -1 +1,173 @@
-"""Queries."""
+"""Stateful folds over ordered logs, in batch and as streams."""
+
+from pyspark.sql import functions as F
+
+from ..functions import notation as N
+from ..functions.numeric import count_if, r6
+from ..operators import slices as S
+from ..operators.fold import fold
+from ..operators.machines import Gate, Plateau, Replay
+from ..operators.score import MatchScore
+from ..operators.signal import BY_START
+from ..presets import DAY, HOUR, TRACK
+from ..session import cut_lineage
+from ..sources.tables import TRACK_SQL, millis, sliced_track, track, with_piece
+from ..streaming.state import events_stream, run_available, stream_fold
+from .notation import points
+from .registry import query
+from .signals import W_SQL, flag_segments
+
+P = TRACK
+MATCH = 30 * DAY            # a match is one entity in one calendar window, so its size is bounded
+IDLE = 24 * HOUR
+LEVELS = Plateau(change=20.0, confirm=2, settle=3, close=P.absent_close)
+
+
+# ---- active time ----
+@query("active_time", f"""WITH {TRACK_SQL}, a AS (SELECT *, lag(seq) OVER w AS p, last_value(CASE WHEN kind = 'signup' THEN CAST(x % 5 AS BIGINT) WHEN kind = 'purchase' THEN -1 END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_,
+     coalesce(last_value(CASE WHEN kind = 'view' THEN 1 WHEN kind = 'click' THEN 0 END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS paused FROM t {W_SQL}),
+   g AS (SELECT entity_id, open_ AS row_, seq - p AS gap FROM a WHERE open_ >= 0 AND paused = 0 AND p IS NOT NULL UNION ALL SELECT entity_id, CAST(x % 5 AS BIGINT), 0 FROM t WHERE kind = 'signup')
+   SELECT entity_id, row_, CAST(sum(CASE WHEN gap <= {IDLE} THEN gap ELSE 0 END) AS BIGINT) AS active_ms, count(CASE WHEN gap > {IDLE} THEN 1 END) AS holes, CAST(sum(CASE WHEN gap > {IDLE} THEN gap ELSE 0 END) AS BIGINT) AS hole_ms FROM g GROUP BY 1, 2""")
+def active_time(spark, sf):
+    return active(sliced_track(spark, sf).withColumn("row_", (F.col("x") % 5).cast("long")))
+
+
+def active(df):
+    """Active time per row: gaps while a row is open and not paused; longer gaps are holes.
+
+    kinds: signup opens a row, purchase closes it, view pauses, click resumes."""
+    k = lambda n: F.col("kind") == n
+    df = S.carry(df, {"open_": F.when(k("signup"), F.col("row_")).when(k("purchase"), F.lit(-1)),
+                      "paused": F.when(k("view"), 1).when(k("click"), 0), "p": F.col("seq")}, True, False)
+    live = (F.col("open_") >= 0) & (F.coalesce("paused", F.lit(0)) == 0) & F.col("p").isNotNull()
+    own = F.struct(F.col("row_").alias("r"), F.lit(0).cast("long").alias("gap"))
+    past = F.struct(F.col("open_").alias("r"), (F.col("seq") - F.col("p")).alias("gap"))
+    parts = F.array_compact(F.array(F.when(live, past), F.when(k("signup"), own)))
+    g = df.select("entity_id", F.inline(parts))
+    idle = F.col("gap") > IDLE
+    return g.groupBy("entity_id", F.col("r").alias("row_")).agg(
+        F.sum(F.when(~idle, F.col("gap")).otherwise(0)).alias("active_ms"), count_if(idle).alias("holes"), F.sum(F.when(idle, F.col("gap")).otherwise(0)).alias("hole_ms"))
+
+
+# ---- score replay ----
+def matches(spark, sf):
+    t = track(spark, sf)
+    return t.select("entity_id", F.floor(F.col("seq") / MATCH).alias("match"), "seq", "event_id", (1 + F.col("event_id") % 2).cast("int").alias("winner"))
+
+
+def replay(df, machine=Replay()):
+    return fold(df, ["entity_id", "match"], ["seq", "event_id"], machine.new, machine.step, machine.schema)
+
+
+@query("score_replay")
+def score_replay(spark, sf):
+    """Score context before every point of every match."""
+    return replay(matches(spark, sf))
+
+
+@query("replay_after_edit")
+def replay_after_edit(spark, sf):
+    """Flips the winner of some points and rescores only the matches they belong to;
+    every later point whose context moved is reported."""
+    m = matches(spark, sf)
+    edited = (F.col("event_id") % 50 == 0)
+    touched = m.filter(edited).select("entity_id", "match").distinct()
+    affected = cut_lineage(m.join(touched, ["entity_id", "match"], "left_semi"))
+    old = replay(affected).select("event_id", F.struct("set1", "set2", "gm1", "gm2", "pts", "svr").alias("o"))
+    new = replay(affected.withColumn("winner", F.when(edited, 3 - F.col("winner")).otherwise(F.col("winner"))))
+    j = new.join(old, "event_id").filter(F.struct("set1", "set2", "gm1", "gm2", "pts", "svr") != F.col("o"))
+    return j.select("entity_id", "match", "event_id", F.col("o.pts").alias("old_pts"), F.col("pts").alias("new_pts"), "set1", "set2", "gm1", "gm2", "svr")
+
+
+@query("winner_conflicts")
+def winner_conflicts(spark, sf):
+    """Points whose string contradicts the attested winner under the replayed server;
+    a match with one may not be exported."""
+    rel = F.coalesce(N.winner(F.col("first_"), F.col("second_")), F.lit(0))
+    df = points(spark, sf).withColumn("rel", rel).select("match_id", "pt", "part", "supp", "attested", "flags", "rel")
+    df = with_piece(df, "match_id", sf + "#points", ["pt", "part", "supp"])
+
+    def step(state, r):
+        if not state:
+            state.append(MatchScore())
+        svr = state[0].server
+        derived = 0 if r.rel == 0 else svr if r.rel == 1 else 3 - svr
+        w = r.attested or derived
+        if not w:
+            return [(r.match_id, r.pt, "underivable", False)]
+        state[0].play(int(w))
+        return [(r.match_id, r.pt, "ok", bool(derived and r.flags != "unseen" and derived != w))]
+
+    out = fold(df, ["match_id", "piece"], ["pt", "part", "supp"], list, step, "match_id long, pt int, status string, conflict boolean")
+    g = out.groupBy("match_id").agg(F.count("*").alias("points"), count_if(F.col("conflict")).alias("conflicts"), count_if(F.col("status") == "underivable").alias("underivable"))
+    return g.withColumn("exportable", (F.col("conflicts") == 0) & (F.col("underivable") == 0))
+
+
+# ---- plateaus ----
+def level_rows(df):
+    """Level, presence and the part of the track: a long absence ends every state."""
+    df = df.withColumn("present", F.col("kind") != "error")
+    df = S.carry(df, {"seen": F.when(F.col("present"), F.col("seq"))}, True, False)
+    return S.islands(df, F.col("present") & F.coalesce(F.col("seq") - F.col("seen") > P.absent_close, F.lit(False)), "part").select(
+        "entity_id", "part", "seq", "event_id", F.col("cx").alias("level"), "present")
+
+
+def plateaus(spark, sf):
+    df = level_rows(sliced_track(spark, sf).withColumn("cx", F.floor(F.col("x") / 25) * 25))
+    out = fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS.new, LEVELS.step, LEVELS.schema,
+               lambda st: [])
+    n = out.groupBy("entity_id", "part").agg(F.greatest(F.max("plateau") + 1, F.lit(0)).alias("n"))
+    n = S.running_sum(S.add_slice(n, 1024, "part"), {"cum": F.col("n")}, ("entity_id",), ("part",))
+    out = out.join(n.select("entity_id", "part", (F.col("cum") - F.col("n")).alias("base")), ["entity_id", "part"])
+    return out.select("entity_id", "event_id", F.when(F.col("plateau") >= 0, F.col("plateau") + F.col("base")).otherwise(-1).cast("long").alias("plateau"))
+
+
+@query("plateau_label")
+def plateau_label(spark, sf):
+    return plateaus(spark, sf)
+
+
+@query("plateau_online")
+def plateau_online(spark, sf):
+    """The same machine fed by a file stream; ids restart per entity, not per part."""
+    ev = events_stream(spark, sf, "events*.parquet")
+    k = F.floor(F.regexp_extract("props", r'"k": *(\d+)', 1).cast("double") / 25) * 25
+    df = ev.select(F.col("user_id").alias("entity_id"), F.lit(0).cast("long").alias("part"), millis("ts").alias("seq"), "event_id", k.alias("level"), (F.col("event_type") != "error").alias("present"))
+    return run_available(stream_fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS), "plateau")
+
+
+@query("segment_split_merge")
+def segment_split_merge(spark, sf):
+    """Segments cut at plateau handovers, slivers dropped, neighbours of one plateau merged."""
+    segs = cut_lineage(flag_segments(spark, sf).select("entity_id", "seg", "start_seq", "end_seq"))
+    lab = plateaus(spark, sf).join(track(spark, sf).select("event_id", "seq"), "event_id").filter("plateau >= 0")
+    from .signals import in_segments
+    inside = in_segments(lab.withColumn("slice", F.lit(0)), segs).select("entity_id", F.col("segm.start_seq").alias("a"), F.col("segm.end_seq").alias("b"), "plateau", "seq", "event_id")
+    # runs of one plateau inside a segment
+    runs = inside.groupBy("entity_id", "a", "b", "plateau").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
+    runs = cut_lineage(runs.filter("n >= 2"))
+    r = S.adjacent(S.add_slice(runs, P.slice_ms, "start_seq"), ["start_seq", "end_seq", "a"], **BY_START)
+    same = lambda side: F.col(f"{side}.a") == F.col("a")
+    cut = lambda x, y: F.floor((x + y) / 2)
+    p0 = F.when(same("prev"), cut(F.col("prev.end_seq"), F.col("start_seq")) + 1).otherwise(F.col("a"))
+    p1 = F.when(same("next"), cut(F.col("end_seq"), F.col("next.start_seq"))).otherwise(F.col("b"))
+    pieces = r.withColumn("p0", p0).withColumn("p1", p1).withColumn("split", F.coalesce(same("prev"), F.lit(False)) | F.coalesce(same("next"), F.lit(False)))
+    pieces = pieces.filter(F.col("p1") - F.col("p0") >= P.min_run).select("entity_id", "plateau", F.col("p0").alias("start_seq"), F.col("p1").alias("end_seq"), "split")
+    m = S.adjacent(S.add_slice(pieces, P.slice_ms, "start_seq"), ["plateau", "end_seq"], **BY_START)
+    new = F.col("prev").isNull() | (F.col("prev.plateau") != F.col("plateau")) | (F.col("start_seq") - F.col("prev.end_seq") > 12 * P.second)
+    m = S.islands(m, new, "piece", **BY_START)
+    g = m.groupBy("entity_id", "piece").agg(F.max("plateau").alias("plateau"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.count("*").alias("parts"), F.max("split").alias("split"))
+    return g.withColumn("action", F.when(F.col("parts") > 1, "merged").when(F.col("split"), "split").otherwise("keep")).drop("split")
+
+
+# ---- gated tracking ----
+@query("gap_tracker")
+def gap_tracker(spark, sf):
+    """Best detection per frame near the last one. Two frames in a row without a usable
+    detection reset the gate, so a track is cut wherever a frame has none at all."""
+    df = sliced_track(spark, sf).withColumn("frame", F.floor(F.col("seq") / (4 * HOUR)))
+    df = S.adjacent(df, ["frame"])
+    df = S.islands(df, F.coalesce(F.col("frame") - F.col("prev.frame") > 1, F.lit(False)), "cluster")
+    g = Gate(6.0)
+    out = fold(df.select("entity_id", "cluster", "seq", "event_id", "frame", "cx", "cy", F.col("y").alias("score")), ["entity_id", "cluster"], ["seq", "event_id"], g.new, g.step, g.schema, g.finish)
+    return out.select("entity_id", "event_id", "frame", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
