@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import slices as S
 
 
@@ -18,6 +19,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     """
     c = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q"))
          .agg(F.count("*").alias("_c")))
+    c = cut_lineage(c)          # counts per distinct value, used three times below
     tot = c.groupBy(*keys).agg(F.sum("_c").alias("n"))
     c = S.running_sum(S.add_slice(c, width, "_q"), {"_cum": F.col("_c")}, keys, ("_q",))
     c = c.join(tot, list(keys))

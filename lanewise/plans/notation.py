@@ -6,7 +6,7 @@ from ..functions import notation as N
 from ..functions.numeric import once, r6
 from ..presets import (COURT_W, DEPTHS, DIRECTIONS, ERROR_LETTERS, FAULT_LETTERS, FOREHAND, BACKHAND, OTHER_MARKS,
                        POINT_SCORES, SCORE_REPAIR, SHOT_LETTERS, SHOTS, SINGLES_MARGIN, CENTER_X)
-from ..sources.tables import (SEQUENCE_SQL, TRACK_SQL, order_lines, sequences, table, track)
+from ..sources.tables import (SEQUENCE_SQL, TRACK_SQL, order_lines, sequences, spread_scan, table, track)
 from .registry import query
 from .registry import r6 as q6
 
@@ -44,7 +44,8 @@ POINTS_SQL = f"pts0 AS ({_LINES}), pts AS (SELECT *, CASE WHEN trim(second_) <>
 
 def points(spark, sf):
     """match_id, pt, part, supp, first_, second_, svr, attested, flags, played."""
-    df = table(spark, sf, "lineitem").select(*[F.expr(e).alias(n) for n, e in POINT_COLUMNS.items()])
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"]
+    df = spread_scan(table(spark, sf, "lineitem").select(*cols)).select(*[F.expr(e).alias(n) for n, e in POINT_COLUMNS.items()])
     return df.withColumn("played", N.played(F.col("first_"), F.col("second_")))
 
 
@@ -171,7 +172,7 @@ def token_edit_distance(spark, sf):
 
 
 def adjacent_turns(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("x"))
+    c = spread_scan(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.split("text", " ").alias("x"))
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
     return c.join(n, ["conv_id", "turn"])
 

@@ -114,8 +114,7 @@ def level_rows(df):
 
 def plateaus(spark, sf):
     df = level_rows(sliced_track(spark, sf).withColumn("cx", F.floor(F.col("x") / 25) * 25))
-    out = fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS.new, LEVELS.step, LEVELS.schema,
-               lambda st: [])
+    out = fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS.new, LEVELS.step, LEVELS.schema, LEVELS.finish)
     n = out.groupBy("entity_id", "part").agg(F.greatest(F.max("plateau") + 1, F.lit(0)).alias("n"))
     n = S.running_sum(S.add_slice(n, 1024, "part"), {"cum": F.col("n")}, ("entity_id",), ("part",))
     out = out.join(n.select("entity_id", "part", (F.col("cum") - F.col("n")).alias("base")), ["entity_id", "part"])

@@ -10,7 +10,7 @@ from ..operators import slices as S
 
 from ..presets import MIN_FLAGS, PRECISION_TARGET
 from ..session import cut_lineage
-from ..sources.tables import sequences, table
+from ..sources.tables import sequences, spread_scan, table
 from .aggregates import pooled, sums
 from .grading import GRADED_SQL, graded, split_of
 from .registry import query
@@ -31,7 +31,7 @@ TRIAGE_SQL = f"""d0 AS (SELECT d.doc_id, source, text, quality AS good, toxic, s
 
 def docs(spark, sf):
     """One row per labelled document: group, label and whole-text features."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text").join(table(spark, sf, "labels"), "doc_id")
+    d = spread_scan(table(spark, sf, "documents").select("doc_id", "source", "text")).join(table(spark, sf, "labels"), "doc_id")
     n = F.greatest(F.length("text"), F.lit(1)).cast("double")
     kept = lambda c: F.length(F.regexp_replace("text", f"[^{c}]", "")) / n
     lines = F.split("text", "\n")
@@ -81,7 +81,7 @@ def fold_stats(df):
        f"SELECT doc_id, {', '.join(q6(f'({f} - mu_{f}) / sd_{f}', 4) + f' AS {f}' for f in FEATURES)} FROM d JOIN m USING (group_id)")
 def standardize(spark, sf):
     """Held-out rows on the scale of their training groups."""
-    df = docs(spark, sf)
+    df = cut_lineage(docs(spark, sf))
     z = df.join(F.broadcast(fold_stats(df)), "group_id")       # one row per fold
     return z.select("doc_id", *[r6((F.col(f) - F.col(f"mu_{f}")) / F.col(f"sd_{f}"), 4).alias(f) for f in FEATURES])
 
@@ -130,7 +130,7 @@ def precision_threshold(df, target: float = PRECISION_TARGET, min_flags: int = M
 @query("running_precision_threshold", f"""WITH {SCORED_SQL}, f AS (SELECT DISTINCT group_id AS fold FROM fl), r AS (SELECT fold, p, count(*) OVER w AS n, sum(good) OVER w AS g FROM f JOIN fl ON fl.group_id <> f.fold
      WINDOW w AS (PARTITION BY fold ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT fold, {q6(f'coalesce(min(CASE WHEN n >= {MIN_FLAGS} AND g::DOUBLE / n >= {PRECISION_TARGET} THEN p END), 9)')} AS t_high FROM r GROUP BY 1""")
 def running_precision_threshold(spark, sf):
-    s = scored(spark, sf).select("group_id", "doc_id", "good", "p")
+    s = cut_lineage(scored(spark, sf).select("group_id", "doc_id", "good", "p"))
     folds = F.array(*[F.lit(i).cast("long") for i in range(FOLDS)])
     rows = s.select("doc_id", "good", "p", F.explode(F.array_remove(folds, F.col("group_id"))).alias("fold"))
     held = s.select(F.col("group_id").alias("fold")).distinct()
@@ -211,6 +211,7 @@ def gate_autopsy(spark, sf):
 def coverage_curve(spark, sf):
     """Accuracy of the most confident shares; ranks are prefix sums over confidence slices."""
     df = scored(spark, sf).select("doc_id", F.greatest(F.col("p"), 1 - F.col("p")).alias("conf"), ((F.col("p") >= 0.5) == (F.col("good") == 1)).alias("ok"))
+    df = cut_lineage(df)        # four narrow columns; the text features are computed once
     df = S.add_slice(df.withColumn("one", F.lit(0)).withColumn("_r", -F.col("conf")), 0.001, "_r")
     df = S.running_sum(df, {"rk": F.lit(1)}, ("one",), ("_r", "doc_id"))
     n = df.agg(F.count("*").alias("n_all"))

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Gives per-row heavy work all cores when the scan has fewer splits than cores.
+
+    A large table has far more splits than that and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def millis(ts) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
