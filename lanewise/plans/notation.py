@@ -6,7 +6,7 @@ from ..functions import notation as N
 from ..functions.numeric import once, r6
 from ..presets import (COURT_W, DEPTHS, DIRECTIONS, ERROR_LETTERS, FAULT_LETTERS, FOREHAND, BACKHAND, OTHER_MARKS,
                        POINT_SCORES, SCORE_REPAIR, SHOT_LETTERS, SHOTS, SINGLES_MARGIN, CENTER_X)
-from ..sources.tables import (SEQUENCE_SQL, TRACK_SQL, order_lines, sequences, spread_scan, table, track)
+from ..sources.tables import (PIECE_SQL, SEQUENCE_SQL, TRACK_SQL, order_lines, sequences, spread_scan, table, track)
 from .registry import query
 from .registry import r6 as q6
 
@@ -236,10 +236,10 @@ def append_validated(spark, sf):
     return points(spark, sf).select(*KEY, ok.alias("accepted")).withColumn("reason", F.when(F.col("accepted"), "").otherwise("winner required"))
 
 
-@query("tokenize_chart_rows", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus AS token,
+@query("tokenize_chart_rows", f"WITH {PIECE_SQL}" + """, r AS (SELECT l_orderkey, piece, l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus AS token,
     CASE WHEN l_linenumber = 1 THEN 's' || CASE WHEN l_suppkey % 7 IN (4, 5, 6) THEN CAST(l_suppkey % 7 AS VARCHAR) ELSE '?' END
-     ELSE CASE l_returnflag WHEN 'A' THEN 'f' WHEN 'N' THEN 'b' ELSE '?' END || CASE WHEN l_suppkey % 5 IN (1, 2, 3) THEN CAST(l_suppkey % 5 AS VARCHAR) ELSE '?' END END AS tok FROM lineitem),
-  g AS (SELECT l_orderkey, list(tok ORDER BY l_linenumber, l_partkey, l_suppkey, token, tok) AS ts, list(token ORDER BY l_linenumber, l_partkey, l_suppkey, token, tok) AS raw FROM r GROUP BY 1)
+     ELSE CASE l_returnflag WHEN 'A' THEN 'f' WHEN 'N' THEN 'b' ELSE '?' END || CASE WHEN l_suppkey % 5 IN (1, 2, 3) THEN CAST(l_suppkey % 5 AS VARCHAR) ELSE '?' END END AS tok FROM lp),
+  g AS (SELECT l_orderkey, piece, list(tok ORDER BY l_linenumber, l_partkey, l_suppkey, token, tok) AS ts, list(token ORDER BY l_linenumber, l_partkey, l_suppkey, token, tok) AS raw FROM r GROUP BY 1, 2)
   SELECT l_orderkey AS entity_id, array_to_string(list_concat(list_concat(CASE WHEN left(ts[1], 1) = 's' THEN [] ELSE ['s?'] END, ts), [CASE WHEN raw[-1] LIKE '%F' THEN '*' ELSE '?' END]), ' ') AS tokens FROM g""")
 def tokenize_chart_rows(spark, sf):
     li = order_lines(spark, sf)

@@ -85,7 +85,7 @@ def winner_conflicts(spark, sf):
     a match with one may not be exported."""
     rel = F.coalesce(N.winner(F.col("first_"), F.col("second_")), F.lit(0))
     df = points(spark, sf).withColumn("rel", rel).select("match_id", "pt", "part", "supp", "attested", "flags", "rel")
-    df = with_piece(df, "match_id", sf + "#points", ["pt", "part", "supp"])
+    df = with_piece(df, "match_id", sf + "#points", F.col("part") * 31 + F.col("supp"))
 
     def step(state, r):
         if not state:

@@ -26,7 +26,8 @@ def spread_scan(df: DataFrame) -> DataFrame:
 
 
 def millis(ts) -> Column:
-    return F.unix_millis(F.col(ts).cast("timestamp"))
+    """Milliseconds since the epoch of a zone-free timestamp, whatever the session zone."""
+    return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(ts))
 
 
 def track(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
@@ -75,13 +76,14 @@ def long_keys(df: DataFrame, key: str, cache_key: str, limit: int = MAX_SEQUENCE
     return F.broadcast(hot) if n <= BROADCAST_ROWS else hot
 
 
-def with_piece(df: DataFrame, key: str, cache_key: str, salt: list[str]) -> DataFrame:
-    """Adds `piece`: 0 for ordinary keys; a stable hash piece for oversized ones."""
+def with_piece(df: DataFrame, key: str, cache_key: str, spread: Column) -> DataFrame:
+    """Adds `piece`: 0 for ordinary keys; for oversized ones `spread` modulo the number of
+    pieces, so a key of any size is worked on as sequences of about MAX_SEQUENCE tokens."""
     hot = long_keys(df, key, cache_key)
     if hot is None:
         return df.withColumn("piece", F.lit(0).cast("long"))
     return (df.join(hot, key, "left")
-            .withColumn("piece", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_pieces")), F.lit(0)).cast("long"))
+            .withColumn("piece", F.coalesce(F.pmod(spread, F.col("_pieces")), F.lit(0)).cast("long"))
             .drop("_pieces"))
 
 
@@ -90,7 +92,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         F.concat("l_returnflag", "l_linestatus").alias("token"))
-    return with_piece(li, "l_orderkey", sf_dir, ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "token"])
+    return with_piece(li, "l_orderkey", sf_dir, F.col("l_partkey") * 31 + F.col("l_suppkey"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +109,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "piece", "truth", "draft"))
 
 
-SEQUENCE_SQL = """q AS (
-  SELECT o_orderpriority AS group_id, l_orderkey AS entity_id,
+PIECE_SQL = f"""lp AS (SELECT *, CASE WHEN n_ > {MAX_SEQUENCE} THEN (l_partkey * 31 + l_suppkey) % CAST(ceil(n_ / {MAX_SEQUENCE}.0) AS BIGINT) ELSE 0 END AS piece
+    FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n_ FROM lineitem))"""
+SEQUENCE_SQL = f"""{PIECE_SQL}, q AS (
+  SELECT o_orderpriority AS group_id, l_orderkey AS entity_id, piece,
          list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus) AS truth,
          list(l_returnflag || l_linestatus ORDER BY l_shipdate, l_partkey, l_suppkey, l_returnflag || l_linestatus) AS draft
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+  FROM lp JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
