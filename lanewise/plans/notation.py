@@ -164,7 +164,10 @@ def token_kind(spark, sf):
     return df.withColumn("kind", N.token_kind(F.col("token")))
 
 
-@query("token_edit_distance")
+@query("token_edit_distance", """WITH c AS (SELECT a.conv_id, a.turn, string_split(a.text, ' ') AS x, string_split(b.text, ' ') AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+  SELECT conv_id, turn, CAST(len(x) AS INT) AS n_a, CAST(len(y) AS INT) AS n_b, CAST(list_reduce(list_transform(x, lambda w: list_transform(y, lambda v: CASE WHEN v = w THEN 0 ELSE 1 END)),
+    lambda r, k: list_reduce(list_transform(range(1, len(k) + 1), lambda j: [least(r[j + 1] + 1, r[j] + k[j])]), lambda acc, e: list_append(acc, least(acc[-1] + 1, e[1])), [r[1] + 1]),
+    CAST(range(0, len(y) + 1) AS INT[]))[-1] AS INT) AS distance FROM c""")
 def token_edit_distance(spark, sf):
     """Edit distance of neighbouring turns over their whole word lists."""
     d = N.edit_distance(F.col("x"), F.col("y"))

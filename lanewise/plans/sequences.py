@@ -16,7 +16,7 @@ from ..sources.tables import TRACK_SQL, sliced_track, table, track
 from .aggregates import ladder, quality
 from .registry import query
 from .registry import r6 as q6
-from .signals import (FAR_SWING, FAR_Y, NEAR_SWING, W_SQL, chains, cusp_rows, first_seen, is_hit, last_in_segment, settled, toss)
+from .signals import (CUSP_SQL, FAR_SWING, FAR_Y, NEAR_SWING, W_SQL, chains, cusp_rows, first_seen, is_hit, last_in_segment, settled, toss)
 
 P = TRACK
 FLIGHT_CAP, FLIGHT_HOLE, TELEPORT = 80 * HOUR, DAY, 1.0      # ms, ms, metres per frame
@@ -82,7 +82,9 @@ def kinks(spark, sf):
     return k.groupBy("entity_id").agg(m).select("entity_id", "m.seq", "m.event_id", "m.cx", "m.cy")
 
 
-@query("near_kink")
+@query("near_kink", f"""WITH {TRACK_SQL}, {CUSP_SQL}, l AS (SELECT entity_id, max(seq) AS c FROM t WHERE kind = 'purchase' GROUP BY 1)
+  SELECT entity_id, arg_min(event_id, (seq, event_id)) AS event_id, {q6('arg_min(cx, (seq, event_id))')} AS cx, {q6('arg_min(cy, (seq, event_id))')} AS cy FROM cu JOIN l USING (entity_id)
+  WHERE seq > c + {2 * P.frame} AND seq <= c + {4 * P.recv} AND straddle <= {4 * DAY} AND swing >= {NEAR_SWING} AND cy > {NET_Y + 1} AND cy < {COURT_L + 8.0} GROUP BY 1""")
 def near_kink(spark, sf):
     k = kinks(spark, sf)
     return k.select("entity_id", "event_id", r6(F.col("cx")).alias("cx"), r6(F.col("cy")).alias("cy"))
@@ -172,7 +174,11 @@ def launches(spark, sf):
     return df.filter(ok).groupBy("entity_id").agg(m).select("entity_id", "m.seq", "m.event_id", "m.end_", "m.cy")
 
 
-@query("first_launch")
+@query("first_launch", f"""WITH {TRACK_SQL}, r AS (SELECT *, sum(b) OVER w AS run FROM (SELECT *, CASE WHEN lag(seq) OVER w IS NULL OR seq - lag(seq) OVER w > {LAUNCH_GAP} THEN 1 ELSE 0 END AS b FROM t {W_SQL}) {W_SQL}),
+  j AS (SELECT a.entity_id, a.seq, a.event_id, a.cy, list(z.cy ORDER BY z.seq, z.event_id) AS ys FROM r a JOIN r z ON z.entity_id = a.entity_id AND z.run = a.run AND z.seq BETWEEN a.seq AND a.seq + {LAUNCH_WIN} GROUP BY ALL),
+  o AS (SELECT *, CASE WHEN ys[-1] < ys[1] THEN 'near' ELSE 'far' END AS end_ FROM j WHERE len(ys) > 1 AND (ys[1] - {NET_Y}) * (ys[-1] - {NET_Y}) < 0 AND abs(ys[-1] - ys[1]) > {LAUNCH_SPAN}
+    AND list_avg(list_transform(range(1, len(ys)), lambda i: CASE WHEN sign(ys[i + 1] - ys[i]) = sign(ys[-1] - ys[1]) THEN 1.0 ELSE 0.0 END)) >= {LAUNCH_MONO})
+  SELECT entity_id, min(seq) AS seq, arg_min(event_id, (seq, event_id)) AS event_id, arg_min(end_, (seq, event_id)) AS end_, {q6('arg_min(cy, (seq, event_id))')} AS cy FROM o GROUP BY 1""")
 def first_launch(spark, sf):
     return launches(spark, sf).select("entity_id", "seq", "event_id", "end_", r6(F.col("cy")).alias("cy"))
 

@@ -49,7 +49,7 @@ def gap_holes(spark, sf):
 
 
 CUSP_SQL = f"""{MA_SQL}, {grad_sql('ma', 'ys', 'v', HOUR, 'cg')},
-  cu AS (SELECT *, lag(v) OVER w - lead(v) OVER w AS swing FROM cg {W_SQL}
+  cu AS (SELECT *, lag(v) OVER w - lead(v) OVER w AS swing, lead(seq) OVER w - lag(seq) OVER w AS straddle FROM cg {W_SQL}
     QUALIFY lag(inn) OVER w AND lead(inn) OVER w AND lag(v) OVER w > 0 AND lead(v) OVER w < 0
       AND lag(v) OVER w - lead(v) OVER w >= CASE WHEN ys >= {FAR_Y} THEN {NEAR_SWING} ELSE {FAR_SWING} END)"""
 
@@ -319,7 +319,7 @@ def dead_air_drop(spark, sf):
 def plateau_collapse(spark, sf):
     df = S.adjacent(sliced_track(spark, sf), ["kind"])
     df = S.islands(df, F.col("prev.kind").isNull() | (F.col("prev.kind") != F.col("kind")), "run")
-    g = df.groupBy("entity_id", "run").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.first("kind").alias("kind"), F.count("*").alias("n"))
+    g = df.groupBy("entity_id", "run", "kind").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
     return g.filter("n >= 2").drop("run")
 
 

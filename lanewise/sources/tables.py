@@ -26,8 +26,8 @@ def spread_scan(df: DataFrame) -> DataFrame:
 
 
 def millis(ts) -> Column:
-    """Milliseconds since the epoch of a zone-free timestamp, whatever the session zone."""
-    return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(ts))
+    """Milliseconds since the epoch of a zone-free timestamp (the session zone is UTC)."""
+    return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
 def track(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:

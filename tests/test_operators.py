@@ -231,3 +231,35 @@ def test_two_shapes(spark):
         readers.read_points(spark.range(1))
     s = spark.createDataFrame([("a", 3.5, 9.1), ("b", None, None), ("c", 0.0, 0.0), ("d", 9.0, 3.0)], "first string, start_s double, end_s double")
     assert [r.first for r in readers.read_points(s).filter("start_s IS NOT NULL").collect()] == ["a"]
+
+
+def test_launch_assignment_brute(spark):
+    """Crossings claim candidates as a plain left-to-right loop would."""
+    from lanewise.plans.sequences import BACK, FWD, assign_launches
+    from lanewise.presets import HOUR
+    rnd, cross, cand, eid = random.Random(7), [], [], 0
+    for ent in (1, 2):
+        t = 0
+        for _ in range(40):
+            t += rnd.choice([1, 3, 9, 40]) * HOUR
+            cross.append((ent, t, t + HOUR))
+            for _ in range(rnd.randrange(3)):
+                cand.append((ent, t + rnd.randrange(-14, 10) * HOUR + eid, eid, rnd.choice(["hit", "bounce"])))
+                eid += 1
+    got = sorted((r.entity_id, r.start_seq, r.seq, r.signal) for r in assign_launches(
+        spark.createDataFrame(cross, "entity_id long, start_seq long, end_seq long"), spark.createDataFrame(cand, "entity_id long, seq long, event_id long, cls string")).collect())
+    want = []
+    for ent in (1, 2):
+        used, last = set(), None
+        for _, a, _ in (c for c in cross if c[0] == ent):
+            pool = sorted(c for c in cand if c[0] == ent and a - BACK <= c[1] <= a + FWD and c[2] not in used and (last is None or c[1] >= last + TRACK.min_gap))
+            strong = [c for c in pool if c[3] == "hit"]
+            if pool:
+                e = min(strong or pool, key=lambda c: abs(c[1] - a))
+                used.add(e[2])
+                last = e[1]
+                want.append((ent, a, e[1], "cusp"))
+            elif last is None or a >= last + TRACK.min_gap:
+                last = a
+                want.append((ent, a, a, "xr-synth"))
+    assert got == sorted(want)
