@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import jaccard
+from . import boilerplate, jaccard
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,3 +41,21 @@ FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
 """)
 def op1(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line, trim(string_split(text, chr(10))[i], E' \t\r') AS plain
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+per_line AS (SELECT source, plain, count(DISTINCT doc_id) AS n_pages FROM lines WHERE plain <> '' GROUP BY source, plain),
+hosts AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+bad AS (SELECT l.source, l.plain FROM per_line l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+        WHERE n_pages >= 5 AND n_pages > 0.1::DOUBLE * host_pages),
+marked AS (SELECT l.*, b.plain IS NOT NULL AS drop_it FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.plain = b.plain)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.i) FILTER (WHERE NOT m.drop_it), '') END AS text,
+       d.source, count(m.i) AS n_lines, count(m.i) FILTER (WHERE m.drop_it) AS n_dropped
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.text, d.source
+""")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return boilerplate.drop_boilerplate(docs, "source")
