@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import boilerplate, jaccard
+from . import boilerplate, jaccard, mixture
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,3 +59,8 @@ FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return boilerplate.drop_boilerplate(docs, "source")
+
+
+@query("op3_mixture")
+def op3(spark, sf_dir):
+    return mixture.mix_report(table(spark, sf_dir, "documents"))
