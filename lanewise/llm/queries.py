@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import boilerplate, jaccard, mixture
+from . import boilerplate, jaccard, mixture, spotsigs
 
 QUERIES, ORACLES = {}, {}
 
@@ -64,3 +64,8 @@ def op9(spark, sf_dir):
 @query("op3_mixture")
 def op3(spark, sf_dir):
     return mixture.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_spotsigs")
+def op4(spark, sf_dir):
+    return spotsigs.edited_report(table(spark, sf_dir, "documents"))
