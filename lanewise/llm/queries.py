@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import boilerplate, jaccard, mixture, spotsigs
+from . import boilerplate, jaccard, mixture, spotsigs, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,3 +69,8 @@ def op3(spark, sf_dir):
 @query("op4_spotsigs")
 def op4(spark, sf_dir):
     return spotsigs.edited_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc")
+def op2(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
