@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import boilerplate, jaccard, mixture, spotsigs, warc
+from . import boilerplate, jaccard, mixture, rans, spotsigs, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -74,3 +74,16 @@ def op4(spark, sf_dir):
 @query("op2_warc")
 def op2(spark, sf_dir):
     return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query("op5_rans_ids")
+def op5(spark, sf_dir):
+    return rans.ids_report(table(spark, sf_dir, "documents"), tokenizer_path())
