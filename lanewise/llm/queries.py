@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import boilerplate, jaccard, mixture, rans, spotsigs, warc
+from . import boilerplate, jaccard, mixture, packing, rans, spotsigs, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,3 +87,8 @@ def tokenizer_path() -> str:
 @query("op5_rans_ids")
 def op5(spark, sf_dir):
     return rans.ids_report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
