@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import boilerplate, jaccard, mixture, packing, rans, spotsigs, warc
+from . import boilerplate, jaccard, mixture, packing, rans, secrets, spotsigs, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,3 +92,8 @@ def op5(spark, sf_dir):
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op8_secrets")
+def op8(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
