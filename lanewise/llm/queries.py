@@ -1,9 +1,9 @@
 """The operators over the given tables, each next to SQL where SQL can say the same."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import boilerplate, jaccard, mixture, packing, rans, secrets, spotsigs, warc
+from . import boilerplate, hamming, jaccard, mixture, packing, rans, secrets, spotsigs, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,3 +97,19 @@ def op6(spark, sf_dir):
 @query("op8_secrets")
 def op8(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_exact_topk", r"""
+WITH codes AS (
+  SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS lo,
+         list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT AS hi
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, (bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)))::BIGINT AS distance
+  FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, neighbor_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM near) WHERE rank <= 10
+""")
+def op10(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return hamming.nearest(rows, rows.where("id % 50 = 0"))
