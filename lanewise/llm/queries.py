@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, hamming, jaccard, mixture, packing, rans, secrets, spotsigs, warc
+from . import boilerplate, hamming, jaccard, mixture, packing, rans, secrets, spotsigs, toxicity, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -113,3 +113,8 @@ SELECT query_id, rank, neighbor_id, distance FROM (
 def op10(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return hamming.nearest(rows, rows.where("id % 50 = 0"))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
