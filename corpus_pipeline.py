@@ -1,11 +1,68 @@
-"""Corpus pipeline: toxicity, line dedup, near duplicates, source mixture, packing."""
+"""From documents to packed training sequences, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
+docs. run() writes each stage's rows to the shared folder and rereads them.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanewise.llm import boilerplate, jaccard, mixture, packing, toxicity
+from lanewise.llm.queries import tokenizer_path
+from lanewise.llm.store import saved
+
+#: Most bytes of document ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 32 << 20
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of op7, learned from labels, does not call toxic. Null and empty texts stay."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.withColumn("__score", toxicity.score(F.col("text"), model)).where("__score < 0.5").select(docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their source's boilerplate lines; n_chars follows the text."""
+    cleaned = boilerplate.drop_boilerplate(docs, "source").drop("n_lines", "n_dropped")
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id; others all stay.
+
+    Of rows equal in doc_id and text one stays. Rows without doc_id stay.
+    """
+    found = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    twice = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    small = lambda ids: F.broadcast(ids) if ids.count() * 16 <= BROADCAST_IDS else ids
+    left = docs.join(small(gone), "doc_id", "left_anti")
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    held = small(twice)
+    return left.join(held, "doc_id", "left_anti").select(docs.columns).unionByName(
+        left.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mixture takes them: a row for each pass that takes words of one."""
+    return mixture.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("ngram_jaccard", drop_near_duplicates),
+          ("mixture", mix_sources), ("best_fit_packing", pack_sequences)]
+
+#: SQL knows neither the tokenizer nor the model; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
