@@ -7,9 +7,10 @@
    cannot link with anything and drops out of the join, not out of the result.
 3. Classes with identical prefixes and size form one group. Groups meet on prefix shingles; size and
    position filters prune pairs of groups; what remains is expanded to members and verified on whole sets.
-4. Star rounds compare each group with one pivot per shingle first. Then only pairs whose members
-   are still in different components are enumerated, so thousands of near copies cost a linear number
-   of pairs and no link that could change a component is left out.
+4. A star round compares each group with one pivot per shingle; further ones, where components still meet
+   under a shingle, with pivots of random deals, as long as they find links. Then all pairs whose members are still in different
+   components are enumerated, so thousands of near copies cost a linear number of pairs and no link
+   that could change a component is left out.
 """
 
 import hashlib
@@ -24,7 +25,7 @@ from .components import components
 from .store import columns, partitions, saved
 from .words import U, flat, mix, shingle_sets
 
-BLOCK_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST = 1 << 20, 64, 8, 1 << 16
+BLOCK_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST, DEALS = 1 << 20, 64, 8, 1 << 16, 1
 
 
 def prefix_length(n, percent: int):
@@ -174,33 +175,63 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100L * inter >= {percent}L * (na + nb - inter)")).select("a", "b")
 
 
-def links(classes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def _same(a: str, b: str):
+    """All members of both groups are in one component."""
+    lo, hi = F.col(f"{a}.lo"), F.col(f"{a}.hi")
+    return (lo == hi) & (hi == F.col(f"{b}.lo")) & (F.col(f"{b}.lo") == F.col(f"{b}.hi"))
+
+
+def _stars(index: DataFrame, percent: int, salts: list[int], members: int | None) -> DataFrame:
+    """Pairs (a, b) of group heads: under every shingle and size band, each group with one pivot.
+
+    The pivot is the group with the smallest share of shingles of its own, which of near copies is the nearest to all.
+    members: about so many groups share a pivot, dealt anew for each shingle and salt; None: all do.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.col("salt") / 2)
+    keyed = index.withColumn("salt", F.explode(F.array(*map(F.lit, salts)))).withColumn("band", band)
+    deal = F.lit(0)
+    if members:
+        size = keyed.groupBy("tok", "band", "salt").agg(F.count("*").alias("c")).where("c > 1")
+        keyed = keyed.join(size, ["tok", "band", "salt"])
+        deal = F.pmod(F.xxhash64("grp", "tok", "salt"), F.ceil(F.col("c") / members))
+    keyed = keyed.withColumn("deal", deal)
+    keys = ["tok", "band", "salt", "deal"]
+    pivot = (keyed.groupBy(*keys).agg(F.min(F.struct("own", F.xxhash64("grp", "salt").alias("h"), "grp", "head", "n", "pos", "lo", "hi")).alias("p"), F.count("*").alias("k"))
+             .where("k > 1").select(*keys, "p.*"))
+    met = keyed.alias("x").join(pivot.alias("y"), keys).where((F.col("x.grp") != F.col("y.grp")) & ~_same("x", "y")).where(_bound("x", "y", percent))
+    return met.select(F.least("x.head", "y.head").alias("a"), F.greatest("x.head", "y.head").alias("b")).distinct()
+
+
+def _placed(index: DataFrame, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, grp, comp) under the links found, and the index rows of shingles whose groups are not yet in one component."""
+    node = components(found).withColumnRenamed("node", "cls")
+    comp = saved(classes.select("cls", "grp").join(node, "cls", "left").select("cls", "grp", F.coalesce("comp", "cls").alias("comp")), "comp")
+    spread = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    rows = index.drop("lo", "hi").join(spread, "grp")
+    live = rows.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("tok")
+    return comp, saved(rows.join(live, "tok"), "open")
+
+
+def links(classes: DataFrame, percent: int) -> DataFrame:
     """Verified links among classes(cls, n, lone, tokens, prefix) that have the components of all links."""
-    spark = classes.sparkSession
     grouped = F.when(F.col("lone") == 0, F.md5(F.concat_ws(",", "n", F.col("prefix").cast("array<string>"))).cast("binary")).otherwise(F.col("cls"))
     classes = saved(classes.withColumn("grp", grouped), "classes")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.min_by(F.struct("n", "lone", "prefix"), "cls").alias("s")).select("grp", "head", "s.*")
     index = saved(groups.select("grp", "head", "n", "lone", F.posexplode("prefix").alias("i", "tok"))
-                  .select("grp", "head", "n", "tok", (F.col("lone") + F.col("i") + 1).alias("pos")), "index")
-    found = spark.createDataFrame([], "a binary, b binary")
+                  .select("grp", "head", "n", "tok", (F.col("lone") / F.col("n")).alias("own"), (F.col("lone") + F.col("i") + 1).alias("pos"), F.col("head").alias("lo"), F.col("head").alias("hi")), "index")
     inside = classes.join(groups.select("grp", "head"), "grp").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
-    for r in range(rounds):
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + r / rounds)
-        keyed = index.withColumn("band", band)
-        lead = keyed.groupBy("tok", "band").agg(F.min(F.struct(F.xxhash64("grp", F.lit(r)).alias("h"), "grp", "head", "n", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1")
-        met = keyed.alias("x").join(lead.select("tok", "band", "p.*").alias("y"), ["tok", "band"]).where(F.col("x.grp") != F.col("y.grp")).where(_bound("x", "y", percent))
-        pairs = met.select(F.least("x.head", "y.head").alias("a"), F.greatest("x.head", "y.head").alias("b")).distinct()
-        found = saved(found.union(_verified(pairs.union(inside) if r == 0 else pairs, classes, percent)).distinct(), "links")
-    comp = saved(classes.select("cls", "grp").join(components(found).withColumnRenamed("node", "cls"), "cls", "left")
-                 .select("cls", "grp", F.coalesce("comp", "cls").alias("comp")), "comp")
-    spread = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    placed = index.join(spread, "grp")
-    live = placed.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("tok")
-    open_ = saved(placed.join(live, "tok"), "open")
+    found = saved(_verified(_stars(index, percent, [0], None).union(inside), classes, percent).distinct(), "links")
+    comp, open_ = _placed(index, classes, found)
+    for r in range(1, DEALS + 1):                                  # only what they leave open is enumerated below
+        more = saved(_verified(_stars(open_, percent, [2 * r, 2 * r + 1], 16), classes, percent), "links")
+        if more.isEmpty():
+            break
+        found = saved(found.union(more).distinct(), "links")
+        comp, open_ = _placed(open_, classes, found)
     x, y = open_.alias("x"), open_.alias("y")
-    met = (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.grp") < F.col("y.grp"))
-                  & ~((F.col("x.lo") == F.col("x.hi")) & (F.col("x.hi") == F.col("y.lo")) & (F.col("y.lo") == F.col("y.hi"))) & _bound("x", "y", percent))
+    met = (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.grp") < F.col("y.grp")) & ~_same("x", "y") & _bound("x", "y", percent))
            .select(F.col("x.grp").alias("gx"), F.col("y.grp").alias("gy")).distinct())
+    spread = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     own = spread.where("lo <> hi").select(F.col("grp").alias("gx"), F.col("grp").alias("gy"))
     rest = (met.union(own).join(comp.toDF("a", "gx", "ca"), "gx").join(comp.toDF("b", "gy", "cb"), "gy").where("ca <> cb")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
