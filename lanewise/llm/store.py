@@ -51,9 +51,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def null_safe(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
-    """Equality of all keys in which null equals null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def row_key(*names: str) -> list[Column]:
+    """Two columns __k1, __k2: a 128-bit digest of the named columns that is never null, so that windows and joins share a partitioning."""
+    nulls = F.concat(*[F.col(n).isNull().cast("string") for n in names])
+    return [F.xxhash64(*names, nulls).alias("__k1"), F.xxhash64(nulls, *reversed(names)).alias("__k2")]

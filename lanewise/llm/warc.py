@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import attempt_name, columns, filesystem, partitions, saved, shared_dir
+from .store import attempt_name, columns, filesystem, partitions, row_key, saved, shared_dir
 
 FILE_BYTES, READ_BYTES, GAP_BYTES, SEGMENT_BYTES = 256 << 20, 8 << 20, 64 << 10, 64 << 20
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_id string, record_type string, refers_to string, refers_page long"
@@ -50,16 +50,13 @@ def _record_id(*parts) -> str:
 def roles(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with sha (hex), copy, top_page, top_url: of equal payloads the row with the largest
     (page_id, url) and copy 1 is the response. copy numbers rows that are equal in page_id, url and payload."""
-    p = pages.withColumn("sha", _sha1(F.col("html")))
     key = ["page_id", "url", "sha"]
-    light = p.select(key).distinct()
+    p = pages.withColumn("sha", _sha1(F.col("html"))).select("*", *row_key(*key))
+    light = p.select("__k1", "__k2", *key).distinct()
     top = light.groupBy(F.col("sha").alias("s")).agg(F.max(F.struct("page_id", "url")).alias("top"))
-    decided = light.join(top, F.col("sha") == F.col("s")).select(*[F.col(k).alias(f"k_{k}") for k in key], "top")
-    numbered = p.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-    cond = F.lit(True)
-    for k in key:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    return numbered.join(decided, cond).select(*key, "html", "copy", F.col("top.page_id").alias("top_page"), F.col("top.url").alias("top_url"))
+    decided = light.join(top, F.col("sha") == F.col("s")).select("__k1", "__k2", "top")
+    numbered = p.withColumn("copy", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(1))))
+    return numbered.join(decided, ["__k1", "__k2"]).select(*key, "html", "copy", F.col("top.page_id").alias("top_page"), F.col("top.url").alias("top_url"))
 
 
 def write_archives(pages: DataFrame, when: str = "2024-01-01T00:00:00Z") -> DataFrame:
