@@ -30,18 +30,20 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; others all stay.
 
-    Of rows equal in doc_id and text one stays. Rows without doc_id stay.
+    A repeated doc_id is told apart by its shingle set; of its rows with equal text one stays. Rows without doc_id stay.
     """
-    found = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    twice = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    small = lambda ids: F.broadcast(ids) if ids.count() * 16 <= BROADCAST_IDS else ids
-    left = docs.join(small(gone), "doc_id", "left_anti")
+    found = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id", "cls").where("doc_id is not null"), "groups")
+    twice = saved(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    small = lambda ids: F.broadcast(ids) if ids.count() * 40 <= BROADCAST_IDS else ids
+    repeated = small(twice)
+    gone = saved(found.where("doc_id <> component_id").join(repeated, "doc_id", "left_anti").select("doc_id").distinct(), "gone")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
     if twice.isEmpty():
-        return left.select(docs.columns)
-    held = small(twice)
-    return left.join(held, "doc_id", "left_anti").select(docs.columns).unionByName(
-        left.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+        return kept
+    pairs = found.where("doc_id <> component_id").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("cls").alias("__cls")).distinct()
+    again = docs.join(repeated, "doc_id", "left_semi").withColumn("__cls", jaccard.set_digest(F.col("text")))
+    again = again.join(pairs, ["doc_id", "__cls"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,6 +26,7 @@ from .store import columns, partitions, saved
 from .words import U, flat, mix, shingle_sets
 
 BLOCK_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST, DEALS = 1 << 20, 64, 8, 1 << 16, 1
+BROADCAST_BYTES = 32 << 20
 
 
 def prefix_length(n, percent: int):
@@ -49,6 +50,15 @@ def _blocks(batches, k: int):
         yield ids, sets
 
 
+def _digests(tok: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128-bit digest of each set, from the concatenation of all: two sums of its hashes, each mixed another way."""
+    ends, out = np.cumsum(sizes), []
+    for salt in (1, 2):
+        total = np.concatenate([[U(0)], np.cumsum(mix(tok ^ mix(np.array([salt], U))), dtype=U)])
+        out.append(total[ends] - total[ends - sizes])
+    return np.stack(out, 1)
+
+
 def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles in more than 1/32 of the documents (and perhaps some of over 1/64), commonest first.
 
@@ -93,12 +103,7 @@ def ordered_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             tok = np.concatenate(sets)
             doc = np.repeat(np.arange(len(ids)), sizes)
-            digests = [sizes.astype("<i8").tobytes()]
-            ends = np.cumsum(sizes)
-            for salt in (1, 2):
-                total = np.concatenate([[U(0)], np.cumsum(mix(tok ^ mix(np.array([salt], U))), dtype=U)])
-                digests.append(total[ends] - total[ends - sizes])
-            digests = np.stack([digests[1], digests[2]], 1)
+            digests = _digests(tok, sizes)
             common = np.isin(tok, hot_sorted)
             block = hashlib.blake2b(str(ids).encode() + digests.tobytes(), digest_size=16).digest()
             rows = [(-1 - int(block[0]) % parts, pickle.dumps((ids, sizes, digests, tok[common], doc[common].astype(np.uint16))))]
@@ -168,8 +173,14 @@ def _bound(a: str, b: str, percent: int):
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose whole sets reach the threshold. Only shared shingles can intersect."""
-    sets = classes.select("cls", "n", "tokens")
+    """Pairs (a, b) of classes whose whole sets reach the threshold. Only shared shingles can intersect.
+
+    Only the sets of classes that a pair names are shuffled.
+    """
+    pairs = saved(pairs, "pairs")
+    ends = saved(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "ends")
+    named = F.broadcast(ends) if ends.count() * 32 <= BROADCAST_BYTES else ends
+    sets = classes.join(named, "cls", "left_semi").select("cls", "n", "tokens")
     both = (pairs.join(sets.toDF("a", "na", "ta"), "a").join(sets.toDF("b", "nb", "tb"), "b")
             .select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("inter")))
     return both.where(F.expr(f"100L * inter >= {percent}L * (na + nb - inter)")).select("a", "b")
@@ -239,7 +250,7 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text, ...).
+    """doc_id, n_shingles, component_id, cls (digest of the set) for every row of docs(doc_id, text, ...).
 
     Words are runs of characters other than space and \\x09-\\x0D after lower-casing A-Z. Null or empty
     texts and texts without words have the empty set, link with nothing and keep their own doc_id as
@@ -257,5 +268,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     name = known.groupBy("comp").agg(F.min("first").alias("component_id"))
     label = known.join(name, "comp").select("cls", "component_id")
     linked = live.select("doc_id", "n", "cls").join(label, "cls")
-    lone = sets.where("size(prefix) = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(lone)
+    lone = sets.where("size(prefix) = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "cls")
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls").union(lone)
+
+
+def set_digest(text: Column, k: int = 5) -> Column:
+    """The cls that near_duplicates gives a text."""
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        sets = list(shingle_sets(*flat(texts), k))
+        tok = np.concatenate([*sets, np.zeros(0, U)])
+        return pa.array([d.tobytes() for d in _digests(tok, np.array([len(s) for s in sets], np.int64))], pa.binary())
+    return digest(text)

@@ -40,7 +40,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
 """)
 def op1(spark, sf_dir):
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
 
 
 @query("op9_line_dedup", r"""
