@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..presets import (BACKHAND, DEPTHS, DIRECTIONS, ENDING_MARKS, ERROR_LETTERS, FAULT_LETTERS, FOREHAND,
                        OTHER_MARKS, SERVE_DIGITS, SHOT_LETTERS, SHOTS)
+from .pairing import edit_script
 
 def char_class(chars: str) -> str:
     """A regex class of literal characters (safe in Java and RE2)."""
@@ -82,53 +83,36 @@ def classify_sub(a: Column, b: Column) -> Column:
             .when(letter & ~direction, "sub_direction").when(direction & ~letter, "sub_letter").otherwise("sub_letter+dir"))
 
 
+def _private_char(n: Column) -> Column:
+    """The n-th character from U+10000 on; there are 1,048,575 of them."""
+    n = F.when(n > 0xFFFFF, F.raise_error(F.lit("more than 1,048,575 distinct tokens in a pair"))).otherwise(n)
+    return F.decode(F.unhex(F.lpad(F.hex(n + 0x10000), 8, "0")), "UTF-32")
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Unit-cost edit distance over tokens: tokens become single characters of a
     per-row dictionary, then the native string distance applies."""
     words = F.array_distinct(F.concat(a, b))
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + 0x10000), 8, "0")), "UTF-32")
-    code = lambda arr: F.array_join(F.transform(arr, lambda t: char(F.array_position(words, t))), "")
+    code = lambda arr: F.array_join(F.transform(arr, lambda t: _private_char(F.array_position(words, t))), "")
     return F.levenshtein(code(a), code(b))
 
 
 def small_edit_distance(a: Column, b: Column, vocabulary: list[str]) -> Column:
-    """The same with a fixed vocabulary: one map lookup per token."""
+    """The same with a fixed vocabulary: one map lookup per token. Tokens outside it get characters of their own."""
     codes = F.create_map(*[x for i, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(chr(97 + i)))])
-    code = lambda arr: F.array_join(F.transform(arr, lambda t: F.try_element_at(codes, t)), "")
+    other = F.array_except(F.concat(a, b), F.array(*map(F.lit, vocabulary)))
+    code = lambda arr: F.array_join(F.transform(arr, lambda t: F.coalesce(F.try_element_at(codes, t), _private_char(F.array_position(other, t)))), "")
     return F.levenshtein(code(a), code(b))
 
 
 NOTATION_TOKENS = ["s4", "s5", "s6", "s?", *[x + y for x in "fb?" for y in "123?"], "*", "n", "w", "d", "x", "?"]
 
 
-def _backtrace(a, b):
-    """Edit operations of one pair; ties prefer the diagonal, then del, then ins."""
-    m, n = len(a), len(b)
-    cost = [list(range(n + 1))]
-    for i in range(1, m + 1):
-        up, row = cost[-1], [i]
-        for j in range(1, n + 1):
-            row.append(min(up[j - 1] + (a[i - 1] != b[j - 1]), up[j] + 1, row[j - 1] + 1))
-        cost.append(row)
-    ops, i, j = [], m, n
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            ops.append(["match" if a[i - 1] == b[j - 1] else "sub", a[i - 1], b[j - 1]])
-            i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            ops.append(["del", a[i - 1], ""])
-            i -= 1
-        else:
-            ops.append(["ins", "", b[j - 1]])
-            j -= 1
-    return ops[::-1]
-
-
 def edit_ops():
     """Pandas UDF: (array<string>, array<string>) -> array of [op, a, b]."""
     @F.pandas_udf("array<array<string>>")
     def ops(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_backtrace(list(x), list(y)) for x, y in zip(a, b)])
+        return pd.Series([edit_script(list(x), list(y)) for x, y in zip(a, b)])
     return ops
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import notation as N
 from ..functions.numeric import count_if, once, r6, ratio
 from ..operators.quantiles import quantiles
+from ..presets import GOOD_EDITS
 from ..sources.tables import SEQUENCE_SQL, sequences, table
 from .notation import DRAFT_EXPR, KEY, KEY_SQL, POINTS_SQL, draft_sql, points, tokens_sql
 from .registry import query
@@ -227,12 +228,12 @@ def accuracy_vs_truth(spark, sf):
 _FIXED = "translate(draft, '?', 'f')"
 
 
-@query("anchoring_list", f"""WITH {GRADED_SQL}, c AS (SELECT *, {_FIXED} AS fixed FROM gr WHERE supp % 2 = 0 AND d > 2 AND flags <> 'unseen'),
+@query("anchoring_list", f"""WITH {GRADED_SQL}, c AS (SELECT *, {_FIXED} AS fixed FROM gr WHERE supp % 2 = 0 AND d > {GOOD_EDITS} AND flags <> 'unseen'),
    e AS (SELECT {KEY_SQL}, a, b, d, {draft_sql('fixed')} AS k FROM c)
    SELECT {KEY_SQL}, d AS draft_truth, {dist_sql('k', 'a', N.NOTATION_TOKENS)} AS corrected_truth, {dist_sql('k', 'b', N.NOTATION_TOKENS)} AS corrected_draft FROM e""")
 def anchoring_list(spark, sf):
     """Confident rows whose draft was far off, with the three pairwise distances."""
-    df = graded(spark, sf).filter("supp % 2 = 0 AND flags <> 'unseen'").filter("d > 2")
+    df = graded(spark, sf).filter("supp % 2 = 0 AND flags <> 'unseen'").filter(F.col("d") > GOOD_EDITS)
     df = once(df, k=N.draft_tokens(F.expr(_FIXED)))
     dist = lambda x, y: N.small_edit_distance(F.col(x), F.col(y), N.NOTATION_TOKENS)
     return df.select(*KEY, F.col("d").alias("draft_truth"), dist("k", "a").alias("corrected_truth"), dist("k", "b").alias("corrected_draft"))
@@ -274,11 +275,11 @@ def ratio_quartiles(spark, sf):
   SELECT entity_id, CAST(i AS INT) AS i, token, CAST(least(i, 12) AS INT) AS pos, CASE WHEN i % 2 = 0 THEN 'server' ELSE 'returner' END AS role, CASE WHEN i >= 1 THEN truth[i] ELSE 'none' END AS prev1,
     CASE WHEN i >= 2 THEN truth[i - 1] ELSE 'none' END AS prev2 FROM u""")
 def prev_next_features(spark, sf):
-    """One row per token with the two before it: neighbours come from the array, no window."""
-    df = sequences(spark, sf).select("entity_id", "truth", F.posexplode("truth").alias("i", "token"))
-    at = lambda k: F.when(F.col("i") >= k, F.get("truth", F.col("i") - k)).otherwise("none")
-    return df.select("entity_id", "i", "token", F.least("i", F.lit(12)).alias("pos"), F.when(F.col("i") % 2 == 0, "server").otherwise("returner").alias("role"),
-                     at(1).alias("prev1"), at(2).alias("prev2"))
+    """One row per token with the two before it; each row of the array carries its own neighbours."""
+    back = lambda i, k: F.when(i >= k, F.get("truth", i - k)).otherwise("none")
+    rows = F.transform("truth", lambda t, i: F.struct(i.alias("i"), t.alias("token"), back(i, 1).alias("prev1"), back(i, 2).alias("prev2")))
+    return sequences(spark, sf).select("entity_id", F.inline(rows)).select(
+        "entity_id", "i", "token", F.least("i", F.lit(12)).alias("pos"), F.when(F.col("i") % 2 == 0, "server").otherwise("returner").alias("role"), "prev1", "prev2")
 
 
 @query("prior_rerank", f"""WITH {SEQUENCE_SQL}, u AS (SELECT unnest(truth) AS token, generate_subscripts(truth, 1) AS i, truth, draft FROM q),
@@ -288,8 +289,8 @@ def prev_next_features(spark, sf):
   SELECT prev1, seen, token AS best, {q6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY prev1, seen ORDER BY score DESC, token) = 1""")
 def prior_rerank(spark, sf):
     """Context prior times observation likelihood; the best token per (context, observation)."""
-    df = sequences(spark, sf).select("truth", "draft", F.posexplode("truth").alias("i", "token")).filter("i >= 1")
-    df = df.select(F.get("truth", F.col("i") - 1).alias("prev1"), "token", F.get("draft", F.col("i")).alias("seen"))
+    rows = F.transform("truth", lambda t, i: F.struct(i.alias("i"), F.get("truth", i - 1).alias("prev1"), t.alias("token"), F.get("draft", i).alias("seen")))
+    df = sequences(spark, sf).select(F.inline(rows)).filter("i >= 1").drop("i")
     p = df.groupBy("prev1", "token", "seen").agg(F.count("*").alias("n"))
     prior = p.groupBy("prev1", "token").agg(F.sum("n").alias("n"))
     prior = prior.join(prior.groupBy("prev1").agg(F.sum("n").alias("tot")), "prev1")
@@ -299,10 +300,14 @@ def prior_rerank(spark, sf):
     return best.select("prev1", "seen", F.col("m.token").alias("best"), r6(-F.col("m.col1")).alias("score"))
 
 
-@query("hash_split", "WITH h AS (SELECT c_custkey, md5(c_name) AS m FROM customer), f AS (SELECT c_custkey, "
-       "list_reduce(list_prepend(0, list_transform(range(1, 33), lambda i: strpos('0123456789abcdef', substr(m, i, 1)) - 1)), lambda a, d: (a * 16 + d) % 100) AS h100, "
-       "list_reduce(list_prepend(0, list_transform(range(1, 33), lambda i: strpos('0123456789abcdef', substr(m, i, 1)) - 1)), lambda a, d: (a * 16 + d) % 35) AS h35 FROM h) "
-       "SELECT c_custkey, CASE WHEN h100 >= 10 THEN 'skip' WHEN h35 // 7 = 0 THEN 'test' ELSE 'train' END AS split FROM f")
+def _split_sql(text: str) -> str:
+    """The split of a text in SQL: its md5 as a number, modulo 100 and 35, digit by digit."""
+    fold = lambda m: (f"list_reduce(list_prepend(0, list_transform(range(1, 33), lambda i: strpos('0123456789abcdef', substr(md5({text}), i, 1)) - 1)), "
+                      f"lambda a, d: (a * 16 + d) % {m})")
+    return f"CASE WHEN {fold(100)} >= 10 THEN 'skip' WHEN {fold(35)} // 7 = 0 THEN 'test' ELSE 'train' END"
+
+
+@query("hash_split", f"SELECT c_custkey, {_split_sql('c_name')} AS split FROM customer")
 def hash_split(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", split_of(F.col("c_name")).alias("split"))
 
@@ -315,10 +320,15 @@ def split_of(name, include: int = 10):
     return F.when(fold(100) >= include, "skip").when(F.floor(fold(35) / 7) == 0, "test").otherwise("train")
 
 
-@query("intersect_leakcheck", "SELECT 0::BIGINT AS overlap, count(*) AS customers FROM customer")
+@query("intersect_leakcheck", f"""WITH o AS (SELECT o_custkey, {_split_sql('CAST(o_orderkey AS VARCHAR)')} AS by_row, {_split_sql('CAST(o_custkey AS VARCHAR)')} AS by_entity FROM orders),
+  s AS (SELECT 'row' AS split_by, o_custkey, by_row AS side FROM o UNION ALL SELECT 'entity', o_custkey, by_entity FROM o),
+  c AS (SELECT split_by, o_custkey, bool_or(side = 'train') AND bool_or(side = 'test') AS both_sides FROM s GROUP BY 1, 2)
+  SELECT split_by, count(*) AS entities, count(*) FILTER (WHERE both_sides) AS leaked FROM c GROUP BY 1""")
 def intersect_leakcheck(spark, sf):
-    """Customers of the train and the test side; a stable hash leaves none in both."""
-    c = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", split_of(F.col("c_name")).alias("split"))
-    both = c.filter("split = 'train'").select("c_custkey").intersect(c.filter("split = 'test'").select("c_custkey"))
-    return both.agg(F.count("*").alias("overlap")).crossJoin(table(spark, sf, "customer").agg(F.count("*").alias("customers")))
-
+    """Customers with orders on the train and on the test side, when orders or when customers are split by their hash."""
+    o = table(spark, sf, "orders").select("o_custkey", split_of(F.col("o_orderkey").cast("string")).alias("row"), split_of(F.col("o_custkey").cast("string")).alias("entity"))
+    sides = o.select("o_custkey", F.inline(F.array(*[F.struct(F.lit(k).alias("split_by"), F.col(k).alias("side")) for k in ("row", "entity")])))
+    each = sides.filter("side <> 'skip'").distinct()
+    leaked = each.filter("side = 'train'").drop("side").intersect(each.filter("side = 'test'").drop("side"))
+    n = sides.select("split_by", "o_custkey").distinct().groupBy("split_by").agg(F.count("*").alias("entities"))
+    return n.join(leaked.groupBy("split_by").agg(F.count("*").alias("leaked")), "split_by", "left").select("split_by", "entities", F.coalesce("leaked", F.lit(0)).alias("leaked"))

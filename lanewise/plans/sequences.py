@@ -259,7 +259,7 @@ def serve_features(spark, sf):
 
 
 # ---- launch assignment and the full event list ----
-BACK, FWD = 12 * HOUR, 8 * HOUR
+BACK, FWD = P.launch_back, P.launch_fwd
 
 
 def assign_launches(chain, cands):
@@ -269,27 +269,24 @@ def assign_launches(chain, cands):
     Crossings further apart than the windows reach cannot compete, so they fold apart."""
     j = S.bucket_join(cands, chain, ["entity_id"], "seq", F.col("start_seq") - BACK, F.col("start_seq") + FWD, BACK + FWD,
                       F.col("l.seq").between(F.col("r.start_seq") - BACK, F.col("r.start_seq") + FWD))
-    pool = j.groupBy("r.entity_id", "r.start_seq", "r.end_seq").agg(F.array_sort(F.collect_list(F.struct("l.seq", "l.event_id", "l.cls"))).alias("pool"))
+    # each crossing's candidates in the order in which it would take them
+    rank = F.struct((F.col("l.cls") != "hit").alias("other"), F.abs(F.col("l.seq") - F.col("r.start_seq")).alias("off"), F.col("l.seq").alias("seq"), F.col("l.event_id").alias("event_id"))
+    pool = j.groupBy("r.entity_id", "r.start_seq", "r.end_seq").agg(F.array_sort(F.collect_list(rank)).alias("pool"))
     c = S.adjacent(S.add_slice(chain.select("entity_id", "start_seq", "end_seq"), P.slice_ms, "start_seq"), ["start_seq"], **G.BY_START)
     c = S.islands(c, F.col("start_seq") - F.col("prev.start_seq") > BACK + FWD + P.min_gap, "cluster", **G.BY_START).drop("prev", "next", "slice")
     rows = c.join(pool, ["entity_id", "start_seq", "end_seq"], "left").select(
         "entity_id", "cluster", "start_seq", "end_seq", F.coalesce(F.to_json("pool"), F.lit("[]")).alias("pool"))
 
     def step(state, r):
-        last, a, pool_ = state.get("last"), r.start_seq, json.loads(r.pool)
-        free = [p for p in pool_ if p["event_id"] not in state["used"] and (last is None or p["seq"] >= last + P.min_gap)]
-        strong = [p for p in free if p["cls"] == "hit"]
-        if free:
-            e = min(strong or free, key=lambda p: abs(p["seq"] - a))
-            state["used"] = (state["used"] & {p["event_id"] for p in pool_}) | {e["event_id"]}
-            state["last"] = e["seq"]
-            return [(r.entity_id, a, e["seq"], e["event_id"], "cusp")]
-        if last is not None and a < last + P.min_gap:
+        # launches are min_gap apart, so `free` also rules out every candidate taken before
+        taken = next((p for p in json.loads(r.pool) if p["seq"] >= state["free"]), None)
+        if taken is None and r.start_seq < state["free"]:
             return []
-        state["last"] = a
-        return [(r.entity_id, a, a, -1, "xr-synth")]
+        seq, event, signal = (taken["seq"], taken["event_id"], "cusp") if taken else (r.start_seq, -1, "crossing")
+        state["free"] = seq + P.min_gap
+        return [(r.entity_id, r.start_seq, seq, event, signal)]
 
-    return fold(rows, ["entity_id", "cluster"], ["start_seq", "end_seq"], lambda: {"used": set()}, step,
+    return fold(rows, ["entity_id", "cluster"], ["start_seq", "end_seq"], lambda: {"free": -(1 << 62)}, step,
                 "entity_id long, start_seq long, seq long, event_id long, signal string")
 
 

@@ -7,18 +7,17 @@ from ..functions.numeric import count_if, r6
 from ..operators import slices as S
 from ..operators.fold import fold
 from ..operators.machines import Gate, Plateau, Replay
-from ..operators.score import MatchScore
+from ..operators.score import Count, Rules
 from ..operators.signal import BY_START
-from ..presets import DAY, HOUR, TRACK
+from ..presets import HOUR, TRACK
 from ..session import cut_lineage
-from ..sources.tables import TRACK_SQL, millis, sliced_track, track, with_piece
+from ..sources.tables import TRACK_SQL, millis, sliced_track, track
 from ..streaming.state import events_stream, run_available, stream_fold
-from .notation import points
+from .notation import POINTS_SQL, points, winner_sql
 from .registry import query
 from .signals import W_SQL, flag_segments
 
 P = TRACK
-MATCH = 30 * DAY            # a match is one entity in one calendar window, so its size is bounded
 IDLE = 24 * HOUR
 LEVELS = Plateau(change=20.0, confirm=2, settle=3, close=P.absent_close)
 
@@ -50,22 +49,67 @@ def active(df):
 
 
 # ---- score replay ----
+def replay_sql(name: str, rows: str) -> str:
+    """CTEs ending in `name`: rows(k, i, w, rel, ...) with the counters before each point, the server and the winner that counts.
+
+    rows lists the points of each match k as i = 1, 2, ...; w is the known winner or 0, rel the winner as seen from the server.
+    """
+    return f"""{name}_in AS ({rows}),
+  {name}_r AS (
+    SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, 0 AS s1, 0 AS s2, 0 AS g1, 0 AS g2, 0 AS p1, 0 AS p2, 1 AS game_no, 1 AS opener FROM {name}_in
+    UNION ALL
+    SELECT k, i, s1, s2, CASE WHEN takes_set AND greatest(s1, s2) < 2 THEN 0 ELSE g1 END, CASE WHEN takes_set AND greatest(s1, s2) < 2 THEN 0 ELSE g2 END, p1, p2, game_no, opener FROM (
+      SELECT k, i, takes_set, s1 + CAST(takes_set AND v = 1 AS INT) AS s1, s2 + CAST(takes_set AND v = 2 AS INT) AS s2, g1, g2, p1, p2, game_no, opener FROM (
+        SELECT *, takes_game AND (tb OR (greatest(g1, g2) >= 6 AND abs(g1 - g2) >= 2)) AS takes_set FROM (
+          SELECT k, i, v, tb, takes_game, s1, s2, g1 + CAST(takes_game AND v = 1 AS INT) AS g1, g2 + CAST(takes_game AND v = 2 AS INT) AS g2,
+                 CASE WHEN takes_game THEN 0 ELSE p1 END AS p1, CASE WHEN takes_game THEN 0 ELSE p2 END AS p2,
+                 game_no + CAST(takes_game AS INT) AS game_no, CASE WHEN takes_game THEN 3 - opener ELSE opener END AS opener FROM (
+            SELECT *, greatest(p1, p2) >= CASE WHEN tb THEN 7 ELSE 4 END AND abs(p1 - p2) >= 2 AND v > 0 AS takes_game FROM (
+              SELECT k, i, v, tb, s1, s2, g1, g2, p1 + CAST(v = 1 AS INT) AS p1, p2 + CAST(v = 2 AS INT) AS p2, game_no, opener FROM (
+                SELECT *, CASE WHEN w > 0 THEN w WHEN rel = 0 THEN 0 WHEN rel = 1 THEN svr ELSE 3 - svr END AS v FROM (
+                  SELECT r.*EXCLUDE (i), e.i, e.w, e.rel, r.g1 = 6 AND r.g2 = 6 AS tb,
+                         CASE WHEN r.g1 = 6 AND r.g2 = 6 AND ((r.p1 + r.p2 + 1) // 2) % 2 = 1 THEN 3 - r.opener ELSE r.opener END AS svr
+                  FROM {name}_r r JOIN {name}_in e ON e.k = r.k AND e.i = r.i + 1)))))))),
+  {name} AS (
+    SELECT *, CASE WHEN g1 = 6 AND g2 = 6 THEN a || '-' || b WHEN least(a, b) < 3 THEN {_call('a')} || '-' || {_call('b')} WHEN a = b THEN '40-40' WHEN a > b THEN 'AD-40' ELSE '40-AD' END AS pts,
+           CASE rel WHEN 0 THEN 0 WHEN 1 THEN svr ELSE 3 - svr END AS derived FROM (
+      SELECT *, CASE WHEN svr = 1 THEN p1 ELSE p2 END AS a, CASE WHEN svr = 1 THEN p2 ELSE p1 END AS b FROM (
+        SELECT e.*, r.s1, r.s2, r.g1, r.g2, r.p1, r.p2, r.game_no,
+               CASE WHEN r.g1 = 6 AND r.g2 = 6 AND ((r.p1 + r.p2 + 1) // 2) % 2 = 1 THEN 3 - r.opener ELSE r.opener END AS svr
+        FROM {name}_in e JOIN {name}_r r ON r.k = e.k AND r.i = e.i - 1)))"""
+
+
+def _call(n: str) -> str:
+    return f"CASE {n} WHEN 0 THEN '0' WHEN 1 THEN '15' WHEN 2 THEN '30' ELSE '40' END"
+
+
+def _points_sql(winner: str) -> str:
+    return f"SELECT entity_id AS k, row_number() OVER (PARTITION BY entity_id ORDER BY seq, event_id) AS i, {winner} AS w, 0 AS rel, event_id FROM t"
+
+
+_WON = "CAST(1 + event_id % 2 AS INT)"
+_MOVED = f"CASE WHEN event_id % 50 = 0 THEN 3 - {_WON} ELSE {_WON} END"
+
+
 def matches(spark, sf):
     t = track(spark, sf)
-    return t.select("entity_id", F.floor(F.col("seq") / MATCH).alias("match"), "seq", "event_id", (1 + F.col("event_id") % 2).cast("int").alias("winner"))
+    return t.select("entity_id", F.lit(0).cast("long").alias("match"), "seq", "event_id", (1 + F.col("event_id") % 2).cast("int").alias("winner"))
 
 
 def replay(df, machine=Replay()):
     return fold(df, ["entity_id", "match"], ["seq", "event_id"], machine.new, machine.step, machine.schema)
 
 
-@query("score_replay")
+@query("score_replay", f"""WITH RECURSIVE {TRACK_SQL}, {replay_sql('m', _points_sql(_WON))}
+  SELECT k AS entity_id, 0::BIGINT AS match, event_id, s1 AS set1, s2 AS set2, g1 AS gm1, g2 AS gm2, pts, game_no, true AS tb_set, svr FROM m""")
 def score_replay(spark, sf):
     """Score context before every point of every match."""
     return replay(matches(spark, sf))
 
 
-@query("replay_after_edit")
+@query("replay_after_edit", f"""WITH RECURSIVE {TRACK_SQL}, {replay_sql('m', _points_sql(_WON))}, {replay_sql('n', _points_sql(_MOVED))}
+  SELECT n.k AS entity_id, 0::BIGINT AS match, event_id, m.pts AS old_pts, n.pts AS new_pts, n.s1 AS set1, n.s2 AS set2, n.g1 AS gm1, n.g2 AS gm2, n.svr FROM n JOIN m USING (event_id)
+  WHERE (n.s1, n.s2, n.g1, n.g2, n.pts, n.svr) <> (m.s1, m.s2, m.g1, m.g2, m.pts, m.svr)""")
 def replay_after_edit(spark, sf):
     """Flips the winner of some points and rescores only the matches they belong to;
     every later point whose context moved is reported."""
@@ -79,26 +123,27 @@ def replay_after_edit(spark, sf):
     return j.select("entity_id", "match", "event_id", F.col("o.pts").alias("old_pts"), F.col("pts").alias("new_pts"), "set1", "set2", "gm1", "gm2", "svr")
 
 
-@query("winner_conflicts")
+@query("winner_conflicts", f"""WITH RECURSIVE {POINTS_SQL}, {replay_sql('m', f"SELECT match_id AS k, row_number() OVER (PARTITION BY match_id ORDER BY pt, part, supp) AS i, attested AS w, coalesce({winner_sql('first_', 'second_')}, 0) AS rel, flags FROM pts")}
+  SELECT k AS match_id, count(*) AS points, count(*) FILTER (WHERE c) AS conflicts, count(*) FILTER (WHERE u) AS underivable, count(*) FILTER (WHERE c OR u) = 0 AS exportable
+  FROM (SELECT k, w = 0 AND derived = 0 AS u, w > 0 AND derived > 0 AND flags <> 'unseen' AND derived <> w AS c FROM m) GROUP BY 1""")
 def winner_conflicts(spark, sf):
     """Points whose string contradicts the attested winner under the replayed server;
     a match with one may not be exported."""
     rel = F.coalesce(N.winner(F.col("first_"), F.col("second_")), F.lit(0))
     df = points(spark, sf).withColumn("rel", rel).select("match_id", "pt", "part", "supp", "attested", "flags", "rel")
-    df = with_piece(df, "match_id", sf + "#points", F.col("part") * 31 + F.col("supp"))
+
+    rules = Rules()
 
     def step(state, r):
-        if not state:
-            state.append(MatchScore())
-        svr = state[0].server
+        svr = rules.server(state[0])
         derived = 0 if r.rel == 0 else svr if r.rel == 1 else 3 - svr
         w = r.attested or derived
         if not w:
             return [(r.match_id, r.pt, "underivable", False)]
-        state[0].play(int(w))
+        state[0] = rules.after(state[0], int(w))
         return [(r.match_id, r.pt, "ok", bool(derived and r.flags != "unseen" and derived != w))]
 
-    out = fold(df, ["match_id", "piece"], ["pt", "part", "supp"], list, step, "match_id long, pt int, status string, conflict boolean")
+    out = fold(df, ["match_id"], ["pt", "part", "supp"], lambda: [Count()], step, "match_id long, pt int, status string, conflict boolean")
     g = out.groupBy("match_id").agg(F.count("*").alias("points"), count_if(F.col("conflict")).alias("conflicts"), count_if(F.col("status") == "underivable").alias("underivable"))
     return g.withColumn("exportable", (F.col("conflicts") == 0) & (F.col("underivable") == 0))
 
@@ -128,11 +173,11 @@ def plateau_label(spark, sf):
 
 @query("plateau_online")
 def plateau_online(spark, sf):
-    """The same machine fed by a file stream; ids restart per entity, not per part."""
+    """The same machine fed by a file stream: every row of plateau_label, with its label."""
     ev = events_stream(spark, sf, "events*.parquet")
     k = F.floor(F.regexp_extract("props", r'"k": *(\d+)', 1).cast("double") / 25) * 25
     df = ev.select(F.col("user_id").alias("entity_id"), F.lit(0).cast("long").alias("part"), millis("ts").alias("seq"), "event_id", k.alias("level"), (F.col("event_type") != "error").alias("present"))
-    return run_available(stream_fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS), "plateau")
+    return run_available(stream_fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS), "plateau", LEVELS).drop("part")
 
 
 @query("segment_split_merge")

@@ -61,19 +61,21 @@ def score_model(spark, sf):
 def fold_stats(df):
     """Per held-out group: mean and population deviation over all the other groups.
 
-    Sums are taken once per group; a fold's sums are the totals minus its own, so the
-    rows are never multiplied by the number of folds.
+    Counts, means and squared deviations are taken once per group and moved to the common mean, so large means
+    do not cancel; a fold has the totals minus its own, so rows are never multiplied by the folds.
     """
-    aggs = [F.count("*").alias("n")] + [a for f in FEATURES for a in (F.sum(f).alias(f"s_{f}"), F.sum(F.col(f) * F.col(f)).alias(f"q_{f}"))]
-    g = df.groupBy("group_id").agg(*aggs)
-    tot = g.agg(*[F.sum(c).alias(f"t_{c}") for c in g.columns[1:]])
+    g = df.groupBy("group_id").agg(F.count("*").alias("n"), *[a for f in FEATURES for a in (F.avg(f).alias(f"m_{f}"), (F.var_pop(f) * F.count("*")).alias(f"d_{f}"))])
+    g = g.join(F.broadcast(g.agg(*[(F.sum(F.col("n") * F.col(f"m_{f}")) / F.sum("n")).alias(f"c_{f}") for f in FEATURES])))        # one row
+    off = {f: F.col(f"m_{f}") - F.col(f"c_{f}") for f in FEATURES}
+    g = g.withColumns({f"s_{f}": F.col("n") * off[f] for f in FEATURES} | {f"q_{f}": F.col(f"d_{f}") + F.col("n") * off[f] * off[f] for f in FEATURES})
+    tot = g.agg(*[F.sum(c).alias(f"t_{c}") for c in ["n", *[f"{k}_{f}" for f in FEATURES for k in "sq"]]])
     j = g.join(F.broadcast(tot))        # one row
     n = F.col("t_n") - F.col("n")
     cols = [F.col("group_id"), n.alias("n_train")]
     for f in FEATURES:
-        mu = (F.col(f"t_s_{f}") - F.col(f"s_{f}")) / n
-        var = F.greatest((F.col(f"t_q_{f}") - F.col(f"q_{f}")) / n - mu * mu, F.lit(0.0))
-        cols += [mu.alias(f"mu_{f}"), F.when(var < 1e-18, 1.0).otherwise(F.sqrt(var)).alias(f"sd_{f}")]
+        shift = (F.col(f"t_s_{f}") - F.col(f"s_{f}")) / n
+        var = F.greatest((F.col(f"t_q_{f}") - F.col(f"q_{f}")) / n - shift * shift, F.lit(0.0))
+        cols += [(F.col(f"c_{f}") + shift).alias(f"mu_{f}"), F.when(var < 1e-18, 1.0).otherwise(F.sqrt(var)).alias(f"sd_{f}")]
     return j.select(*cols)
 
 
@@ -128,14 +130,19 @@ def precision_threshold(df, target: float = PRECISION_TARGET, min_flags: int = M
 
 
 @query("running_precision_threshold", f"""WITH {SCORED_SQL}, f AS (SELECT DISTINCT group_id AS fold FROM fl), r AS (SELECT fold, p, count(*) OVER w AS n, sum(good) OVER w AS g FROM f JOIN fl ON fl.group_id <> f.fold
-     WINDOW w AS (PARTITION BY fold ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT fold, {q6(f'coalesce(min(CASE WHEN n >= {MIN_FLAGS} AND g::DOUBLE / n >= {PRECISION_TARGET} THEN p END), 9)')} AS t_high FROM r GROUP BY 1""")
+     WINDOW w AS (PARTITION BY fold ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT fold, {q6('t')} AS t_high, t IS NOT NULL AS has_threshold FROM (SELECT fold, min(CASE WHEN n >= {MIN_FLAGS} AND g::DOUBLE / n >= {PRECISION_TARGET} THEN p END) AS t FROM r GROUP BY 1)""")
 def running_precision_threshold(spark, sf):
     s = cut_lineage(scored(spark, sf).select("group_id", "doc_id", "good", "p"))
     folds = F.array(*[F.lit(i).cast("long") for i in range(FOLDS)])
     rows = s.select("doc_id", "good", "p", F.explode(F.array_remove(folds, F.col("group_id"))).alias("fold"))
     held = s.select(F.col("group_id").alias("fold")).distinct()
     t = precision_threshold(rows).join(F.broadcast(held), "fold", "left_semi")      # at most FOLDS rows
-    return t.select("fold", r6(F.least("t_high", F.lit(9.0))).alias("t_high"))
+    return t.select("fold", r6(finite("t_high")).alias("t_high"), finite("t_high").isNotNull().alias("has_threshold"))
+
+
+def finite(name: str):
+    """A threshold, or null where no p meets the target."""
+    return F.when(F.col(name) < float("inf"), F.col(name))
 
 
 @query("logistic_fit")
@@ -151,7 +158,7 @@ def logistic_fit(spark, sf):
 
 @query("lomo_flags")
 def lomo_flags(spark, sf):
-    return lomo(spark, sf).select("group_id", "doc_id", "good", r6(F.col("p"), 4).alias("p"), r6(F.least("t_high", F.lit(9.0)), 4).alias("t_high"), "high")
+    return lomo(spark, sf).select("group_id", "doc_id", "good", r6(F.col("p"), 4).alias("p"), r6(finite("t_high"), 4).alias("t_high"), "high")
 
 
 def tiers(df):
@@ -202,7 +209,7 @@ def gate_autopsy(spark, sf):
                                    count_if(good & ~above).alias("below"), *[F.avg(z[i]).alias(f"z{i}") for i in range(len(FEATURES))])
     j = g.join(F.broadcast(w), "group_id")          # one row per fold
     drags = F.array_sort(F.array(*[F.struct((F.col(f"z{i}") * F.col("weights")[i]).alias("drag"), F.lit(f).alias("feature")) for i, f in enumerate(FEATURES)]))
-    return j.select("group_id", "good", "flagged", "gate_blocked", "below", r6(F.least("t", F.lit(9.0)), 4).alias("t_high"),
+    return j.select("group_id", "good", "flagged", "gate_blocked", "below", r6(finite("t"), 4).alias("t_high"),
                     F.array_join(F.transform(F.slice(drags, 1, 4), lambda s: s["feature"]), ",").alias("drags"))
 
 
@@ -257,9 +264,9 @@ def forest_lomo(spark, sf):
 @query("onehot_logistic")
 def onehot_logistic(spark, sf):
     """Next-token model on one-hot context, trained and tested on a hash split of the orders."""
-    df = sequences(spark, sf).select("entity_id", "truth", F.posexplode("truth").alias("i", "token"))
-    at = lambda k: F.when(F.col("i") >= k, F.get("truth", F.col("i") - k)).otherwise("none")
-    df = df.select(split_of(F.col("entity_id").cast("string"), 100).alias("split"), F.substring("token", 1, 1).alias("y"), at(1).alias("p1"), at(2).alias("p2"), F.least("i", F.lit(12)).cast("string").alias("pos"))
+    back = lambda i, k: F.when(i >= k, F.get("truth", i - k)).otherwise("none")
+    rows = F.transform("truth", lambda t, i: F.struct(F.substring(t, 1, 1).alias("y"), back(i, 1).alias("p1"), back(i, 2).alias("p2"), F.least(i, F.lit(12)).cast("string").alias("pos")))
+    df = sequences(spark, sf).select(split_of(F.col("entity_id").cast("string"), 100).alias("split"), F.inline(rows))
     # equal rows are one weighted row: the fit sees hundreds of rows, not the corpus
     df = cut_lineage(df.groupBy("split", "y", "p1", "p2", "pos").agg(F.count("*").cast("double").alias("n")))
     tr, te = df.filter("split = 'train'"), df.filter("split = 'test'")

@@ -14,13 +14,11 @@ CENTER_X = COURT_W / 2
 SINGLES_MARGIN = 1.372
 SIDE_L, SIDE_R = SINGLES_MARGIN, COURT_W - SINGLES_MARGIN
 
-# ---- fixed values: view gate and flag smoothing ----
+# ---- fixed values: view gate ----
 INTERIOR_MIN, LINE_MIN = 0.80, 0.35
-SMOOTH_FLAGS, MERGE_GAP_S, MIN_RUN_S = 9, 0.6, 3.0
 
 # ---- fixed values: box hygiene ----
-HALF_SLACK, CX_SLACK, BEHIND = 2.0, 7.0, 8.0
-JUMP_M, MIN_NEIGHBOURS = 2.5, 3
+JUMP_M = 2.5
 REACH_SHARE, REACH_SLACK = 0.6, 30.0
 
 # ---- fixed values: votes of the alternation search ----
@@ -32,7 +30,6 @@ LADDER_QUALITY = {"land_near": 0.86, "contact": 0.77, "cross": 0.67, "land_far":
 # ---- fixed values: triage ----
 PRECISION_TARGET, MIN_FLAGS, GOOD_EDITS = 0.90, 5, 5
 TRUST_MIN, VERIFY_MIN = 0.80, 0.45
-IDLE_GAP_MS = 180_000
 
 # ---- fixed values: alphabets of the notation ----
 FOREHAND, BACKHAND, NEUTRAL = "frvoul", "bszpym", "hijkt"

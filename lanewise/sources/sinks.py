@@ -20,7 +20,9 @@ def write_new(df: DataFrame, path: str, force: bool = False, dry_run: bool = Fal
         return "would write"
     try:
         df.write.mode("overwrite" if force else "errorifexists").parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
         return "refused"
     return "written"
 
@@ -38,8 +40,10 @@ def append_log(df: DataFrame, path: str, session: str, mode: str) -> None:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash: one row, combined map-side."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """Order-free content hash: one row, combined map-side. Which cells are null counts too."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in sorted(df.columns)]
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.sum(row).cast("string").alias("digest"))
 
 
 def assert_unchanged(df: DataFrame, frozen: tuple) -> None:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.slices import add_slice
 from ..presets import COURT_L, COURT_W, TRACK
 
-MAX_SEQUENCE = 512          # longest token list graded as one piece
-BROADCAST_ROWS = 100_000    # a side is broadcast only after a count below this
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -56,63 +53,28 @@ TRACK_SQL = f"""t AS (
   FROM events)"""
 
 
-_LONG_KEYS: dict = {}
-
-
-def long_keys(df: DataFrame, key: str, cache_key: str, limit: int = MAX_SEQUENCE) -> DataFrame | None:
-    """Keys with more than `limit` rows and their piece count; None when there are none.
-
-    One column-pruned count per table and session. It decides how sequences are cut
-    before any shuffle, so an oversized key never reaches a single task.
-    """
-    memo = (df.sparkSession.sparkContext.applicationId, cache_key, key)
-    if memo not in _LONG_KEYS:
-        hot = (df.groupBy(key).count().filter(F.col("count") > limit)
-               .select(key, F.ceil(F.col("count") / limit).alias("_pieces")))
-        _LONG_KEYS[memo] = (hot, hot.limit(BROADCAST_ROWS + 1).count())
-    hot, n = _LONG_KEYS[memo]
-    if n == 0:
-        return None
-    return F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-
-
-def with_piece(df: DataFrame, key: str, cache_key: str, spread: Column) -> DataFrame:
-    """Adds `piece`: 0 for ordinary keys; for oversized ones `spread` modulo the number of
-    pieces, so a key of any size is worked on as sequences of about MAX_SEQUENCE tokens."""
-    hot = long_keys(df, key, cache_key)
-    if hot is None:
-        return df.withColumn("piece", F.lit(0).cast("long"))
-    return (df.join(hot, key, "left")
-            .withColumn("piece", F.coalesce(F.pmod(spread, F.col("_pieces")), F.lit(0)).cast("long"))
-            .drop("_pieces"))
-
-
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all orders with the token of each line and its piece."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-        F.concat("l_returnflag", "l_linestatus").alias("token"))
-    return with_piece(li, "l_orderkey", sf_dir, F.col("l_partkey") * 31 + F.col("l_suppkey"))
+    """Lines of all orders with the token of each line."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+                                                   F.concat("l_returnflag", "l_linestatus").alias("token"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """group_id, entity_id, piece, truth and draft: two orderings of one order's tokens."""
+    """group_id, entity_id, truth and draft: two orderings of one order's tokens, whole."""
     li = order_lines(spark, sf_dir)
     rest = ["l_partkey", "l_suppkey", "token"]
     pick = lambda c: F.transform(F.array_sort(c), lambda s: s["token"])
-    seq = (li.groupBy("l_orderkey", "piece")
+    seq = (li.groupBy("l_orderkey")
            .agg(pick(F.collect_list(F.struct("l_linenumber", *rest))).alias("truth"),
                 pick(F.collect_list(F.struct("l_shipdate", *rest))).alias("draft")))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return (seq.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(F.col("o_orderpriority").alias("group_id"), F.col("l_orderkey").alias("entity_id"),
-                    "piece", "truth", "draft"))
+                    "truth", "draft"))
 
 
-PIECE_SQL = f"""lp AS (SELECT *, CASE WHEN n_ > {MAX_SEQUENCE} THEN (l_partkey * 31 + l_suppkey) % CAST(ceil(n_ / {MAX_SEQUENCE}.0) AS BIGINT) ELSE 0 END AS piece
-    FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n_ FROM lineitem))"""
-SEQUENCE_SQL = f"""{PIECE_SQL}, q AS (
-  SELECT o_orderpriority AS group_id, l_orderkey AS entity_id, piece,
+SEQUENCE_SQL = """q AS (
+  SELECT o_orderpriority AS group_id, l_orderkey AS entity_id,
          list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus) AS truth,
          list(l_returnflag || l_linestatus ORDER BY l_shipdate, l_partkey, l_suppkey, l_returnflag || l_linestatus) AS draft
-  FROM lp JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""

@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the batch folds, and the active-time rollup."""
+"""Structured Streaming twins of the batch folds."""
 
 import json
 from collections.abc import Iterator
@@ -14,7 +14,7 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], machine) -> Da
     """Runs a machine of `operators.machines` over a stream; its state is one JSON string.
 
     Rows of a key are ordered inside each micro-batch, so the source must deliver them
-    in order across batches (a log does). Undecided rows wait in the state.
+    in order across batches (a log does). Undecided rows wait in the state until `run_available` closes it.
     """
     names = [f.strip().split()[0] for f in machine.schema.split(",")]
 
@@ -39,12 +39,28 @@ def events_stream(spark: SparkSession, folder: str, pattern: str, files_per_trig
     return r.parquet(folder)
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, name: str, machine=None) -> DataFrame:
     """Drains what the source holds now into a parquet sink with a checkpoint, and reads it.
 
-    File sink plus checkpoint make the result exactly-once across restarts."""
+    File sink plus checkpoint make the result exactly-once across restarts. With a machine, the rows that its
+    states still hold when the source is drained are closed by its `finish` and follow."""
     spark = df.sparkSession
-    out, ckpt = work_dir(spark, name), work_dir(spark, f"{name}-offsets")
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    root = work_dir(spark, name)
+    out, ckpt = f"{root}/rows", f"{root}/offsets"
+    q = df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    rows = spark.read.schema(df.schema).parquet(out)
+    return rows if machine is None else rows.unionByName(_closed(spark, ckpt, machine))
+
+
+def _closed(spark: SparkSession, ckpt: str, machine) -> DataFrame:
+    """What `finish` gives for every state of a drained stream; the stream itself is left as it is."""
+    names = [f.strip().split()[0] for f in machine.schema.split(",")]
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [row for text in pdf["state"] for row in machine.finish(json.loads(text))]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return spark.read.format("statestore").load(ckpt).select("value.groupState.state").mapInPandas(finish, machine.schema)

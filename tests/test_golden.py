@@ -1,11 +1,13 @@
 """Hand-checked cases of the notation, score, flight and session rules."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions import notation as N
-from lanewise.operators.machines import Gate, Plateau
-from lanewise.operators.score import MatchScore
+from lanewise.operators.machines import Gate, Plateau, Replay
+from lanewise.operators.score import Count, Rules
 from lanewise.presets import check_grammar
 
 
@@ -67,46 +69,53 @@ def test_edit_distance_and_ops(spark):
         assert [o[1] for o in r.o if o[0] != "ins"] == r.a and [o[2] for o in r.o if o[0] != "del"] == r.b
 
 
-def play(score, winners):
-    return [score.play(w) for w in winners]
+def play(rules, winners, c=None):
+    """Contexts before the points, and the counters after them."""
+    c, out = c or Count(), []
+    for w in winners:
+        out.append(rules.context(c))
+        c = rules.after(c, w)
+    return out, c
 
 
 def test_score_opening_and_deuce():
-    ctx = play(MatchScore(), [1, 1, 2, 2, 1, 2, 2, 1, 1, 1, 1])
+    ctx, _ = play(Rules(), [1, 1, 2, 2, 1, 2, 2, 1, 1, 1, 1])
     assert [c[4] for c in ctx[:8]] == ["0-0", "15-0", "30-0", "30-15", "30-30", "40-30", "40-40", "40-AD"]
     assert ctx[10][:4] == (0, 0, 1, 0) and ctx[10][7] == 2
 
 
-def to_six_all(score):
+def to_six_all(rules):
+    c = None
     for g in range(12):
-        play(score, [1 + g % 2] * 4)
-    return score
+        _, c = play(rules, [1 + g % 2] * 4, c)
+    return c
 
 
 def test_tiebreak_and_numbering():
-    s = to_six_all(MatchScore())
-    assert s.context()[2:] == (6, 6, "0-0", 13, True, 1)
-    servers = [c[7] for c in play(s, [1, 2, 1, 2, 1, 2])]
-    assert servers == [1, 2, 2, 1, 1, 2]
-    play(s, [1] * 4)
-    assert s.won == [1, 0] and s.games == [0, 0] and s.game_no == 14 and s.server == 2
+    r, c = Rules(), to_six_all(Rules())
+    assert r.context(c)[2:] == (6, 6, "0-0", 13, True, 1)
+    ctx, c = play(r, [1, 2, 1, 2, 1, 2], c)
+    assert [x[7] for x in ctx] == [1, 2, 2, 1, 1, 2]
+    _, c = play(r, [1] * 4, c)
+    assert c == Count(s1=1, game_no=14, opener=2) and r.server(c) == 2
 
 
 def test_deciding_set_variants():
-    adv = MatchScore(best_of=1, final_set="adv")
-    to_six_all(adv)
-    assert not adv.has_tiebreak and not adv.opener
-    tb10 = to_six_all(MatchScore(best_of=1, final_set="tb10"))
-    play(tb10, [1] * 9)
-    assert not tb10.over
-    play(tb10, [1])
-    assert tb10.over
-
-
-def test_score_round_trip():
-    s = MatchScore()
-    play(s, [1, 2, 2, 1, 1])
-    assert MatchScore.unpack(s.pack()).context() == s.context()
+    adv = Rules(best_of=1, final_set="adv")
+    c = to_six_all(adv)
+    assert adv.context(c)[6] is False and adv.kind(c) == "game"
+    tb10 = Rules(best_of=1, final_set="tb10")
+    _, c = play(tb10, [1] * 9, to_six_all(tb10))
+    assert not tb10.over(c)
+    assert tb10.over(tb10.after(c, 1))
+
+
+def test_replay_state_is_plain():
+    m = Replay()
+    st = m.new()
+    for w in [1, 2, 2, 1, 1]:
+        m.step(st, Row(entity_id=1, match=0, event_id=0, winner=w))
+    assert Count(*json.loads(json.dumps(st))) == Count(p1=3, p2=2)
 
 
 class Row:
