@@ -13,7 +13,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import columns, saved
+from .store import columns, partitions, row_key, saved
 
 CHUNK_ROWS, CELLS, WALK, ROUNDS = 100_000, 1024, 40, 4
 
@@ -67,29 +67,23 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
     return walk
 
 
-def row_key() -> list[Column]:
-    """128-bit digest of (doc_id, source, text); never null."""
-    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "source", "text")])
-    return [F.xxhash64("doc_id", "source", "text", nulls).alias("k1"), F.xxhash64(nulls, "text", "source", "doc_id").alias("k2")]
-
-
 def placed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source) as (doc_id, source, size, k1, k2, row, start).
+    """docs(doc_id, text, source) as (doc_id, source, size, __k1, __k2, row, start).
 
-    row numbers the source's rows, start is the word offset in the source's stream, k1 and k2 digest the row.
+    row numbers the source's rows, start is the word offset in the source's stream, __k1 and __k2 digest the row.
     """
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row_key()), "sizes")
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row_key("doc_id", "source", "text")), "sizes")
     chunks = max(1, -(-sized.count() // CHUNK_ROWS)) * 4
-    sized = sized.withColumn("chunk", F.pmod(F.col("k1"), F.lit(chunks)))
+    sized = sized.withColumn("chunk", F.pmod(F.col("__k1"), F.lit(chunks)))
     sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     run = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("chunk").alias("c"), F.col("source").alias("s"), F.coalesce(F.sum("words").over(run), F.lit(0)).alias("base"),
                        F.coalesce(F.sum("rows").over(run), F.lit(0)).alias("base_row"))
-    inner = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", "k1", "k2")
+    inner = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", "__k1", "__k2")
     return saved(sized.withColumn("nth", F.row_number().over(inner))
                  .withColumn("upto", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
                  .join(base, (F.col("chunk") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")))
-                 .select("doc_id", "source", "size", "k1", "k2", (F.col("base_row") + F.col("nth")).alias("row"),
+                 .select("doc_id", "source", "size", "__k1", "__k2", (F.col("base_row") + F.col("nth")).alias("row"),
                          (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "placed")
 
 
@@ -127,7 +121,7 @@ def drawn(q: DataFrame, shard_slots: int, seed: int) -> DataFrame:
 
 def slots(draws: DataFrame, seed: int) -> DataFrame:
     """(shard, source, draw, pass, block) of every slot."""
-    s = draws.select("shard", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
+    s = draws.repartition(partitions(draws.sparkSession), "shard", "source").select("shard", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
     s = s.withColumn("pass", F.floor(F.col("draw") / F.col("blocks")))
     return s.withColumn("block", permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64("source", "pass", F.lit(seed))))
 
@@ -178,10 +172,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken = (picks.groupBy("source", "row", "pass").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("pieces"))
              .withColumnsRenamed({"source": "s", "row": "r"}))
     rows = (stream.join(taken, (F.col("row") == F.col("r")) & F.col("source").eqNullSafe(F.col("s")))
-            .select("k1", "k2", (F.col("n") == F.col("size")).alias("whole"), "pieces"))
+            .select("__k1", "__k2", (F.col("n") == F.col("size")).alias("__whole"), F.col("pieces").alias("__pieces")))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(F.col("w"), p["at"].cast("int") + 1, p["words"].cast("int")))), "")
-    once = docs.select("*", *row_key()).dropDuplicates(["k1", "k2"])
-    met = once.join(rows, ["k1", "k2"]).withColumn("w", F.when(~F.col("whole"), words))
-    met = met.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(F.rtrim(part)))
+    part = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(F.col("__w"), p["at"].cast("int") + 1, p["words"].cast("int")))), "")
+    once = docs.select("*", *row_key("doc_id", "source", "text")).dropDuplicates(["__k1", "__k2"])
+    met = once.join(rows, ["__k1", "__k2"]).withColumn("__w", F.when(~F.col("__whole"), words))
+    met = met.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(F.rtrim(part)))
     return met.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
