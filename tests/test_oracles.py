@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from lanewise.plans import QUERIES
 
 # these fit models or chain many stages; they are run by check.py
 SLOW = {"lomo_flags", "gate_ab", "gate_autopsy", "forest_lomo", "detect_events", "point_signals", "launch_assign"}
@@ -14,10 +15,10 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, con, sf, name):
     message, _, ok = compare(spark, con, name, sf)
-    assert ok is not False, message
+    assert ok is not False and not message.startswith("rows 0"), message
 
 
 def test_entry(spark):

@@ -12,7 +12,7 @@ HOT = {
     "documents": "CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE source END AS source",
 }
 NAMES = """net_crossings chain_split bool_smooth_runs cusp_candidates toss_peak crossing_extrapolate active_time session_gap gated_fill asof_nearest
-edit_effort_curve label_from_evidence tokenize_chart_rows sink_partitioned score_key_join monotonic_check dedupe_first tier_table standardize latest_wins""".split()
+edit_effort_curve label_from_evidence tokenize_chart_rows sink_partitioned score_key_join monotonic_check dedupe_first winner_conflicts prev_next_features prior_rerank score_replay tier_table standardize latest_wins""".split()
 
 
 @pytest.fixture(scope="module")
