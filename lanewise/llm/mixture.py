@@ -147,7 +147,8 @@ def mixed(docs: DataFrame, block: int = 64, weights: int = 3, most: float = 3.0,
     q = quotas(stream, block, weights, most)
     s = slots(drawn(q, shard_slots, seed), seed).withColumnRenamed("source", "src")
     pieces = spans(stream, block)
-    picks = (pieces.join(s, (pieces["block"] == s["block"]) & pieces["source"].eqNullSafe(s["src"]))
+    # slots are made by explosion, so their size shows too late: never broadcast them
+    picks = (pieces.join(s.hint("merge"), (pieces["block"] == s["block"]) & pieces["source"].eqNullSafe(s["src"]))
              .select("shard", "pass", "draw", "row", "source", "doc_id", "at", "words"))
     return stream, q, picks
 
