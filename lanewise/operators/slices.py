@@ -1,14 +1,14 @@
 """Ordered per-entity operators that never hold one entity in one task.
 
 A window partitioned by entity puts a hot entity (which may own a third of all
-rows) into a single task. Here every entity is cut into slices of bounded time
-width and each window runs per (entity, slice). What a slice needs from its
+rows) into a single task. Here every entity is cut into slices of a bounded number of
+rows (or, for derived tables, of bounded time width) and each window runs per (entity, slice). What a slice needs from its
 neighbours is carried by a summary with one row per slice: the few rows at its
 edges, the sum of a column, or the last non-null value. The summaries are orders
 of magnitude smaller than the data, so ordering them per entity is cheap; they
 come back by a join on (entity, slice), on which the data is partitioned already.
 
-All helpers expect columns `slice` (see `add_slice`), the key columns and a total
+All helpers expect columns `slice` (see `row_slices`, `add_slice`), the key columns and a total
 order.
 """
 
@@ -25,6 +25,19 @@ def add_slice(df: DataFrame, width, seq: str = "seq") -> DataFrame:
     return df.withColumn("slice", F.floor(F.col(seq) / F.lit(width)).cast("long"))
 
 
+def row_slices(df: DataFrame, rows: int, grid: int, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
+    """Adds `slice`: consecutive stretches of an entity of about `rows` rows each.
+
+    Rows are counted per (entity, grid cell); a slice ends at the first cell edge after `rows` rows, so however
+    dense or long an entity is, a task gets at most `rows` rows and one cell. Sparse entities are one slice.
+    """
+    cell = F.floor(F.col(seq) / F.lit(grid)).cast("long")
+    counted = df.select(*keys, cell.alias("_cell")).groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long").alias("slice"))
+    return df.withColumn("_cell", cell).join(cells, [*keys, "_cell"]).drop("_cell")
+
+
 def slice_window(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER):
     return Window.partitionBy(*keys, "slice").orderBy(*order)
 

@@ -57,7 +57,8 @@ class Track:
 
     second: int = 8 * HOUR
     frame: int = 8 * HOUR // 30
-    slice_ms: int = 10 * DAY        # widest stretch of one entity given to one task
+    slice_rows: int = 500_000       # rows of one entity given to one task
+    slice_ms: int = 10 * DAY        # widest stretch of an entity's derived rows (chains, runs) given to one task
     hole: int = 12 * HOUR           # gap between samples that counts as a hole
     dead_gap: int = 24 * HOUR       # 3 s
     long_gap: int = 16 * HOUR       # 2 s

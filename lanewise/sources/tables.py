@@ -5,8 +5,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.slices import add_slice
-from ..presets import COURT_L, COURT_W, TRACK
+from ..operators.slices import row_slices
+from ..presets import COURT_L, COURT_W, HOUR, TRACK
+
+SLICE_ROWS = TRACK.slice_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +41,8 @@ def track(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
     return out.select("group_id", "entity_id", "seq", "event_id", "kind", "y", "x", "cx", "cy", *extra)
 
 
-def sliced_track(spark: SparkSession, sf_dir: str, width: int = TRACK.slice_ms) -> DataFrame:
-    return add_slice(track(spark, sf_dir), width)
+def sliced_track(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    return row_slices(track(spark, sf_dir), rows or SLICE_ROWS, HOUR)
 
 
 # The same track for the oracle.

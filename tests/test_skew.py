@@ -1,9 +1,15 @@
 """The oracles again on tables where one key holds a third of all rows."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
 from check import TABLES, compare, connect
+from lanewise.operators.slices import row_slices
+from lanewise.presets import HOUR
+from lanewise.sources import tables
+from lanewise.sources.tables import track
 
 HOT = {
     "events": "CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id",
@@ -29,3 +35,19 @@ def hot_dir(tmp_path_factory, sf):
 def test_hot_key(spark, hot_dir, name):
     message, _, ok = compare(spark, connect(hot_dir), name, hot_dir)
     assert ok, message
+
+
+def test_hot_entity_is_spread_by_rows(spark, hot_dir):
+    """An entity with a third of all rows is many slices of about equal size, in order of time."""
+    df = row_slices(track(spark, hot_dir), 20, HOUR).filter("entity_id = 1")
+    rows = sorted((r.seq, r.slice) for r in df.select("seq", "slice").collect())
+    sizes = Counter(s for _, s in rows)
+    assert [s for _, s in rows] == sorted(s for _, s in rows)
+    assert len(sizes) >= 16 and max(sizes.values()) <= 2 * len(rows) / len(sizes)
+
+
+@pytest.mark.parametrize("name", ["net_crossings", "chain_split", "gated_fill", "active_time"])
+def test_many_slices_give_the_same(spark, hot_dir, name, monkeypatch):
+    monkeypatch.setattr(tables, "SLICE_ROWS", 9)
+    message, _, ok = compare(spark, connect(hot_dir), name, hot_dir)
+    assert ok, message
