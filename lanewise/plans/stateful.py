@@ -123,7 +123,7 @@ def replay_after_edit(spark, sf):
     return j.select("entity_id", "match", "event_id", F.col("o.pts").alias("old_pts"), F.col("pts").alias("new_pts"), "set1", "set2", "gm1", "gm2", "svr")
 
 
-@query("winner_conflicts", f"""WITH RECURSIVE {POINTS_SQL}, {replay_sql('m', f"SELECT match_id AS k, row_number() OVER (PARTITION BY match_id ORDER BY pt, part, supp) AS i, attested AS w, coalesce({winner_sql('first_', 'second_')}, 0) AS rel, flags FROM pts")}
+@query("winner_conflicts", f"""WITH RECURSIVE {POINTS_SQL}, {replay_sql('m', f"SELECT match_id AS k, row_number() OVER (PARTITION BY match_id ORDER BY pt, part, supp, attested, flags, rel) AS i, attested AS w, rel, flags FROM (SELECT *, coalesce({winner_sql('first_', 'second_')}, 0) AS rel FROM pts)")}
   SELECT k AS match_id, count(*) AS points, count(*) FILTER (WHERE c) AS conflicts, count(*) FILTER (WHERE u) AS underivable, count(*) FILTER (WHERE c OR u) = 0 AS exportable
   FROM (SELECT k, w = 0 AND derived = 0 AS u, w > 0 AND derived > 0 AND flags <> 'unseen' AND derived <> w AS c FROM m) GROUP BY 1""")
 def winner_conflicts(spark, sf):
@@ -143,7 +143,7 @@ def winner_conflicts(spark, sf):
         state[0] = rules.after(state[0], int(w))
         return [(r.match_id, r.pt, "ok", bool(derived and r.flags != "unseen" and derived != w))]
 
-    out = fold(df, ["match_id"], ["pt", "part", "supp"], lambda: [Count()], step, "match_id long, pt int, status string, conflict boolean")
+    out = fold(df, ["match_id"], ["pt", "part", "supp", "attested", "flags", "rel"], lambda: [Count()], step, "match_id long, pt int, status string, conflict boolean")
     g = out.groupBy("match_id").agg(F.count("*").alias("points"), count_if(F.col("conflict")).alias("conflicts"), count_if(F.col("status") == "underivable").alias("underivable"))
     return g.withColumn("exportable", (F.col("conflicts") == 0) & (F.col("underivable") == 0))
 
