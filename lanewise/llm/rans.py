@@ -24,26 +24,32 @@ U, LOW = np.uint64, np.uint64(1 << 16)
 _HEAD = struct.Struct("<8sQIIQQ")                                  # magic, ids, symbols, blocks, documents, words
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols present and their frequencies, at least 1 each, adding up to 2**16."""
-    symbols, count = np.unique(ids, return_counts=True)
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols present, their frequencies (at least 1 each, adding up to 2**16), and the place of each id among the symbols."""
     total = 1 << BITS
+    if not len(ids):
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    if int(ids.max()) < 1 << 22:                                   # a vocabulary: count by table, without sorting
+        count = np.bincount(ids)
+        symbols = np.flatnonzero(count)
+        count = count[symbols]
+        place = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        index = place[ids]
+    else:
+        symbols, index, count = np.unique(ids, return_inverse=True, return_counts=True)
     if len(symbols) > total:
         raise ValueError(f"a file can hold at most {total} different ids")
-    if not len(symbols):
-        return symbols.astype(np.uint32), np.zeros(0, np.uint32)
     freq = 1 + (count * (total - len(symbols)) // len(ids))
     freq[np.argmax(count)] += total - freq.sum()
-    return symbols.astype(np.uint32), freq.astype(np.uint32)
-
+    return symbols.astype(np.uint32), freq.astype(np.uint32), index
 
 
 def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """The bytes of a file with these documents."""
-    symbols, freq = frequencies(ids)
+    symbols, freq, index = frequencies(ids)
     cum = np.concatenate([[0], np.cumsum(freq, dtype=np.uint64)[:-1]]).astype(U) if len(freq) else np.zeros(0, U)
     blocks = -(-len(ids) // BLOCK)
-    index = np.searchsorted(symbols, ids)
     padded = np.zeros(blocks * BLOCK, np.int64)
     padded[:len(ids)] = index
     valid = np.arange(blocks * BLOCK) < len(ids)

@@ -2,7 +2,8 @@
 
 A byte-level tokenizer of this family always starts a new piece at a single space between two
 visible characters. Texts are cut there, each distinct piece is encoded once by the library, and its
-ids are kept in a bounded memory of the worker; the ids of a text are those of its pieces in order.
+ids are kept in a bounded memory of the worker; the ids of a text are those of its pieces in order. A mark after
+a letter starts a piece of its own too, so a new piece that ends so is put together from what stands before it.
 """
 
 import functools
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 KEPT_PIECES = 800_000
+MARKS = ",.;:!?"
 _CUT, _NEAR = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
 
@@ -27,7 +29,8 @@ def _tokenizer(path: str):
         raise ValueError(f"a byte-level tokenizer is needed, not {kind}")
     size = tok.get_vocab_size()
     width = np.array([len(tok.id_to_token(i) or "") for i in range(size)], np.int64)   # one character stands for one byte
-    return tok, width, {}
+    marks = {m: np.array(e.ids, "<u4").tobytes() for m, e in zip(MARKS, tok.encode_batch_fast(list(MARKS), add_special_tokens=False))}
+    return tok, width, {}, marks
 
 
 def _pieces(text: str) -> list[str]:
@@ -48,7 +51,7 @@ def _together(tok, width: np.ndarray, words: list[str]) -> list[bytes]:
 
 def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     """Ids (little-endian unsigned 32-bit) of each text; a null text has none."""
-    tok, width, kept = _tokenizer(path)
+    tok, width, kept, marks = _tokenizer(path)
     words, firsts, ends = [], [], []
     for t in texts:
         parts = _pieces(t) if t else [""]
@@ -59,9 +62,15 @@ def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     gaps = [i for i, v in enumerate(ids) if v is None]
     if gaps:
         new = dict.fromkeys([words[i] for i in gaps])
-        plain = [w for w in new if not w[-1].isspace()]
+        bases = {w: w[:-1] for w in new if w[-1] in MARKS and len(w) > 1 and w[-2] < "ɐ" and w[-2].isalpha()}
+        for b in bases.values():
+            if b not in kept:
+                new.setdefault(b)
+        plain = [w for w in new if w not in bases and not w[-1].isspace()]
         if plain:
             new.update(zip(plain, _together(tok, width, plain)))
+        for w, b in bases.items():
+            new[w] = (kept.get(b) or new[b]) + marks[w[-1]]
         apart = [w for w, v in new.items() if v is None]
         for w, e in zip(apart, tok.encode_batch_fast([" " + w for w in apart], add_special_tokens=False)):
             new[w] = np.array(e.ids, "<u4").tobytes()
