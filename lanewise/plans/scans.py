@@ -98,12 +98,12 @@ def sink_no_overwrite(spark, sf):
     return report.join(F.broadcast(spark.read.parquet(path).agg(F.count("*").alias("n"))))      # one row
 
 
-@query("sink_append_log", "SELECT CASE event_type WHEN 'view' THEN 'a' ELSE 'b' END AS session, 'cold' AS mode, count(*) AS n, count(*) AS stamped FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+@query("sink_append_log", "SELECT CASE event_type WHEN 'view' THEN 'a' ELSE 'b' END AS session, 'cold' AS mode, count(*) AS n, count(*) AS stamped FROM events GROUP BY 1")
 def sink_append_log(spark, sf):
     path = sinks.work_dir(spark, "log")
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
-    for session, kind in (("a", "view"), ("b", "click")):
-        sinks.append_log(e.filter(F.col("event_type") == kind), path, session, "cold")
+    for session, mine in (("a", F.col("event_type") == "view"), ("b", F.col("event_type") != "view")):
+        sinks.append_log(e.filter(mine), path, session, "cold")
     log = spark.read.schema("event_id LONG, session STRING, mode STRING, server_ts_ms LONG").json(path)
     return log.groupBy("session", "mode").agg(F.count("*").alias("n"), F.count("server_ts_ms").alias("stamped"))
 

@@ -10,6 +10,7 @@ from ..operators import slices as S
 
 from ..presets import MIN_FLAGS, PRECISION_TARGET
 from ..session import cut_lineage
+from ..sources.sinks import work_dir
 from ..sources.tables import sequences, spread_scan, table
 from .aggregates import pooled, sums
 from .grading import GRADED_SQL, graded, split_of
@@ -286,9 +287,12 @@ def onehot_logistic(spark, sf):
 
 @query("sink_json_report", f"""WITH {SCORED_SQL} SELECT group_id, '{{"n":' || count(*) || ',"n_high":' || CAST(coalesce(sum(CASE WHEN high THEN 1 ELSE 0 END), 0) AS BIGINT) || '}}' AS report FROM fl GROUP BY 1""")
 def sink_json_report(spark, sf):
-    """The sidecar a downstream report reads: one JSON object per group."""
+    """The sidecar a downstream report reads: one JSON object per group, written as a file and read back."""
     g = scored(spark, sf).groupBy("group_id").agg(F.count("*").alias("n"), count_if(F.col("high")).alias("n_high"))
-    return g.select("group_id", F.to_json(F.struct("n", "n_high")).alias("report"))
+    path = work_dir(spark, "report")
+    g.write.mode("errorifexists").json(path)
+    back = spark.read.schema(g.schema).json(path)
+    return back.select("group_id", F.to_json(F.struct("n", "n_high")).alias("report"))
 
 
 
