@@ -25,7 +25,7 @@ from .components import components
 from .store import columns, partitions, saved
 from .words import U, flat, mix, shingle_sets
 
-BLOCK_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST, DEALS = 1 << 20, 64, 8, 1 << 16, 1
+BLOCK_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST, DEALS = 1 << 19, 64, 8, 1 << 16, 1
 BROADCAST_BYTES = 32 << 20
 
 
@@ -35,7 +35,7 @@ def prefix_length(n, percent: int):
 
 
 def _blocks(batches, k: int):
-    """(ids, sets) of about a million shingles each."""
+    """(ids, sets) of about half a million shingles each."""
     ids, sets, size = [], [], 0
     for batch in batches:
         offsets, data = flat(batch.column("text"))

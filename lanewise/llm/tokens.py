@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-KEPT_PIECES = 800_000
+KEPT_PIECES = 250_000
 MARKS = ",.;:!?"
 _CUT, _NEAR = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
