@@ -13,6 +13,9 @@ from lanewise.llm.store import saved
 
 #: Most bytes of document ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 32 << 20
+#: Boilerplate is on more than this share of a source's documents, on so many at least and on so many different lengths. By
+#: counts on the given tables (README): sources are broad, so the share is a tenth of that of op9's SQL.
+LINE_RATIO, LINE_PAGES, LINE_SIZES = 0.01, 5, 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their source's boilerplate lines; n_chars follows the text."""
-    cleaned = boilerplate.drop_boilerplate(docs, "source").drop("n_lines", "n_dropped")
+    cleaned = boilerplate.drop_boilerplate(docs, "source", LINE_RATIO, LINE_PAGES, LINE_SIZES).drop("n_lines", "n_dropped")
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

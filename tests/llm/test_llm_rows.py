@@ -222,6 +222,16 @@ def test_pipeline_stages_with_edges(spark, edge_docs, no_docs, tmp_path):
         assert set(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
 
 
+def test_line_dedup_stage(spark):
+    """A line on 2 % of a source's documents goes; clean lines, and the lines of copies and near copies, stay."""
+    rows = [(i, f"head {i}\n" + " All rights reserved.\t\n" * (i < 8) + "rare line\n" * (i < 4) + "w" * i, "en", "s", 1) for i in range(400)]
+    rows += [(1000 + i, "one text\nthat is copied", "en", "s", 1) for i in range(12)] + [(2000 + i, f"near copy\nits end {i}", "en", "s", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert {d: r.text for d, r in got.items()} == {d: t.replace(" All rights reserved.\t\n", "") for d, t, *_ in rows}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_near_duplicate_stage(spark, edge_docs, edge_rows, monkeypatch):
     rows = [r[:2] for r in edge_rows]
     groups = near_groups(rows)
