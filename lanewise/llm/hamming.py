@@ -3,7 +3,7 @@
 Codes of 64 bits are cut into four segments of 16. A code within distance d of a query agrees with it up to
 floor(d / 4) bits in at least one segment, so searching segments in turn at growing radii covers ever larger whole distances;
 a query stops when the distance of its k-th verified neighbour is covered. The codes are dealt to shards
-of bounded size; every block of queries searches every shard and keeps k rows of it.
+of bounded size; every block of queries searches every shard and keeps k ids of it, however many codes an id has.
 """
 
 from itertools import combinations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .store import saved
 
 SEGMENTS, WIDTH, SHARD_CODES, QUERY_BLOCK = 4, 16, 1 << 19, 1 << 12
-FOUND = "query_id long, query_code long, code long, distance long"
+FOUND = "query_id long, neighbor_id long, distance long"
 
 
 def sign_code(vector: Column, dims: int = 64) -> Column:
@@ -84,31 +84,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64)
     coded = saved(vectors.select(F.col("id").alias("id"), sign_code(F.col("vector"), dims).alias("code")).where("id is not null and code is not null").distinct(), "codes")
     asked = saved(queries.select(F.col("id").alias("query_id"), sign_code(F.col("vector"), dims).alias("query_code"))
                   .where("query_id is not null and query_code is not null").distinct(), "asked")
-    # copies of a code stand as one code with its k + 1 smallest ids; the rank limit is applied before the shuffle too
+    # copies of a code stand as one code with its k + 1 smallest ids: k of them are not the query's, and no id left out ranks before those
     named = saved(coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1).drop("n"), "named")
-    codes = named.select("code").distinct()
-    shards = max(1, -(-codes.count() // SHARD_CODES))
+    shards = max(1, -(-named.count() // SHARD_CODES))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = (codes.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int"))
+    left = (named.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     right = (asked.withColumn("block", F.pmod(F.xxhash64("query_id", "query_code"), F.lit(blocks)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
 
     def search(codes_in: pa.Table, asked_in: pa.Table) -> pa.Table:
-        held = np.sort(codes_in.column("code").to_numpy()) if codes_in.num_rows else np.zeros(0, np.int64)
-        index = MultiIndex(held)
-        parts = [[], [], [], []]
+        code, ids = [codes_in.column(c).to_numpy() if codes_in.num_rows else np.zeros(0, np.int64) for c in ("code", "id")]
+        order = np.argsort(code, kind="stable")
+        held, first, n = np.unique(code[order], return_index=True, return_counts=True)
+        index, ids, every = MultiIndex(held), ids[order], np.unique(ids)
+        parts = [[], [], []]
         for qid, q in zip(asked_in.column("query_id").to_pylist(), asked_in.column("query_code").to_pylist()):
-            pos, dist = index.search(q, k + 1)                     # one more: the query's own row may be among them
-            for p, v in zip(parts, (np.full(len(pos), qid), np.full(len(pos), q), held[pos], dist)):
+            at = np.searchsorted(every, qid)
+            want = min(k, len(every) - int(at < len(every) and every[at] == qid))
+            near = k + 1                                           # one more: the query's own row may be among them
+            while True:
+                pos, dist = index.search(q, near)
+                row = np.repeat(first[pos] - (np.cumsum(n[pos]) - n[pos]), n[pos]) + np.arange(n[pos].sum())
+                other, far = ids[row], np.repeat(dist, n[pos])
+                other, far = other[other != qid], far[other != qid]
+                rank = np.lexsort((other, far))
+                rank = rank[np.sort(np.unique(other[rank], return_index=True)[1])]     # each id where it is nearest
+                if len(rank) >= want:
+                    break
+                near *= 2                                          # ids with several codes took up places
+            rank = rank[:k]
+            for p, v in zip(parts, (np.full(len(rank), qid), other[rank], far[rank])):
                 p.append(v)
         return pa.table([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), pa.int64()) for p in parts], [f.split()[0] for f in FOUND.split(", ")])
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, FOUND)
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    # of a query's codes only those as near as the (k + 1)-th over all shards can matter
-    near = Window.partitionBy("query_id").orderBy("distance")
-    kept = found.withColumn("r", F.rank().over(near)).where(F.col("r") <= k + 1)
-    return (kept.join(named.withColumnRenamed("id", "neighbor_id"), "code").where("neighbor_id <> query_id")
-            .groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
+    return (found.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", "distance"))

@@ -192,6 +192,28 @@ def test_hamming(spark):
     assert plain(got, "query_id", "rank", "neighbor_id", "distance") == ordered(want)
 
 
+@pytest.mark.parametrize("shard", [1 << 19, 12])
+def test_hamming_ids_with_many_codes(spark, monkeypatch, shard):
+    """A query and a neighbour with 15 near codes each, and a code that many ids share, take no places from others."""
+    monkeypatch.setattr(hamming, "SHARD_CODES", shard)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=64)
+    near = lambda n: (base * np.where(np.isin(np.arange(64), rng.choice(64, n, replace=False)), -1, 1)).tolist()
+    rows = [(i, near(n)) for i in (0, 1) for n in range(1, 4) for _ in range(5)] + [(i, near(20)) for i in range(2, 14)]
+    rows += [(i, base.tolist()) for i in (0, 1, 2)] + [(100 + i, rows[20][1]) for i in range(14)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    for k in (3, 10, 40):
+        want = []
+        for q in (0, 1, 5, 100):
+            d = {}
+            for a, x in rows:
+                for b, y in rows:
+                    if a == q != b:
+                        d[b] = min(d.get(b, 99), sum(m != n for m, n in zip(_code(x), _code(y))))
+            want += [(q, r + 1, i, n) for r, (n, i) in enumerate(sorted((n, i) for i, n in d.items())[:k])]
+        assert plain(hamming.nearest(df, df.where("id in (0, 1, 5, 100)"), k), "query_id", "rank", "neighbor_id", "distance") == ordered(want)
+
+
 def test_hamming_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(hamming, "SHARD_CODES", 50)
     monkeypatch.setattr(hamming, "QUERY_BLOCK", 3)
