@@ -6,6 +6,8 @@ zero, so the model is a few hundred numbers that travel with the task. The margi
 toxic comes from folds of the training rows on which their model was not fit.
 """
 
+import hashlib
+import tempfile
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from .store import columns
 from .words import U, flat, mix, word_hashes
 
-#: Most labelled rows a model is fit on: those with the smallest hashes of doc_id.
+#: Most labelled rows a model is fit on: those with the smallest hashes of doc_id, then of text. Their features, of any length,
+#: lie in a file of the task that fits.
 MAX_TRAINING_ROWS = 12_000
 BITS, EPOCHS, ALPHA, BETA, L1, FOLDS = 20, 3, 1.0, 1.0, 5.0, 4
 
@@ -110,8 +113,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Model:
     """Fits on docs(doc_id, text) with labels(doc_id, toxic), held-out rows left out.
 
-    At most `most` labelled ids count, chosen by hash; their rows' features are made where the texts are and
-    meet in one task. Null labels are no labels; of several for one id the largest counts.
+    At most `most` labelled rows count, chosen by hash; their features are made where the texts are and
+    meet in one task, on its disk. Null labels are no labels; of several for one id the largest counts.
     """
     known = (columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
@@ -120,15 +123,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mo
     def rows(batches):
         for batch in batches:
             cells = [f.tobytes() for f in features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), pa.array(cells, pa.binary())], ["h", "toxic", "cells"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h", "toxic", "times")], pa.array(cells, pa.binary())], ["h", "toxic", "times", "cells"])
 
     def train(batches):
-        got = sorted((h, t, c) for b in batches for h, t, c in zip(*[x.to_pylist() for x in b.columns]))
-        m = fit_rows([np.frombuffer(c, np.int32) for _, _, c in got], np.array([t for _, t, _ in got], np.int64))
+        with tempfile.TemporaryFile() as file:
+            got, end = [], 0
+            for b in batches:
+                for h, t, times, c in zip(*[x.to_pylist() for x in b.columns]):
+                    file.write(c)
+                    got.append((h, t, hashlib.blake2b(c, digest_size=16).digest(), end, end := end + len(c) // 4, times))
+            file.flush()
+            cells = np.memmap(file, np.int32, "r") if end else np.zeros(0, np.int32)
+            got = [r for r in sorted(got) for _ in range(r[-1])]
+            m = fit_rows([cells[a:b] for _, _, _, a, b, _ in got], np.array([r[1] for r in got], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1).astype(np.int32)), pa.array(np.append(m.weight, m.bias))], ["index", "weight"])
 
-    made = (columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("h", "toxic", "text")      # `most` small rows
-            .mapInArrow(rows, "h long, toxic int, cells binary"))
+    met = columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("h", "toxic", "text", "doc_id")   # `most` small rows
+    if met.count() <= most:
+        met = met.select("h", "toxic", F.lit(1).alias("times"), "text")
+    else:                                                          # ids repeat: rows are chosen by their hashes, equal ones once with their number
+        met = met.withColumn("k", F.xxhash64("text"))
+        sizes = met.groupBy("h", "doc_id", "k").agg(F.count("*").alias("n")).orderBy("h", "doc_id", "k").limit(most).collect()
+        left = np.maximum(most - np.cumsum([0, *[r.n for r in sizes]]), 0)
+        chosen = [(r.doc_id, r.k, int(min(r.n, m))) for r, m in zip(sizes, left) if m]
+        times = docs.sparkSession.createDataFrame(chosen, "doc_id long, k long, times int")
+        met = (met.join(F.broadcast(times), ["doc_id", "k"]).groupBy("doc_id", "k")
+               .agg(*[F.first(c).alias(c) for c in ("h", "toxic", "times", "text")]).select("h", "toxic", "times", "text"))
+    made = met.mapInArrow(rows, "h long, toxic int, times int, cells binary")
     got = made.repartition(1).mapInArrow(train, "index int, weight double").toPandas()
     if not len(got):
         return Model()

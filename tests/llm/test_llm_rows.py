@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,21 @@ def test_toxicity_edges(spark, edge_docs, edge_rows, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_rows_of_repeated_ids_are_bounded(spark):
+    """`most` bounds rows, not ids, and a row counts as often as it stands; with room for all, each is learned from."""
+    ids = [d for d in range(100) if zlib.crc32(str(d).encode()) % 5][:20]
+    texts = [(d, f"w{d} idiot" if d % 2 else f"w{d} fine") for d in ids for _ in range(30)] + [(d, f"other{d} " * 3) for d in ids]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int")
+    hashes = {(r.doc_id, r.text): (r.h, r.doc_id, r.k) for r in docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("k")).collect()}
+    for most in (25, 100, 1000):
+        cells = [(hashes[r][0], r[0] % 2, f) for r in sorted(texts, key=hashes.get)[:most] for f in toxicity.features(pa.array([r[1]]))]
+        cells.sort(key=lambda c: (*c[:2], hashlib.blake2b(c[2].tobytes(), digest_size=16).digest()))
+        want = toxicity.fit_rows([c for *_, c in cells], np.array([t for _, t, _ in cells], np.int64))
+        got = toxicity.fit(docs, labels, most)
+        assert got.index.tolist() == want.index.tolist() and got.weight.tolist() == want.weight.tolist() and got.bias == want.bias
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 1 << toxicity.BITS, 200)).astype(np.int32) for _ in range(200)]
