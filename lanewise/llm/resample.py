@@ -79,14 +79,14 @@ def features(texts, ngrams: int = 1, buckets: int = BUCKETS):
         ends = gaps[np.searchsorted(gaps, starts, "right")]
         text = np.searchsorted(begins, starts, "right") - 1
         words = np.bincount(text, minlength=j - i)
-        hashed, of = [_crcs(b, starts, ends) % buckets], [text]
+        hashed, of = [_crcs(b, starts, ends).astype(np.int64) % buckets], [text]
         for k in range(2, ngrams + 1):                             # longer n-grams are joined by one space and hashed whole
             first = np.flatnonzero(text[:len(text) - k + 1] == text[k - 1:])
             each = [b[starts[w]:ends[w]].tobytes() for w in range(len(starts))]
-            hashed.append(np.array([zlib.crc32(b" ".join(each[w:w + k])) % buckets for w in first], np.uint32))
+            hashed.append(np.array([zlib.crc32(b" ".join(each[w:w + k])) % buckets for w in first], np.int64))
             of.append(text[first])
         hashed, of = np.concatenate(hashed), np.concatenate(of)
-        yield i, j, words, np.bincount(of, minlength=j - i), hashed.astype(np.int64), of
+        yield i, j, words, np.bincount(of, minlength=j - i), hashed, of
         i = j
 
 

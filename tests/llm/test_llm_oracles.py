@@ -14,4 +14,4 @@ def test_query(spark, sf, name):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and "pipeline" in entry.queries()
