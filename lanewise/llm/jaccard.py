@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import columns, partitions, saved
+from .workers import frugal, give_back
 from .words import U, flat, mix, shingle_sets
 
-BLOCK_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST, DEALS = 1 << 19, 64, 8, 1 << 16, 1
+BLOCK_SHINGLES, RANGE_SHINGLES, HOT_SHARE, HOT_FLOOR, HOT_MOST, DEALS = 1 << 19, 1 << 21, 64, 8, 1 << 16, 1
 BROADCAST_BYTES = 32 << 20
 
 
@@ -59,25 +60,27 @@ def _digests(tok: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
+def _hot_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """Shingles in more than 1/32 of the documents (and perhaps some of over 1/64), commonest first.
 
     A shingle of over 1/32 of all documents has at least 1/64 of them inside blocks in which it reaches
     1/64. There are at most 64 times as many such shingles as a document has on average; the list keeps
-    HOT_MOST at most, which only changes the order of shingles, never a result.
+    HOT_MOST at most, which only changes the order of shingles, never a result. Also the number of all shingles of all sets.
     """
+    @frugal("words")
     def count(batches):
         for ids, sets in _blocks(batches, k):
             tok, n = np.unique(np.concatenate(sets), return_counts=True)
             keep = n >= max(HOT_FLOOR, len(ids) // HOT_SHARE)
+            none = np.zeros(keep.sum(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(tok[keep], U(0)).view(np.int64)), pa.array(np.append(n[keep], 0)),
-                                              pa.array(np.append(np.zeros(keep.sum(), np.int64), len(ids)))], ["tok", "n", "docs"])
+                                              pa.array(np.append(none, len(ids))), pa.array(np.append(none, int(n.sum())))], ["tok", "n", "docs", "size"])
 
-    sums = saved(docs.mapInArrow(count, "tok long, n long, docs long").groupBy("tok").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "hot")
-    total = sums.agg(F.sum("docs")).first()[0] or 0
+    sums = saved(docs.mapInArrow(count, "tok long, n long, docs long, size long").groupBy("tok").agg(*[F.sum(c).alias(c) for c in ("n", "docs", "size")]), "hot")
+    total, size = (x or 0 for x in sums.agg(F.sum("docs"), F.sum("size")).first())
     least = max(HOT_FLOOR, total // HOT_SHARE)
     rows = sums.where(F.col("n") >= least).orderBy(F.desc("n"), "tok").limit(HOT_MOST).select("tok").toPandas()
-    return rows.tok.to_numpy(np.int64).view(U)
+    return rows.tok.to_numpy(np.int64).view(U), size
 
 
 def _shuffled_bytes(sorted_tokens: np.ndarray) -> bytes:
@@ -94,10 +97,11 @@ def ordered_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Columns doc_id, n, cls, lone (shingles that no other document has), tokens, prefix.
     """
-    hot = _hot_shingles(docs, k)
-    hot_sorted, parts = np.sort(hot), 2 * partitions(docs.sparkSession)
+    hot, size = _hot_shingles(docs, k)
+    hot_sorted, parts = np.sort(hot), max(2 * partitions(docs.sparkSession), -(-size // RANGE_SHINGLES))   # a hash range is one task's, in memory
     rank = {int(t): r for r, t in enumerate(hot[::-1])}
 
+    @frugal("words")
     def cut(batches):
         for ids, sets in _blocks(batches, k):
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -118,6 +122,7 @@ def ordered_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([block] * len(some), pa.binary()),
                                                   pa.array([r[1] for r in some], pa.binary())], ["part", "block", "body"])
 
+    @frugal()
     def count(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() < 0:
             return table
@@ -137,6 +142,7 @@ def ordered_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         out = table.set_column(2, "body", pa.array(body, pa.binary()))
         return out.filter(out.column("body").is_valid())
 
+    @frugal()
     def assemble(table: pa.Table) -> pa.Table:
         heads, shared = [], {}                                        # equal blocks have equal parts
         for part, raw in zip(table.column("part").to_pylist(), table.column("body").to_pylist()):
@@ -276,6 +282,7 @@ def set_digest(text: Column, k: int = 5) -> Column:
     """The cls that near_duplicates gives a text."""
     @F.arrow_udf("binary")
     def digest(texts: pa.Array) -> pa.Array:
+        give_back("words")
         sets = list(shingle_sets(*flat(texts), k))
         tok = np.concatenate([*sets, np.zeros(0, U)])
         return pa.array([d.tobytes() for d in _digests(tok, np.array([len(s) for s in sets], np.int64))], pa.binary())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .store import columns, saved
+from .workers import frugal
 
 PART_ITEMS, ROUNDS = 1 << 15, 6
 PIECE = "doc_id long, piece long, start long, length long, ids_crc32 long"
@@ -69,6 +70,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of docs(doc_id, text): ids and end id, cut only if longer than capacity, the first piece being the short one."""
+    @frugal("tokens")
     def cut(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -87,6 +89,7 @@ def _pack(items: DataFrame, count: int, first_part: int, capacity: int, salt: in
     parts = max(1, -(-count // PART_ITEMS))
     names = [f.split()[0] for f in PACKED.split(", ")]
 
+    @frugal()
     def pack(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("row").to_numpy(), kind="stable")
         table = table.take(order)                                  # the same rows give the same packing
@@ -102,6 +105,7 @@ def _pack(items: DataFrame, count: int, first_part: int, capacity: int, salt: in
 
 def _bounds(packed: DataFrame, capacity: int) -> DataFrame:
     """part, bins, bound of each part, from its length histogram (one row a part)."""
+    @frugal()
     def bound(table: pa.Table) -> pa.Table:
         h = np.bincount(table.column("length").to_numpy(), weights=table.column("n").to_numpy(), minlength=capacity + 1)
         return pa.table({"part": [table.column("part")[0].as_py()], "bins": [sum(table.column("bins").to_pylist())],

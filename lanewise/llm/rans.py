@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .store import attempt_name, columns, filesystem, partitions, saved, shared_dir
+from .workers import frugal
 
 MAGIC, BLOCK, LANES, BITS, FILE_IDS = b"RANSIDS1", 1 << 14, 32, 16, 1 << 21
 U, LOW = np.uint64, np.uint64(1 << 16)
@@ -161,6 +162,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     dealt = (columns(docs, "doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
              .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))
 
+    @frugal("tokens")
     def write(batches):
         from pyspark import TaskContext
         part, seq, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -197,6 +199,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     based = files.withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0))).repartition(max(1, rows), "file")   # one small row a file
 
+    @frugal()
     def read(batches):
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):

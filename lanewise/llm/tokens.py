@@ -2,7 +2,8 @@
 
 A byte-level tokenizer of this family always starts a new piece at a single space between two
 visible characters. Texts are cut there, each distinct piece is encoded once by the library, and its
-ids are kept in a bounded memory of the worker; the ids of a text are those of its pieces in order. A mark after
+ids are kept in a bounded memory of the worker; the ids of a text are those of its pieces in order. The memory has two
+generations: when the young one is full it becomes the old one, so pieces that come again stay and those seen once go. A mark after
 a letter starts a piece of its own too, so a new piece that ends so is put together from what stands before it.
 """
 
@@ -13,7 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-KEPT_PIECES = 250_000
+from .workers import remembered
+
+GENERATION = 350_000
 MARKS = ",.;:!?"
 _CUT, _NEAR = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
@@ -30,7 +33,10 @@ def _tokenizer(path: str):
     size = tok.get_vocab_size()
     width = np.array([len(tok.id_to_token(i) or "") for i in range(size)], np.int64)   # one character stands for one byte
     marks = {m: np.array(e.ids, "<u4").tobytes() for m, e in zip(MARKS, tok.encode_batch_fast(list(MARKS), add_special_tokens=False))}
-    return tok, width, {}, marks
+    return tok, width, [{}, {}], marks
+
+
+remembered("tokens", _tokenizer.cache_clear)
 
 
 def _pieces(text: str) -> list[str]:
@@ -58,25 +64,29 @@ def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
         firsts.append(parts[0])
         words += parts[1:]
         ends.append(len(words))
-    ids = list(map(kept.get, words))
+    young, old = kept
+    ids = list(map(young.get, words))
     gaps = [i for i, v in enumerate(ids) if v is None]
     if gaps:
-        new = dict.fromkeys([words[i] for i in gaps])
-        bases = {w: w[:-1] for w in new if w[-1] in MARKS and len(w) > 1 and w[-2] < "ɐ" and w[-2].isalpha()}
+        new = {w: old.get(w) for w in dict.fromkeys([words[i] for i in gaps])}
+        bases = {w: w[:-1] for w, v in new.items() if v is None and w[-1] in MARKS and len(w) > 1 and w[-2] < "ɐ" and w[-2].isalpha()}
         for b in bases.values():
-            if b not in kept:
-                new.setdefault(b)
-        plain = [w for w in new if w not in bases and not w[-1].isspace()]
+            if b not in young and b not in new:
+                new[b] = old.get(b)
+        plain = [w for w, v in new.items() if v is None and w not in bases and not w[-1].isspace()]
         if plain:
             new.update(zip(plain, _together(tok, width, plain)))
         for w, b in bases.items():
-            new[w] = (kept.get(b) or new[b]) + marks[w[-1]]
+            new[w] = (young.get(b) or new[b]) + marks[w[-1]]
         apart = [w for w, v in new.items() if v is None]
         for w, e in zip(apart, tok.encode_batch_fast([" " + w for w in apart], add_special_tokens=False)):
             new[w] = np.array(e.ids, "<u4").tobytes()
         for i in gaps:
             ids[i] = new[words[i]]
-        kept.update(list(new.items())[:max(0, KEPT_PIECES - len(kept))])
+        if len(young) + len(new) > GENERATION:
+            kept[:] = [new if len(new) <= GENERATION else {}, young]
+        else:
+            young.update(new)
     starts = tok.encode_batch_fast(firsts, add_special_tokens=False)
     for a, b, first in zip([0, *ends], ends, starts):
         yield np.frombuffer(np.array(first.ids, "<u4").tobytes() + b"".join(ids[a:b]), "<u4")

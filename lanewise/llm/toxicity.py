@@ -8,6 +8,7 @@ toxic comes from folds of the training rows on which their model was not fit.
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,25 +17,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import columns
+from .workers import frugal, give_back
 from .words import U, flat, mix, word_hashes
 
 #: Most labelled rows a model is fit on: those with the smallest hashes of doc_id, then of text. Their features, of any length,
 #: lie in a file of the task that fits.
 MAX_TRAINING_ROWS = 12_000
 BITS, EPOCHS, ALPHA, BETA, L1, FOLDS = 20, 3, 1.0, 1.0, 5.0, 4
+RUN_BYTES = 1 << 20
 
 
-def features(texts) -> list[np.ndarray]:
-    """Sorted distinct coordinates of each text; letters A-Z fold, other ASCII marks separate words."""
-    out = []
+def features(texts) -> Iterator[np.ndarray]:
+    """Sorted distinct coordinates of each text, one text after the other; letters A-Z fold, other ASCII marks separate words."""
     offsets, data = flat(texts)
     for i, j, text, h in word_hashes(offsets, data, alnum=True):
         a = 0
         for e in np.cumsum(np.bincount(text - i, minlength=j - i)).tolist():
             w, a = h[a:e], e
             grams = np.concatenate([w, mix(w[:-1] * U(3) + w[1:]), mix(w[:-2] * U(5) + w[2:])])
-            out.append(np.unique((grams >> U(64 - BITS)).astype(np.int32)))
-    return out
+            yield np.unique((grams >> U(64 - BITS)).astype(np.int32))
 
 
 @dataclass
@@ -51,7 +52,7 @@ class Model:
 
     def scores(self, texts) -> np.ndarray:
         w = self.dense()
-        margins = np.array([w[f].sum() for f in features(texts)]) + self.bias
+        margins = np.fromiter((w[f].sum() for f in features(texts)), np.float64, len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(margins, -40, 40)))
 
 
@@ -120,11 +121,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mo
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
              .orderBy("h", "doc_id").limit(most))
 
+    @frugal("words")
     def rows(batches):
         for batch in batches:
-            cells = [f.tobytes() for f in features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h", "toxic", "times")], pa.array(cells, pa.binary())], ["h", "toxic", "times", "cells"])
-
+            at, cells, size = 0, [], 0
+            for f in features(batch.column("text")):
+                cells.append(f.tobytes())
+                size += len(cells[-1])
+                if size > RUN_BYTES or at + len(cells) == batch.num_rows:
+                    some = batch.slice(at, len(cells))
+                    yield pa.RecordBatch.from_arrays([*[some.column(c) for c in ("h", "toxic", "times")], pa.array(cells, pa.binary())], ["h", "toxic", "times", "cells"])
+                    at, cells, size = at + len(cells), [], 0
+
+    @frugal("words")
     def train(batches):
         with tempfile.TemporaryFile() as file:
             got, end = [], 0
@@ -161,7 +170,10 @@ def score(text: Column, model: Model) -> Column:
     """Score of a text column, 0 to 1; only the text goes to Python."""
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(texts), pa.float64())
+        give_back("words")
+        out = pa.array(model.scores(texts), pa.float64())
+        give_back("words")
+        return out
     return scored(text)
 
 

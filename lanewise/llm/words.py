@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .workers import remembered
+
 U = np.uint64
 _P, _CHUNK = 0x9E3779B97F4A7C15, 1 << 20
 _STEPS = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
@@ -42,11 +44,12 @@ def _byte_table(sep: np.ndarray) -> np.ndarray:
 SPACES, MARKS = _separators(False), _separators(True)
 _TABLE = {False: (SPACES, _byte_table(SPACES)), True: (MARKS, _byte_table(MARKS))}
 _powers: list[np.ndarray] = []
+remembered("words", _powers.clear)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * _CHUNK)
+        size = max(n, _CHUNK)
         inverse = U(pow(_P, -1, 1 << 64))
         _powers[:] = [np.concatenate([[U(1)], np.cumprod(np.full(size, k, np.uint64))]) for k in (U(_P), inverse)]
     return _powers[0], _powers[1]
