@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import notation as N
 from ..functions.numeric import count_if, r6
 from ..operators import slices as S
+from ..operators.compose import composed_fold
 from ..operators.fold import fold
 from ..operators.machines import Gate, Plateau, Replay
 from ..operators.score import Count, Rules
@@ -149,21 +150,11 @@ def winner_conflicts(spark, sf):
 
 
 # ---- plateaus ----
-def level_rows(df):
-    """Level, presence and the part of the track: a long absence ends every state."""
-    df = df.withColumn("present", F.col("kind") != "error")
-    df = S.carry(df, {"seen": F.when(F.col("present"), F.col("seq"))}, True, False)
-    return S.islands(df, F.col("present") & F.coalesce(F.col("seq") - F.col("seen") > P.absent_close, F.lit(False)), "part").select(
-        "entity_id", "part", "seq", "event_id", F.col("cx").alias("level"), "present")
-
-
-def plateaus(spark, sf):
-    df = level_rows(sliced_track(spark, sf).withColumn("cx", F.floor(F.col("x") / 25) * 25))
-    out = fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS.new, LEVELS.step, LEVELS.schema, LEVELS.finish)
-    n = out.groupBy("entity_id", "part").agg(F.greatest(F.max("plateau") + 1, F.lit(0)).alias("n"))
-    n = S.running_sum(S.add_slice(n, 1024, "part"), {"cum": F.col("n")}, ("entity_id",), ("part",))
-    out = out.join(n.select("entity_id", "part", (F.col("cum") - F.col("n")).alias("base")), ["entity_id", "part"])
-    return out.select("entity_id", "event_id", F.when(F.col("plateau") >= 0, F.col("plateau") + F.col("base")).otherwise(-1).cast("long").alias("plateau"))
+def plateaus(spark, sf, rows=None):
+    """Plateau of every row. An entity of more than `rows` rows is many tasks, whether or not it ever pauses."""
+    level = (F.floor(F.col("x") / 25) * 25).cast("double")
+    df = sliced_track(spark, sf, rows).select("entity_id", "slice", F.lit(0).cast("long").alias("part"), "seq", "event_id", level.alias("level"), (F.col("kind") != "error").alias("present"))
+    return composed_fold(df, ["entity_id"], ["seq", "event_id"], LEVELS).select("entity_id", "event_id", F.col("plateau").cast("long").alias("plateau"))
 
 
 @query("plateau_label")
@@ -207,11 +198,7 @@ def segment_split_merge(spark, sf):
 # ---- gated tracking ----
 @query("gap_tracker")
 def gap_tracker(spark, sf):
-    """Best detection per frame near the last one. Two frames in a row without a usable
-    detection reset the gate, so a track is cut wherever a frame has none at all."""
-    df = sliced_track(spark, sf).withColumn("frame", F.floor(F.col("seq") / (4 * HOUR)))
-    df = S.adjacent(df, ["frame"])
-    df = S.islands(df, F.coalesce(F.col("frame") - F.col("prev.frame") > 1, F.lit(False)), "cluster")
-    g = Gate(6.0)
-    out = fold(df.select("entity_id", "cluster", "seq", "event_id", "frame", "cx", "cy", F.col("y").alias("score")), ["entity_id", "cluster"], ["seq", "event_id"], g.new, g.step, g.schema, g.finish)
+    """Best detection per frame near the last one; a frame without one resets the gate."""
+    df = sliced_track(spark, sf).select("entity_id", "slice", "seq", "event_id", F.floor(F.col("seq") / (4 * HOUR)).alias("frame"), "cx", "cy", F.col("y").alias("score"))
+    out = composed_fold(df, ["entity_id"], ["seq", "event_id"], Gate(6.0))
     return out.select("entity_id", "event_id", "frame", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
