@@ -284,13 +284,44 @@ def peak_scores(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.withColumn("z", (F.col(col) - F.col("_m")) / (F.col("_mad") + 1e-6)).drop("_w", "_m", "_mad")
 
 
-def suppress(cand: DataFrame, min_gap: int, p: Track) -> DataFrame:
-    """Strongest-first suppression: keep a candidate when no kept one is within min_gap.
+SUPPRESS_ROUNDS = 12
 
-    Candidates further apart than min_gap cannot affect each other, so an entity is cut
-    into clusters there and each cluster is folded on its own. Inside a cluster the
-    fold releases its buffer as soon as the strongest pending candidate is out of reach.
+
+def suppress(cand: DataFrame, min_gap: int, p: Track, report: list | None = None) -> DataFrame:
+    """Strongest-first suppression: keep a candidate when no kept one is within min_gap. Ties go by seq, then event_id.
+
+    A candidate that is stronger than all undecided ones within the gap is kept whatever happens elsewhere, and takes out those
+    within the gap. Two candidates of one bucket of min_gap are always within it, so each round looks at the strongest of every
+    bucket: where it beats the strongest of both neighbours it is kept. All buckets of all entities go at once, and the strongest undecided
+    one of an entity always wins, so rounds are few (about the logarithm of the candidates) unless strengths rise steadily over
+    many buckets; what such ramps leave open after SUPPRESS_ROUNDS is folded by cluster. report takes the undecided rows before each round.
     """
+    rows = cand.select("entity_id", "seq", "event_id", F.col("strength").cast("double").alias("strength"), F.floor(F.col("seq") / F.lit(min_gap)).cast("long").alias("b"))
+    open_, kept = cut_lineage(rows), None
+    around = F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))
+    for _ in range(SUPPRESS_ROUNDS):
+        n = open_.count()
+        if not n:
+            break
+        if report is not None:
+            report.append(n)
+        top = open_.groupBy("entity_id", "b").agg(F.max(F.struct("strength", (-F.col("seq")).alias("s"), (-F.col("event_id")).alias("e"))).alias("top"))
+        seen = top.select("entity_id", "b", "top", around.alias("at")).groupBy("entity_id", "at").agg(
+            F.max(F.when(F.col("at") == F.col("b"), F.col("top"))).alias("own"), F.max(F.when(F.col("at") != F.col("b"), F.col("top"))).alias("other"))
+        wins = seen.where(F.col("own").isNotNull() & (F.col("other").isNull() | (F.col("own") > F.col("other"))))
+        wins = cut_lineage(wins.select("entity_id", (-F.col("own.s")).alias("seq"), (-F.col("own.e")).alias("event_id"), "own.strength", F.col("at").alias("b")))
+        near = wins.select("entity_id", F.col("seq").alias("w"), around.alias("b")).groupBy("entity_id", "b").agg(F.collect_list("w").alias("wins"))   # three at most
+        left = open_.join(near, ["entity_id", "b"], "left").where(F.col("wins").isNull() | ~F.exists("wins", lambda w: F.abs(w - F.col("seq")) < min_gap))
+        open_ = cut_lineage(left.drop("wins"))
+        kept = wins.drop("b") if kept is None else kept.union(wins.drop("b"))
+    if kept is None:
+        return rows.drop("b")
+    return kept if open_.isEmpty() else kept.union(_suppress_clusters(open_.drop("b"), min_gap, p))
+
+
+def _suppress_clusters(cand: DataFrame, min_gap: int, p: Track) -> DataFrame:
+    """The same by a fold: an entity is cut where candidates lie min_gap apart, and a cluster's buffer is released
+    as soon as the strongest pending candidate is out of reach."""
     from .fold import fold
     df = S.adjacent(S.add_slice(cand, p.slice_ms), ["seq"])
     df = S.islands(df, F.coalesce(F.col("seq") - F.col("prev.seq") >= min_gap, F.lit(False)), "cluster")
