@@ -63,7 +63,20 @@ def cusp_candidates(spark, sf):
     return cusp_rows(spark, sf).select("entity_id", "event_id", r6(F.col("swing")).alias("swing"))
 
 
-@query("greedy_nms")
+def nms_sql(rows: str, gap: int) -> str:
+    """CTEs ending in `kept` (entity_id, event_id): rows `rows` (entity_id, seq, event_id, strength) taken strongest first."""
+    return f"""nms_in AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY strength DESC, seq, event_id) AS i FROM {rows}),
+  nms_r AS (
+    SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS took FROM nms_in
+    UNION ALL
+    SELECT entity_id, i, CASE WHEN free THEN list_append(held, seq) ELSE held END, CASE WHEN free THEN event_id END FROM (
+      SELECT e.entity_id, e.i, e.seq, e.event_id, r.held, len(list_filter(r.held, lambda k: abs(k - e.seq) < {gap})) = 0 AS free
+      FROM nms_r r JOIN nms_in e ON e.entity_id = r.entity_id AND e.i = r.i + 1)),
+  kept AS (SELECT entity_id, took AS event_id FROM nms_r WHERE took IS NOT NULL)"""
+
+
+@query("greedy_nms", f"""WITH RECURSIVE {TRACK_SQL}, {CUSP_SQL}, c AS (SELECT entity_id, seq, event_id, swing AS strength FROM cu), {nms_sql('c', P.second * 2)}
+  SELECT c.entity_id, c.seq, c.event_id, {q6('strength')} AS strength FROM c JOIN kept USING (entity_id, event_id)""")
 def greedy_nms(spark, sf):
     cand = cusp_rows(spark, sf).select("entity_id", "seq", "event_id", F.col("swing").alias("strength"))
     return G.suppress(cand, P.second * 2, P).withColumn("strength", r6(F.col("strength")))

@@ -16,7 +16,7 @@ from ..sources.tables import TRACK_SQL, millis, sliced_track, track
 from ..streaming.state import events_stream, run_available, stream_fold
 from .notation import POINTS_SQL, points, winner_sql
 from .registry import query
-from .signals import W_SQL, flag_segments
+from .signals import W_SQL, flag_segments, q6
 
 P = TRACK
 IDLE = 24 * HOUR
@@ -157,12 +157,38 @@ def plateaus(spark, sf, rows=None):
     return composed_fold(df, ["entity_id"], ["seq", "event_id"], LEVELS).select("entity_id", "event_id", F.col("plateau").cast("long").alias("plateau"))
 
 
-@query("plateau_label")
+# The machine as a recursion: the state before row i of an entity, then what the row and rows waiting before it get.
+PLATEAU_SQL = f"""pl_in AS MATERIALIZED (SELECT entity_id, event_id, seq, kind <> 'error' AS present, floor(x / 25) * 25 AS lv, row_number() OVER (PARTITION BY entity_id ORDER BY seq, event_id) AS i FROM t),
+  pl AS (
+    SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 'closed' AS phase, CAST(-1 AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS level,
+           CAST([] AS DOUBLE[]) AS settling, CAST(0 AS BIGINT) AS waiting, CAST(NULL AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS own, CAST(NULL AS BIGINT) AS theirs FROM pl_in
+    UNION ALL
+    SELECT entity_id, i, event_id, CASE WHEN full_ THEN 'held' ELSE phase END, id, CASE WHEN full_ THEN list_aggregate(list_slice(settling, -5, -1), 'median') ELSE level END,
+           settling, waiting, seen, own, theirs FROM (
+      SELECT entity_id, i, event_id, phase, id, level, settling, phase = 'settling' AND present AND len(settling) >= {LEVELS.settle} AS full_, waiting, seen, own, theirs FROM (
+        SELECT entity_id, i, event_id, present, phase, id, level, waiting, seen, own, theirs,
+               CASE WHEN phase = 'settling' AND present THEN list_append(CASE WHEN starts THEN CAST([] AS DOUBLE[]) ELSE settling END, lv) ELSE settling END AS settling FROM (
+          SELECT entity_id, i, event_id, present, lv, settling, level, seen, event = 'sure' OR (event = 'seen' AND phase = 'closed') AS starts,
+                 id + CAST(event = 'sure' OR (event = 'seen' AND phase = 'closed') AS BIGINT) AS id,
+                 CASE event WHEN 'far' THEN waiting + 1 ELSE 0 END AS waiting,
+                 CASE event WHEN 'seen' THEN 'settling' WHEN 'sure' THEN 'settling' WHEN 'near' THEN 'held' WHEN 'far' THEN 'doubt' ELSE CASE phase WHEN 'doubt' THEN 'held' ELSE phase END END AS phase,
+                 CASE WHEN event = 'far' THEN NULL WHEN event = 'absent' THEN -1 WHEN event = 'near' OR (event = 'seen' AND phase = 'settling') THEN id ELSE id + 1 END AS own,
+                 CASE event WHEN 'far' THEN NULL WHEN 'near' THEN id WHEN 'sure' THEN id + 1 ELSE -1 END AS theirs FROM (
+            SELECT *, CASE WHEN NOT present THEN 'absent' WHEN phase IN ('closed', 'settling') THEN 'seen' WHEN abs(lv - level) <= {LEVELS.change} THEN 'near'
+                           WHEN waiting + 1 >= {LEVELS.confirm} THEN 'sure' ELSE 'far' END AS event FROM (
+              SELECT e.entity_id, e.i, e.event_id, e.present, e.lv, r.id, r.level, r.settling, r.waiting, CASE WHEN e.present THEN e.seq ELSE r.seen END AS seen,
+                     CASE WHEN e.present AND e.seq - r.seen > {LEVELS.close} THEN 'closed' ELSE r.phase END AS phase
+              FROM pl r JOIN pl_in e ON e.entity_id = r.entity_id AND e.i = r.i + 1)))))),
+  pl_out AS (SELECT entity_id, event_id, CASE WHEN own IS NOT NULL THEN own ELSE coalesce(first_value(theirs IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1) END AS plateau
+    FROM pl WHERE i > 0)"""
+
+
+@query("plateau_label", f"WITH RECURSIVE {TRACK_SQL}, {PLATEAU_SQL} SELECT entity_id, event_id, plateau FROM pl_out")
 def plateau_label(spark, sf):
     return plateaus(spark, sf)
 
 
-@query("plateau_online")
+@query("plateau_online", f"WITH RECURSIVE {TRACK_SQL}, {PLATEAU_SQL} SELECT entity_id, event_id, plateau FROM pl_out")
 def plateau_online(spark, sf):
     """The same machine fed by a file stream: every row of plateau_label, with its label."""
     ev = events_stream(spark, sf, "events*.parquet")
@@ -196,7 +222,23 @@ def segment_split_merge(spark, sf):
 
 
 # ---- gated tracking ----
-@query("gap_tracker")
+# The gate as a recursion: (x, y) is the last kept place, b the best row of the frame; a row of another frame gives out what was best before it.
+GATE_SQL = f"""ga_in AS MATERIALIZED (SELECT entity_id, event_id, CAST(floor(seq / {4 * HOUR}) AS BIGINT) AS frame, cx, cy, y AS score, row_number() OVER (PARTITION BY entity_id ORDER BY seq, event_id) AS i FROM t),
+  ga AS (
+    SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y,
+           CAST(NULL AS STRUCT(event_id BIGINT, frame BIGINT, cx DOUBLE, cy DOUBLE, score DOUBLE)) AS b, CAST(NULL AS STRUCT(event_id BIGINT, frame BIGINT, cx DOUBLE, cy DOUBLE, score DOUBLE)) AS given FROM ga_in
+    UNION ALL
+    SELECT entity_id, i, frame, x, y, CASE WHEN (x IS NULL OR sqrt((row_.cx - x) ** 2 + (row_.cy - y) ** 2) < 6.0) AND (b IS NULL OR row_.score > b.score) THEN row_ ELSE b END, given FROM (
+      SELECT e.entity_id, e.i, e.frame, {{'event_id': e.event_id, 'frame': e.frame, 'cx': e.cx, 'cy': e.cy, 'score': e.score}} AS row_,
+             CASE WHEN e.frame = r.frame THEN r.x WHEN e.frame - r.frame > 1 THEN NULL ELSE r.b.cx END AS x,
+             CASE WHEN e.frame = r.frame THEN r.y WHEN e.frame - r.frame > 1 THEN NULL ELSE r.b.cy END AS y,
+             CASE WHEN e.frame = r.frame THEN r.b END AS b, CASE WHEN e.frame <> r.frame THEN r.b END AS given
+      FROM ga r JOIN ga_in e ON e.entity_id = r.entity_id AND e.i = r.i + 1)),
+  ga_out AS (SELECT entity_id, given AS g FROM ga WHERE given IS NOT NULL
+    UNION ALL SELECT entity_id, arg_max(b, i) FROM ga GROUP BY entity_id HAVING arg_max(CAST(b IS NOT NULL AS INT), i) = 1)"""
+
+
+@query("gap_tracker", f"WITH RECURSIVE {TRACK_SQL}, {GATE_SQL} SELECT entity_id, g.event_id, g.frame, {q6('g.cx')} AS x, {q6('g.cy')} AS y FROM ga_out")
 def gap_tracker(spark, sf):
     """Best detection per frame near the last one; a frame without one resets the gate."""
     df = sliced_track(spark, sf).select("entity_id", "slice", "seq", "event_id", F.floor(F.col("seq") / (4 * HOUR)).alias("frame"), "cx", "cy", F.col("y").alias("score"))
