@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import boilerplate, jaccard, mixture, packing, toxicity
 from lanewise.llm.queries import tokenizer_path
-from lanewise.llm.store import saved
+from lanewise.llm.store import saved, unused
 
 #: Most bytes of document ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 32 << 20
@@ -21,7 +21,7 @@ LINE_RATIO, LINE_PAGES, LINE_SIZES = 0.01, 5, 5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of op7, learned from labels, does not call toxic. Null and empty texts stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("__score", toxicity.score(F.col("text"), model)).where("__score < 0.5").select(docs.columns)
+    return docs.where(toxicity.score(F.col("text"), model) < 0.5)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
     if twice.isEmpty():
         return kept
-    pairs = found.where("doc_id <> component_id").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("cls").alias("__cls")).distinct()
-    again = docs.join(repeated, "doc_id", "left_semi").withColumn("__cls", jaccard.set_digest(F.col("text")))
-    again = again.join(pairs, ["doc_id", "__cls"], "left_anti").dropDuplicates(["doc_id", "text"])
+    cls, = unused(docs, "__cls")
+    pairs = found.where("doc_id <> component_id").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("cls").alias(cls)).distinct()
+    again = docs.join(repeated, "doc_id", "left_semi").withColumn(cls, jaccard.set_digest(F.col("text")))
+    again = again.join(pairs, ["doc_id", cls], "left_anti").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 

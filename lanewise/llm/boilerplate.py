@@ -10,7 +10,7 @@ its mean number of lines a page as boilerplate, so the list to drop is short for
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import columns, saved
+from .store import columns, saved, unused
 
 BROADCAST_BYTES = 32 << 20
 
@@ -55,14 +55,14 @@ def drop_boilerplate(pages: DataFrame, host: str, ratio: float = 0.1, min_pages:
     pages = pages.drop("n_lines", "n_dropped")
     named = columns(pages, host, "text").toDF("host", "text")
     found = saved(boilerplate_lines(named, ratio, min_pages, min_sizes), "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_set("digest").alias("__drop")).withColumnRenamed("host", "__host")
+    other, drop, kept = unused(pages, "__host", "__drop", "__kept")
+    lists = found.groupBy("host").agg(F.collect_set("digest").alias(drop)).withColumnRenamed("host", other)
     size = found.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 40).alias("b")).first()
     small = (size.b or 0) <= BROADCAST_BYTES                       # else a shuffle join, which the adaptive plan splits at hot hosts
-    met = pages.join(F.broadcast(lists) if small else lists, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
+    met = pages.join(F.broadcast(lists) if small else lists, F.col(f"`{host}`").eqNullSafe(F.col(other)), "left")
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _digest(_plain(x))), F.lit(False))))
-    out = met.withColumn("__kept", kept)
-    return out.select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in pages.columns],
+    out = met.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drop), _digest(_plain(x))), F.lit(False)))))
+    return out.select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in pages.columns],
                       F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-                      F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"))
+                      F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))

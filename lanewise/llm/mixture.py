@@ -50,7 +50,8 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
     """Pseudorandom permutation of 0..n-1 chosen by key, at i.
 
     Rounds alternate on a grid a * b >= n > a * (b - 1). Values past n walk on; fewer than a values are
-    past n, so below 1600 blocks WALK steps always end, and above it a longer walk has no chance in practice.
+    past n, so below 1600 blocks WALK steps always end, and above it a longer walk has no chance in practice; should one occur, the job
+    stops rather than lose the value.
     """
     a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     b = F.ceil(n / a).cast("long")
@@ -63,8 +64,8 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1)), start, turn, lambda s: s["l"] * b + s["r"])
 
     first = rounds(i)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
-    return walk
+    found = lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a permutation walked on too long")).cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(rounds(x)), found)
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -174,9 +175,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
              .withColumnsRenamed({"source": "s", "row": "r"}))
     rows = (stream.join(taken, (F.col("row") == F.col("r")) & F.col("source").eqNullSafe(F.col("s")))
             .select("__k1", "__k2", (F.col("n") == F.col("size")).alias("__whole"), F.col("pieces").alias("__pieces")))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    text = F.col("doc")["text"]                                    # the input travels as one column, whatever its columns are called
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(F.col("__w"), p["at"].cast("int") + 1, p["words"].cast("int")))), "")
-    once = docs.select("*", *row_key("doc_id", "source", "text")).dropDuplicates(["__k1", "__k2"])
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    once = docs.select(doc, *row_key("doc_id", "source", "text")).dropDuplicates(["__k1", "__k2"])
     met = once.join(rows, ["__k1", "__k2"]).withColumn("__w", F.when(~F.col("__whole"), words))
-    met = met.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(F.rtrim(part)))
-    return met.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    met = met.withColumn("__text", F.when(F.col("__whole"), text).otherwise(F.rtrim(part)))
+    made = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
+    return met.select(*[(made[c] if c in made else F.col("doc")[c]).alias(c) for c in docs.columns])

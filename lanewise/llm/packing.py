@@ -3,8 +3,8 @@
 Pieces go to hashed partitions of bounded size, and each is packed by best-fit decreasing. Dual-feasible
 functions of its length histogram bound the bins any packing of the partition needs; where the
 packing meets the bound it is optimal and stays. Partitions with a gap give the documents of their
-unfilled sequences to a common pool, which is dealt and packed anew, until no round saves a sequence or
-the whole is certified.
+unfilled sequences to a common pool, which is dealt and packed anew, until no round saves a sequence, the
+whole is certified, or ROUNDS rounds are done.
 """
 
 import zlib
@@ -95,6 +95,8 @@ def _pack(items: DataFrame, count: int, first_part: int, capacity: int, salt: in
         table = table.take(order)                                  # the same rows give the same packing
         part = table.column("part")[0].as_py()
         bins, offsets, fills = best_fit(table.column("length").to_numpy(), capacity)
+        if len(fills) > 1 << 20:
+            raise ValueError("a part has more than 2**20 sequences; their numbers would repeat")
         cols = {"sequence_id": (part << 20) + bins, "offset": offsets, "fill": fills[bins]}
         return pa.Table.from_arrays([pa.array(cols[c]) if c in cols else table.column(c).combine_chunks() for c in names], names)
 

@@ -38,8 +38,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def printed(sigs: Column) -> Column:
-    """A signature set as text: 8 hexadecimal digits for each signature (its upper half), in order."""
-    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(F.shiftrightunsigned(s, 32))), 8, "0")), "")
+    """A signature set as text: 16 hexadecimal digits for each signature, in order, so that equal texts mean equal sets and likeness can be told from it."""
+    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), 16, "0")), "")
 
 
 def with_next(docs: DataFrame, derive) -> DataFrame:
