@@ -3,13 +3,15 @@
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if, r6, ratio
+from ..operators import folds as L
 from ..operators import slices as S
-
 from ..presets import MIN_FLAGS, PRECISION_TARGET
 from ..session import cut_lineage
+from ..sources.models import apply_model, load_model, save_model
 from ..sources.sinks import work_dir
 from ..sources.tables import sequences, spread_scan, table
 from .aggregates import pooled, sums
@@ -18,45 +20,52 @@ from .registry import query
 from .registry import r6 as q6
 
 FEATURES = ["log_chars", "line_repeat", "digit_share", "upper_share", "word_len"]
-# A stored model over the features above: means, deviations, weights, threshold.
-MODEL = {"mu": [6.5, 0.05, 0.02, 0.03, 5.5], "sd": [1.6, 0.15, 0.04, 0.02, 1.5], "w": [0.9, -0.8, -0.7, -0.2, 0.3], "b": 1.6, "t_high": 0.9}
-FOLDS = 5
+# A published model over the features above: means, deviations, weights, threshold.
+MODEL = {"features": FEATURES, "mu": [6.5, 0.05, 0.02, 0.03, 5.5], "sd": [1.6, 0.15, 0.04, 0.02, 1.5], "weights": [0.9, -0.8, -0.7, -0.2, 0.3], "intercept": 1.6,
+         "t_high": 0.9, "n_train": 0}
 
 _LEN = lambda keep: f"length(regexp_replace(text, '[^{keep}]', '', 'g'))"
 _ONE = "CAST(greatest(length(text), 1) AS DOUBLE)"
 TRIAGE_SQL = f"""d0 AS (SELECT d.doc_id, source, text, quality AS good, toxic, string_split(text, chr(10)) AS ls FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
-  d AS (SELECT doc_id, source, CAST(strpos('0123456789abcdef', left(md5(source), 1)) - 1 AS BIGINT) % {FOLDS} AS group_id, good, toxic,
+  gs AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS group_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+  d AS (SELECT doc_id, source, group_id, good, toxic,
     ln(1 + length(text)) AS log_chars, (len(ls) - len(list_distinct(ls)))::DOUBLE / len(ls) AS line_repeat, {_LEN('0-9')} / {_ONE} AS digit_share, {_LEN('A-Z')} / {_ONE} AS upper_share,
-    length(text) / CAST(len(string_split(text, ' ')) AS DOUBLE) AS word_len FROM d0)"""
+    length(text) / CAST(len(string_split(text, ' ')) AS DOUBLE) AS word_len FROM d0 JOIN gs USING (source))"""
+
+
+def groups(spark, sf):
+    """The sources, numbered by name: the groups that are held out. One row a source; the window orders names only."""
+    names = table(spark, sf, "documents").where("source is not null").select("source").distinct()
+    return names.select("source", (F.row_number().over(Window.orderBy("source")) - 1).cast("long").alias("group_id"))
 
 
 def docs(spark, sf):
-    """One row per labelled document: group, label and whole-text features."""
-    d = spread_scan(table(spark, sf, "documents").select("doc_id", "source", "text")).join(table(spark, sf, "labels"), "doc_id")
+    """One row per labelled document: its source's number, label and whole-text features. A document without source is in no group."""
+    d = spread_scan(table(spark, sf, "documents").select("doc_id", "source", "text")).join(table(spark, sf, "labels"), "doc_id").join(groups(spark, sf), "source")
     n = F.greatest(F.length("text"), F.lit(1)).cast("double")
     kept = lambda c: F.length(F.regexp_replace("text", f"[^{c}]", "")) / n
     lines = F.split("text", "\n")
-    group = F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 1), 16, 10).cast("long") % FOLDS
-    return d.select("doc_id", "source", group.alias("group_id"), F.col("quality").alias("good"), "toxic", F.log(1.0 + F.length("text")).alias("log_chars"),
+    return d.select("doc_id", "source", "group_id", F.col("quality").alias("good"), "toxic", F.log(1.0 + F.length("text")).alias("log_chars"),
                     ((F.size(lines) - F.size(F.array_distinct(lines))) / F.size(lines)).alias("line_repeat"), kept("0-9").alias("digit_share"),
                     kept("A-Z").alias("upper_share"), (F.length("text") / F.size(F.split("text", " "))).alias("word_len"))
 
 
-_LOGIT = " + ".join(f"({w}::DOUBLE * (({f} - {m}::DOUBLE) / {s}::DOUBLE))" for f, m, s, w in zip(FEATURES, MODEL["mu"], MODEL["sd"], MODEL["w"]))
-SCORED_SQL = f"""{TRIAGE_SQL}, sc AS (SELECT *, round_even(1 / (1 + exp(-({MODEL['b']}::DOUBLE + {_LOGIT}))), 9) AS p, line_repeat < 0.3 AND toxic = 0 AS gate FROM d),
+_LOGIT = " + ".join(f"({w}::DOUBLE * (({f} - {m}::DOUBLE) / {s}::DOUBLE))" for f, m, s, w in zip(FEATURES, MODEL["mu"], MODEL["sd"], MODEL["weights"]))
+SCORED_SQL = f"""{TRIAGE_SQL}, sc AS (SELECT *, round_even(1 / (1 + exp(-({MODEL['intercept']}::DOUBLE + {_LOGIT}))), 9) AS p, line_repeat < 0.3 AND toxic = 0 AS gate FROM d),
   fl AS (SELECT *, p >= {MODEL['t_high']} AND gate AS high FROM sc)"""
 
 
-def scored(spark, sf):
-    """Stored model applied to the features; high when p reaches the threshold and the gate holds."""
-    z = sum((w * ((F.col(f) - m) / s) for f, m, s, w in zip(FEATURES, MODEL["mu"], MODEL["sd"], MODEL["w"])), F.lit(MODEL["b"]))
-    df = docs(spark, sf).withColumn("p", F.bround(1 / (1 + F.exp(-z)), 9)).withColumn("gate", (F.col("line_repeat") < 0.3) & (F.col("toxic") == 0))
-    return df.withColumn("high", (F.col("p") >= MODEL["t_high"]) & F.col("gate"))
+def scored(spark, sf, model: dict = MODEL):
+    """A model applied to the features; high when p reaches the threshold and the gate holds."""
+    df = apply_model(docs(spark, sf), model).withColumn("gate", (F.col("line_repeat") < 0.3) & (F.col("toxic") == 0))
+    return df.withColumn("high", F.col("above") & F.col("gate")).drop("above")
 
 
 @query("score_model", f"WITH {SCORED_SQL} SELECT doc_id, {q6('p')} AS p, high FROM fl")
 def score_model(spark, sf):
-    return scored(spark, sf).select("doc_id", r6(F.col("p")).alias("p"), "high")
+    """The published model, saved as a version and loaded again."""
+    folder = work_dir(spark, "model")
+    return scored(spark, sf, load_model(spark, folder, save_model(spark, folder, MODEL))).select("doc_id", r6(F.col("p")).alias("p"), "high")
 
 
 def fold_stats(df):
@@ -71,8 +80,9 @@ def fold_stats(df):
     g = g.withColumns({f"s_{f}": F.col("n") * off[f] for f in FEATURES} | {f"q_{f}": F.col(f"d_{f}") + F.col("n") * off[f] * off[f] for f in FEATURES})
     tot = g.agg(*[F.sum(c).alias(f"t_{c}") for c in ["n", *[f"{k}_{f}" for f in FEATURES for k in "sq"]]])
     j = g.join(F.broadcast(tot))        # one row
-    n = F.col("t_n") - F.col("n")
-    cols = [F.col("group_id"), n.alias("n_train")]
+    left = F.col("t_n") - F.col("n")
+    n = F.nullif(left, F.lit(0))                                   # a group that is all there is has no training rows
+    cols = [F.col("group_id"), left.alias("n_train")]
     for f in FEATURES:
         shift = (F.col(f"t_s_{f}") - F.col(f"s_{f}")) / n
         var = F.greatest((F.col(f"t_q_{f}") - F.col(f"q_{f}")) / n - shift * shift, F.lit(0.0))
@@ -100,23 +110,17 @@ def fit(train, n: int, l2: float = 1.0):
     return lr.fit(train)
 
 
-def lomo(spark, sf, details: list | None = None):
-    """Leave-one-group-out: p, the fold's threshold and its flag for every held-out row."""
-    df = cut_lineage(scored(spark, sf).drop("p", "high").repartition("group_id", "doc_id"))
-    out = None
-    for st in fold_stats(df).orderBy("group_id").collect():         # one row per fold
-        held, s = st["group_id"], st.asDict()
-        tr = scale(df.filter(F.col("group_id") != held), s).persist()
-        model = fit(tr, s["n_train"])
-        p = vector_to_array("probability")[1].alias("p")
-        t = precision_threshold(model.transform(tr).select(F.lit(0).alias("fold"), "doc_id", "good", p)).first()["t_high"]
-        tr.unpersist()
-        te = model.transform(scale(df.filter(F.col("group_id") == held), s))
-        te = te.select("group_id", "doc_id", "good", "toxic", "gate", "line_repeat", *FEATURES[0:1], *FEATURES[2:], "features", p).withColumn("t_high", F.lit(float(t)))
-        if details is not None:
-            details.append((held, [float(w) for w in model.coefficients], float(t)))
-        out = te if out is None else out.unionByName(te)
-    return out.withColumn("high", (F.col("p") >= F.col("t_high")) & F.col("gate"))
+def lomo(spark, sf):
+    """Leave-one-source-out: p, the fold's threshold and its flag for every held-out row, and the models (group_id, mu, sd, weights, t_high).
+
+    All models are fit together (see operators.folds), and their thresholds come from one ranking of all training rows.
+    """
+    df = cut_lineage(scored(spark, sf).drop("p", "high"))
+    models = L.leave_one_out(df, FEATURES, "good", fold_stats(df))
+    t = cut_lineage(precision_threshold(L.training(df, FEATURES, models, "doc_id", "good")).withColumnRenamed("fold", "group_id"))
+    known = cut_lineage(models.table(df).join(t, "group_id", "left").withColumn("t_high", F.coalesce("t_high", F.lit(float("inf")))))
+    out = L.held_out(df, FEATURES, models).join(F.broadcast(known.select("group_id", "t_high")), "group_id")       # one row a source
+    return out.withColumn("high", (F.col("p") >= F.col("t_high")) & F.col("gate")), known
 
 
 def precision_threshold(df, target: float = PRECISION_TARGET, min_flags: int = MIN_FLAGS):
@@ -134,10 +138,9 @@ def precision_threshold(df, target: float = PRECISION_TARGET, min_flags: int = M
      WINDOW w AS (PARTITION BY fold ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT fold, {q6('t')} AS t_high, t IS NOT NULL AS has_threshold FROM (SELECT fold, min(CASE WHEN n >= {MIN_FLAGS} AND g::DOUBLE / n >= {PRECISION_TARGET} THEN p END) AS t FROM r GROUP BY 1)""")
 def running_precision_threshold(spark, sf):
     s = cut_lineage(scored(spark, sf).select("group_id", "doc_id", "good", "p"))
-    folds = F.array(*[F.lit(i).cast("long") for i in range(FOLDS)])
+    folds = F.array(*[F.lit(r[0]).cast("long") for r in s.select("group_id").distinct().collect()]).cast("array<long>")       # one row a source
     rows = s.select("doc_id", "good", "p", F.explode(F.array_remove(folds, F.col("group_id"))).alias("fold"))
-    held = s.select(F.col("group_id").alias("fold")).distinct()
-    t = precision_threshold(rows).join(F.broadcast(held), "fold", "left_semi")      # at most FOLDS rows
+    t = precision_threshold(rows)
     return t.select("fold", r6(finite("t_high")).alias("t_high"), finite("t_high").isNotNull().alias("has_threshold"))
 
 
@@ -159,7 +162,7 @@ def logistic_fit(spark, sf):
 
 @query("lomo_flags")
 def lomo_flags(spark, sf):
-    return lomo(spark, sf).select("group_id", "doc_id", "good", r6(F.col("p"), 4).alias("p"), r6(finite("t_high"), 4).alias("t_high"), "high")
+    return lomo(spark, sf)[0].select("group_id", "doc_id", "good", r6(F.col("p"), 4).alias("p"), r6(finite("t_high"), 4).alias("t_high"), "high")
 
 
 def tiers(df):
@@ -190,7 +193,7 @@ GATES = {"V0": "line_repeat < 0.3 AND toxic = 0", "V1": "line_repeat < 0.1", "V2
 @query("gate_ab")
 def gate_ab(spark, sf):
     """Four gate variants over one leave-one-group-out fit: the gate is outside the model."""
-    df = cut_lineage(lomo(spark, sf).drop("features"))
+    df = cut_lineage(lomo(spark, sf)[0])
     rows = F.array(*[F.struct(F.lit(v).alias("variant"), (F.expr(g) & (F.col("p") >= F.col("t_high"))).alias("hi")) for v, g in GATES.items()])
     x = df.select("group_id", "good", F.inline(rows))
     g = x.groupBy("group_id", "variant").agg(F.count("*").alias("n"), count_if(F.col("hi")).alias("n_high"), count_if(F.col("hi") & (F.col("good") == 1)).alias("good_high"),
@@ -201,15 +204,15 @@ def gate_ab(spark, sf):
 @query("gate_autopsy")
 def gate_autopsy(spark, sf):
     """Good rows that stayed low, by blocker, and the features that pull each fold down."""
-    folds: list = []
-    df = cut_lineage(lomo(spark, sf, folds))
-    w = spark.createDataFrame(folds, "group_id long, weights array<double>, t double")
+    df, models = lomo(spark, sf)
+    df = cut_lineage(df.join(F.broadcast(models.select("group_id", "mu", "sd")), "group_id"))          # one row a source
+    w = models.select("group_id", "weights", F.col("t_high").alias("t"))
     above, good = F.col("p") >= F.col("t_high"), F.col("good") == 1
-    z = vector_to_array("features")
+    z = [(F.col(f) - F.col("mu")[i]) / F.col("sd")[i] for i, f in enumerate(FEATURES)]
     g = df.groupBy("group_id").agg(count_if(good).alias("good"), count_if(good & F.col("high")).alias("flagged"), count_if(good & above & ~F.col("gate")).alias("gate_blocked"),
                                    count_if(good & ~above).alias("below"), *[F.avg(z[i]).alias(f"z{i}") for i in range(len(FEATURES))])
     j = g.join(F.broadcast(w), "group_id")          # one row per fold
-    drags = F.array_sort(F.array(*[F.struct((F.col(f"z{i}") * F.col("weights")[i]).alias("drag"), F.lit(f).alias("feature")) for i, f in enumerate(FEATURES)]))
+    drags = F.array_sort(F.array(*[F.struct((F.col(f"z{i}") * F.col("weights")[i + 1]).alias("drag"), F.lit(f).alias("feature")) for i, f in enumerate(FEATURES)]))
     return j.select("group_id", "good", "flagged", "gate_blocked", "below", r6(finite("t"), 4).alias("t_high"),
                     F.array_join(F.transform(F.slice(drags, 1, 4), lambda s: s["feature"]), ",").alias("drags"))
 
