@@ -60,8 +60,7 @@ def _quality(rows):
 
 
 @pytest.mark.parametrize("docs", FIXTURES, indirect=True)
-@pytest.mark.parametrize("group", [500, 40, 2])
-@pytest.mark.parametrize("bytes_", [1 << 20, -1])
+@pytest.mark.parametrize("group,bytes_", [(500, 1 << 20), (40, -1), (2, 1 << 20)])
 def test_quality(spark, docs, group, bytes_, monkeypatch):
     monkeypatch.setattr(quality, "MIN_GROUP", group)
     monkeypatch.setattr(quality, "BROADCAST_BYTES", bytes_)
