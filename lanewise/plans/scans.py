@@ -109,8 +109,9 @@ def sink_append_log(spark, sf):
 
 
 def _digest_sql(where: str, price: str) -> str:
-    """Rows as =cell|=cell|..., columns by name, ~ for null; the sum of the first 60 bits of their md5."""
-    cells = " || '|' || ".join(f"coalesce('=' || CAST({price if c == 'o_totalprice' else c} AS VARCHAR), '~')" for c in ORDER_COLUMNS)
+    """Rows as length=cell|length=cell|..., columns by name, ~ for null; the sum of the first 60 bits of their md5."""
+    text = [f"CAST({price if c == 'o_totalprice' else c} AS VARCHAR)" for c in ORDER_COLUMNS]
+    cells = " || '|' || ".join(f"coalesce(length({t}) || '=' || {t}, '~')" for t in text)
     return f"SELECT '{where}' AS snapshot, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5({cells}), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM orders"
 
 

@@ -40,8 +40,9 @@ def append_log(df: DataFrame, path: str, session: str, mode: str) -> None:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash: one row, combined map-side. Which cells are null counts too."""
-    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in sorted(df.columns)]
+    """Order-free content hash: one row, combined map-side. A cell goes in with its length, so no text can pass for two cells; nulls count too."""
+    text = lambda c: F.col(c).cast("string")
+    cells = [F.coalesce(F.concat(F.char_length(text(c)).cast("string"), F.lit("="), text(c)), F.lit("~")) for c in sorted(df.columns)]
     row = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.sum(row).cast("string").alias("digest"))
 

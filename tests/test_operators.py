@@ -208,6 +208,12 @@ def test_fingerprint_sees_where_nulls_are(spark):
     assert sinks.fingerprint(one).first() != sinks.fingerprint(two).first()
 
 
+def test_fingerprint_keeps_cells_apart(spark):
+    for x, y in ((("a|=b", "c"), ("a", "b|=c")), (("a|1=b", "c"), ("a", "b|1=c")), (("~", None), (None, "~")), (("", "1="), ("1=", ""))):
+        one, two = (spark.createDataFrame([r], "a string, b string") for r in (x, y))
+        assert sinks.fingerprint(one).first() != sinks.fingerprint(two).first()
+
+
 def test_write_errors_are_not_refusals(spark, tmp_path):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
@@ -262,7 +268,7 @@ def test_two_shapes(spark):
 
 
 def test_launch_assignment_brute(spark):
-    """Crossings claim candidates as a plain left-to-right loop would."""
+    """Every launch, and every crossing without one, is what the rule says given the launches before it."""
     from lanewise.plans.sequences import BACK, FWD, assign_launches
     from lanewise.presets import HOUR
     rnd, cross, cand, eid = random.Random(7), [], [], 0
@@ -276,18 +282,10 @@ def test_launch_assignment_brute(spark):
                 eid += 1
     got = sorted((r.entity_id, r.start_seq, r.seq, r.signal) for r in assign_launches(
         spark.createDataFrame(cross, "entity_id long, start_seq long, end_seq long"), spark.createDataFrame(cand, "entity_id long, seq long, event_id long, cls string")).collect())
-    want = []
-    for ent in (1, 2):
-        used, last = set(), None
-        for _, a, _ in (c for c in cross if c[0] == ent):
-            pool = sorted(c for c in cand if c[0] == ent and a - BACK <= c[1] <= a + FWD and c[2] not in used and (last is None or c[1] >= last + TRACK.min_gap))
-            strong = [c for c in pool if c[3] == "hit"]
-            if pool:
-                e = min(strong or pool, key=lambda c: abs(c[1] - a))
-                used.add(e[2])
-                last = e[1]
-                want.append((ent, a, e[1], "cusp"))
-            elif last is None or a >= last + TRACK.min_gap:
-                last = a
-                want.append((ent, a, a, "crossing"))
-    assert got == sorted(want)
+    given = {(e, a): (at, kind) for e, a, at, kind in got}
+    assert len(given) == len(got) and set(given) <= {(e, a) for e, a, _ in cross}
+    for ent, a, _ in cross:
+        free = max((at for (e, b), (at, _) in given.items() if e == ent and b < a), default=-10**18) + TRACK.min_gap
+        choice = [(cls != "hit", abs(t - a), t) for e, t, _, cls in cand if e == ent and t >= free and -BACK <= t - a <= FWD]
+        nothing = (a, "crossing") if a >= free else None
+        assert given.get((ent, a)) == ((min(choice)[2], "cusp") if choice else nothing)
