@@ -7,15 +7,16 @@ from ..functions.numeric import count_if, r6
 from ..operators import slices as S
 from ..operators.compose import composed_fold
 from ..operators.fold import fold
-from ..operators.machines import Gate, Plateau, Replay
+from ..operators.machines import Active, Gate, Plateau, Replay
 from ..operators.score import Count, Rules
 from ..operators.signal import BY_START
 from ..presets import HOUR, TRACK
 from ..session import cut_lineage
 from ..sources.tables import TRACK_SQL, millis, sliced_track, track
-from ..streaming.state import events_stream, run_available, stream_fold
+from ..streaming.state import events_stream
+from ..streaming.timers import drain, ending, timed_fold
 from .notation import POINTS_SQL, points, winner_sql
-from .registry import query
+from .registry import ORACLES, query
 from .signals import W_SQL, flag_segments, q6
 
 P = TRACK
@@ -49,6 +50,27 @@ def active(df):
         F.sum(F.when(~idle, F.col("gap")).otherwise(0)).alias("active_ms"), count_if(idle).alias("holes"), F.sum(F.when(idle, F.col("gap")).otherwise(0)).alias("hole_ms"))
 
 
+@query("active_time_online", ORACLES["active_time"])
+def active_time_online(spark, sf):
+    """The same from a stream: rows may come late by a day, and a silent entity is closed by its timer."""
+    rows, end = ending(spark, stream_rows(spark, sf), ["entity_id"], "seq")
+    return total_active(drain(timed_active(rows), "active", end))
+
+
+def stream_rows(spark, sf, files: int | None = None):
+    ev = events_stream(spark, sf, "events*.parquet", files)
+    x = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("double")
+    return ev.select(F.col("user_id").alias("entity_id"), millis("ts").alias("seq"), "event_id", F.col("event_type").alias("kind"), (x % 5).cast("long").alias("row_"))
+
+
+def timed_active(df, delay: str = "1 day"):
+    return timed_fold(df, ["entity_id"], ["seq", "event_id"], Active(IDLE), "seq", delay, P.absent_close)
+
+
+def total_active(parts):
+    return parts.groupBy("entity_id", "row_").agg(*[F.sum(c).alias(c) for c in ("active_ms", "holes", "hole_ms")])
+
+
 # ---- score replay ----
 def replay_sql(name: str, rows: str) -> str:
     """CTEs ending in `name`: rows(k, i, w, rel, ...) with the counters before each point, the server and the winner that counts.
@@ -190,11 +212,12 @@ def plateau_label(spark, sf):
 
 @query("plateau_online", f"WITH RECURSIVE {TRACK_SQL}, {PLATEAU_SQL} SELECT entity_id, event_id, plateau FROM pl_out")
 def plateau_online(spark, sf):
-    """The same machine fed by a file stream: every row of plateau_label, with its label."""
+    """The same machine fed by a file stream in event time: every row of plateau_label, with its label. A long silence closes an entity by its timer."""
     ev = events_stream(spark, sf, "events*.parquet")
     k = F.floor(F.regexp_extract("props", r'"k": *(\d+)', 1).cast("double") / 25) * 25
     df = ev.select(F.col("user_id").alias("entity_id"), F.lit(0).cast("long").alias("part"), millis("ts").alias("seq"), "event_id", k.alias("level"), (F.col("event_type") != "error").alias("present"))
-    return run_available(stream_fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS), "plateau", LEVELS).drop("part")
+    df, end = ending(spark, df, ["entity_id", "part"], "seq")
+    return drain(timed_fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS, "seq", "1 day", P.absent_close), "plateau", end).drop("part")
 
 
 @query("segment_split_merge")
