@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 some, out = batch.slice(a, 256), []
-                for d, ids in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text").to_pylist(), path)):
+                for d, ids in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text"), path)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     at = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                     out += [(d, p, s, e - s, zlib.crc32(ids[s:e].tobytes())) for p, (s, e) in enumerate(zip(at, at[1:]))]

@@ -181,8 +181,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
-                for d, ids in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text").to_pylist(), path)):
-                    held.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
+                for d, ids in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text"), path)):
+                    held.append(np.append(ids, np.uint32(end_id)))
                     names.append(d)
                     size += len(held[-1])
                     if size >= FILE_IDS:

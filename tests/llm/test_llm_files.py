@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,7 +74,40 @@ def _tokenizer():
 @given(st.lists(st.text(st.sampled_from("abD1 '.,;!?\n\té日́‍\x1c\x85 　<|>") | st.just(" "), max_size=40), max_size=30))
 def test_pieces_encode_as_the_whole(texts):
     whole = [list(e.ids) for e in _tokenizer().encode_batch(texts, add_special_tokens=False)]
-    assert [i.tolist() for i in tokens.encode(texts, tokenizer_path())] == whole
+    assert [i.tolist() for i in tokens.encode(pa.array(texts, pa.string()), tokenizer_path())] == whole
+
+
+@pytest.mark.parametrize("most,run,chunk", [(1_500_000, 1 << 20, 1 << 16), (400, 300, 64), (70, 5000, 64)])
+def test_small_memories_change_nothing(sf, edge_rows, most, run, chunk, monkeypatch):
+    """Tables that overflow at every turn, runs that cut between any two texts, pieces beside every kind of white space."""
+    import pyarrow.parquet as pq
+    for name, v in (("GENERATION", most), ("RUN_BYTES", run), ("CHUNK", chunk)):
+        monkeypatch.setattr(tokens, name, v)
+    tokens._tokenizer.cache_clear()
+    texts = [t for _, t, *_ in edge_rows] + pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    texts += [f"a{c}b é{c}é {c} x{c}" for c in map(chr, (*range(1, 33), 0x85, 0xa0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000))]
+    texts += [None, "", "word, word word. word.. wörd, é. ,, 1, a", "", "  lead", "trail ", " ", "😀 😀"]
+    whole = [np.array(e.ids, np.uint32) for e in _tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for part in (pa.array(texts, pa.string()), pa.array([None, "x y", *texts], pa.large_string()).slice(2)):
+        got = list(tokens.encode(part, tokenizer_path()))
+        assert len(got) == len(whole) and all(np.array_equal(a, b) for a, b in zip(got, whole))
+    tokens._tokenizer.cache_clear()
+
+
+def test_table_of_pieces():
+    """Keys that share slots, wrap around and differ only in the check."""
+    from lanewise.llm.pieces import Table
+    rng = np.random.default_rng(1)
+    keys = np.concatenate([np.arange(60, dtype=np.uint64) * np.uint64(256) + np.uint64(255), rng.integers(0, 1 << 63, 60).astype(np.uint64)])
+    check = rng.integers(0, 1 << 31, 120).astype(np.uint32)
+    t, held = Table(128), []
+    for a in range(0, 120, 40):
+        ids = [rng.integers(0, 9, int(n)).astype(np.uint32) for n in rng.integers(0, 30, 40)]
+        t.add(keys[a:a + 40], check[a:a + 40], np.array([len(i) for i in ids]), np.concatenate(ids))
+        held += ids
+    rows = t.find(keys, check)
+    assert rows.tolist() == list(range(120)) and all(np.array_equal(t.ids[t.start[r]:t.start[r + 1]], h) for r, h in zip(rows, held))
+    assert (t.find(keys, check + np.uint32(1)) == -1).all() and t.find(np.array([3], np.uint64), np.array([0], np.uint32)).tolist() == [-1]
 
 
 def _ids(edge_rows):
