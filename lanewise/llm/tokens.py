@@ -49,12 +49,14 @@ remembered("tokens", _tokenizer.cache_clear)
 def _cuts(b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of single spaces between two visible characters of one text."""
     white = _WHITE[b]
-    for w in _WIDE:
-        at = np.flatnonzero(b[:len(b) - len(w) + 1] == w[0]) if w[0] in _leads(b) else np.zeros(0, np.int64)
-        for k in range(1, len(w)):
-            at = at[b[at + k] == w[k]]
-        for k in range(len(w)):
-            white[at + k] = True
+    for lead in sorted({w[0] for w in _WIDE}):
+        begin = np.flatnonzero(b == lead)                          # texts are whole, so the bytes after it are there
+        for w in _WIDE if len(begin) else ():
+            at = begin if w[0] == lead else begin[:0]
+            for k in range(1, len(w)):
+                at = at[b[at + k] == w[k]]
+            for k in range(len(w)):
+                white[at + k] = True
     inner = np.zeros(len(b), bool)
     inner[1:-1] = (b[1:-1] == 32) & ~white[:-2] & ~white[2:]
     some = begins < ends
@@ -62,11 +64,6 @@ def _cuts(b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
-def _leads(b: np.ndarray) -> set[int]:
-    seen = np.bincount(b, minlength=256)
-    return {w[0] for w in _WIDE if seen[w[0]]}
-
-
 def _together(tok, width: np.ndarray, words: list[str]) -> list[np.ndarray]:
     """Ids of many pieces at once: pieces that end in a visible character do not change each other."""
     ids = np.array(tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
