@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lanewise.operators import compose
 from lanewise.operators import slices as S
