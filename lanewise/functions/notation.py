@@ -1,12 +1,13 @@
 """Column functions over notation strings and token arrays."""
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..presets import (BACKHAND, DEPTHS, DIRECTIONS, ENDING_MARKS, ERROR_LETTERS, FAULT_LETTERS, FOREHAND,
+from ..presets import (BACKHAND, DEPTHS, DIRECTIONS, ENDING_MARKS, ERROR_LETTERS, FAULT_LETTERS, FOREHAND, NEUTRAL,
                        OTHER_MARKS, SERVE_DIGITS, SHOT_LETTERS, SHOTS)
-from .pairing import edit_script
+from .pairing import edit_distances, edit_scripts
+
 
 def char_class(chars: str) -> str:
     """A regex class of literal characters (safe in Java and RE2)."""
@@ -22,14 +23,19 @@ def played(first: Column, second: Column) -> Column:
     return F.coalesce(blank_to_null(second), first)
 
 
+def _let(c: Column, fn) -> Column:
+    """fn of a column that is computed once, however often fn names it; a plain column is copied to each place."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def last_char(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.substring(c, -1, 1)).otherwise("")
 
 
 def ending_type(p: Column) -> Column:
     """'*', an error kind n/w/d/x, or '?'."""
-    bare = F.regexp_replace(p, "[@#!]+$", "")
-    return F.when(p.endswith("*"), "*").when(last_char(bare).isin(*"nwdx"), last_char(bare)).otherwise("?")
+    last = F.right(F.rtrim(p, F.lit("@#!")), F.lit(1))
+    return F.when(p.endswith("*"), "*").when(last.isin(*"nwdx"), last).otherwise("?")
 
 
 def serve_token(p: Column) -> Column:
@@ -37,16 +43,18 @@ def serve_token(p: Column) -> Column:
     return F.concat(F.lit("s"), F.when(head.isin(*"456"), head).otherwise("?"))
 
 
-def _stroke_tokens(body: Column, shots: str) -> Column:
-    cls = char_class(shots)
-    runs = F.regexp_extract_all(body, F.lit(f"({cls}[^{cls[1:]}*)"), F.lit(1))
+_NEUTRAL_MARK = "\x01"                        # stands for a stroke of neither side, which prints as '?'
+
 
-    def token(m):
-        c, d = F.substring(m, 1, 1), F.regexp_extract(m, "[123]", 0)
-        side = F.when(c.isin(*FOREHAND), "f").when(c.isin(*BACKHAND), "b").otherwise("?")
-        return F.concat(side, F.when(d == "", "?").otherwise(d))
+def _stroke_tokens(body: Column, shots: str) -> Column:
+    """[side, direction] of each stroke: letters become their side, the rest goes but directions, and a side without one gets '?'.
 
-    return F.transform(runs, token)
+    Whole-string functions only: a lambda over the strokes would be interpreted row by row."""
+    sides = F.translate(body, FOREHAND + BACKHAND + NEUTRAL, "f" * len(FOREHAND) + "b" * len(BACKHAND) + _NEUTRAL_MARK * len(NEUTRAL))
+    if "?" in shots:
+        sides = F.translate(sides, "?", _NEUTRAL_MARK)
+    full = F.regexp_replace(F.regexp_replace(sides, f"[^fb{_NEUTRAL_MARK}123]+", ""), f"([fb{_NEUTRAL_MARK}])(?![123])", "$1?")
+    return F.regexp_extract_all(F.translate(full, _NEUTRAL_MARK, "?"), F.lit("[fb?][123?]"), F.lit(0))
 
 
 def point_tokens(p: Column) -> Column:
@@ -56,11 +64,16 @@ def point_tokens(p: Column) -> Column:
 
 def draft_tokens(d: Column) -> Column:
     """The same for a draft string, where '?' is a legal stroke and the ending is peeled first."""
-    core = F.regexp_replace(F.regexp_replace(d, "^s", ""), "[@#!]+$", "")
-    known = last_char(core).isin(*"*nwdx?")
-    ending = F.when(known, last_char(core)).otherwise("?")
-    body = F.when(known, F.regexp_replace(core, ".$", "")).otherwise(core)
-    return F.concat(F.array(serve_token(body)), _stroke_tokens(F.substring(body, 2, 1 << 30), SHOTS + "?"), F.array(ending))
+    def parts(core):
+        last = F.right(core, F.lit(1))
+        known = last.isin(*"*nwdx?")
+        return F.struct(F.when(known, F.left(core, F.length(core) - 1)).otherwise(core).alias("body"), F.when(known, last).otherwise("?").alias("ending"))
+
+    def tokens(s):
+        return F.concat(F.array(serve_token(s["body"])), _stroke_tokens(F.substring(s["body"], 2, 1 << 30), SHOTS + "?"), F.array(s["ending"]))
+
+    bare = _let(d, lambda d: F.rtrim(F.when(d.startswith("s"), F.substring(d, 2, 1 << 30)).otherwise(d), F.lit("@#!")))
+    return _let(_let(bare, parts), tokens)
 
 
 def token_kind(t: Column) -> Column:
@@ -83,36 +96,27 @@ def classify_sub(a: Column, b: Column) -> Column:
             .when(letter & ~direction, "sub_direction").when(direction & ~letter, "sub_letter").otherwise("sub_letter+dir"))
 
 
-def _private_char(n: Column) -> Column:
-    """The n-th character from U+10000 on; there are 1,048,575 of them."""
-    n = F.when(n > 0xFFFFF, F.raise_error(F.lit("more than 1,048,575 distinct tokens in a pair"))).otherwise(n)
-    return F.decode(F.unhex(F.lpad(F.hex(n + 0x10000), 8, "0")), "UTF-32")
-
-
 def edit_distance(a: Column, b: Column) -> Column:
-    """Unit-cost edit distance over tokens: tokens become single characters of a
-    per-row dictionary, then the native string distance applies."""
-    words = F.array_distinct(F.concat(a, b))
-    code = lambda arr: F.array_join(F.transform(arr, lambda t: _private_char(F.array_position(words, t))), "")
-    return F.levenshtein(code(a), code(b))
+    """Unit-cost edit distance over the tokens of two arrays of any length; null where one is, null tokens count for nothing."""
+    @F.arrow_udf("int")
+    def distances(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(edit_distances(a, b), pa.int32())
+    return distances(a, b)
 
 
 def small_edit_distance(a: Column, b: Column, vocabulary: list[str]) -> Column:
-    """The same with a fixed vocabulary: one map lookup per token. Tokens outside it get characters of their own."""
-    codes = F.create_map(*[x for i, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(chr(97 + i)))])
-    other = F.array_except(F.concat(a, b), F.array(*map(F.lit, vocabulary)))
-    code = lambda arr: F.array_join(F.transform(arr, lambda t: F.coalesce(F.try_element_at(codes, t), _private_char(F.array_position(other, t)))), "")
-    return F.levenshtein(code(a), code(b))
+    """The same; the vocabulary that callers name does not matter, tokens are numbered batch by batch."""
+    return edit_distance(a, b)
 
 
 NOTATION_TOKENS = ["s4", "s5", "s6", "s?", *[x + y for x in "fb?" for y in "123?"], "*", "n", "w", "d", "x", "?"]
 
 
 def edit_ops():
-    """Pandas UDF: (array<string>, array<string>) -> array of [op, a, b]."""
-    @F.pandas_udf("array<array<string>>")
-    def ops(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_script(list(x), list(y)) for x, y in zip(a, b)])
+    """Arrow UDF: (array<string>, array<string>) -> array of [op, a, b]."""
+    @F.arrow_udf("array<array<string>>")
+    def ops(a: pa.Array, b: pa.Array) -> pa.Array:
+        return edit_scripts(a, b)
     return ops
 
 
@@ -129,31 +133,29 @@ def winner(first: Column, second: Column) -> Column:
     return F.when(double, 2).when(end == "*", hitter).when(end.isin("@", "#"), 3 - hitter)
 
 
-def strokes(p: Column) -> Column:
-    """Array of stroke structs of a played string, the serve first."""
+def stroke_runs(p: Column) -> Column:
+    """The strokes after the serve: each letter with what follows it."""
     cls = char_class(SHOTS)
-    runs = F.regexp_extract_all(F.substring(p, 2, 1 << 30), F.lit(f"({cls}[^{cls[1:]}*)"), F.lit(1))
-    mark = F.when(last_char(p).isin(*ENDING_MARKS), last_char(p)).otherwise("")
-    err_at = F.when(F.length(p) > 1, F.substring(p, -2, 1)).otherwise("")
-    err = F.when(mark.isin("@", "#") & err_at.isin(*ERROR_LETTERS), err_at).otherwise("")
-    blank = F.lit("")
-    found = lambda m, pat: F.coalesce(F.nullif(F.regexp_extract(m, pat, 0), blank), F.lit("?"))
-
-    def stroke(m):
-        c = F.substring(m, 1, 1)
-        side = F.when(c.isin(*FOREHAND), "fh").when(c.isin(*BACKHAND), "bh").otherwise("?")
-        return F.struct(F.lit(False).alias("is_serve"), blank.alias("serve_zone"), c.alias("letter"), side.alias("side"),
-                        found(m, "[123]").alias("dir"), found(m, char_class(DEPTHS)).alias("depth"))
-
-    serve = F.struct(F.lit(True).alias("is_serve"), F.substring(serve_token(p), 2, 1).alias("serve_zone"), blank.alias("letter"),
-                     F.lit("serve").alias("side"), blank.alias("dir"), blank.alias("depth"))
-    rows = F.concat(F.array(serve), F.transform(runs, stroke))
-    last = F.size(runs)
-    full = F.transform(rows, lambda s, i: F.struct(s["is_serve"].alias("is_serve"), s["serve_zone"].alias("serve_zone"),
-                                                   s["letter"].alias("letter"), s["side"].alias("side"), s["dir"].alias("dir"),
-                                                   s["depth"].alias("depth"), F.when(i == last, mark).otherwise("").alias("ending"),
-                                                   F.when(i == last, err).otherwise("").alias("err")))
-    return F.when(F.length(p) > 0, full).otherwise(F.slice(full, 1, 0))
+    return F.regexp_extract_all(F.substring(p, 2, 1 << 30), F.lit(f"({cls}[^{cls[1:]}*)"), F.lit(1))
+
+
+def n_strokes(p: Column) -> Column:
+    """How many strokes come after the serve: the letters that a translation away takes from the rest."""
+    rest = F.substring(p, 2, 1 << 30)
+    return F.length(rest) - F.length(F.translate(rest, SHOTS, ""))
+
+
+def stroke(p: Column, m: Column, i: Column, last: Column) -> list[Column]:
+    """Columns of stroke i (0 is the serve) with run m of a played string whose last one is `last`."""
+    serve, c, blank = i == 0, F.left(m, F.lit(1)), F.lit("")
+    found = lambda pat: F.when(serve, blank).otherwise(F.coalesce(F.nullif(F.regexp_extract(m, pat, 0), blank), F.lit("?")))
+    mark = F.right(p, F.lit(1))
+    err = F.when(F.length(p) > 1, F.substring(p, -2, 1)).otherwise(blank)
+    return [serve.alias("is_serve"), F.when(serve, F.substring(serve_token(p), 2, 1)).otherwise(blank).alias("serve_zone"), c.alias("letter"),
+            F.when(serve, "serve").when(c.isin(*FOREHAND), "fh").when(c.isin(*BACKHAND), "bh").otherwise("?").alias("side"),
+            found("[123]").alias("dir"), found(char_class(DEPTHS)).alias("depth"),
+            F.when((i == last) & mark.isin(*ENDING_MARKS), mark).otherwise(blank).alias("ending"),
+            F.when((i == last) & mark.isin("@", "#") & err.isin(*ERROR_LETTERS), err).otherwise(blank).alias("err")]
 
 
 KNOWN = "".join(sorted(set(SERVE_DIGITS + SHOT_LETTERS + DIRECTIONS + DEPTHS + ERROR_LETTERS + ENDING_MARKS

@@ -45,7 +45,8 @@ POINTS_SQL = f"pts0 AS ({_LINES}), pts AS (SELECT *, CASE WHEN trim(second_) <>
 def points(spark, sf):
     """match_id, pt, part, supp, first_, second_, svr, attested, flags, played."""
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"]
-    df = spread_scan(table(spark, sf, "lineitem").select(*cols)).select(*[F.expr(e).alias(n) for n, e in POINT_COLUMNS.items()])
+    df = once(spread_scan(table(spark, sf, "lineitem").select(*cols)), body=F.expr(_BODY))
+    df = df.select(*[F.expr(e.replace(_BODY, "body")).alias(n) for n, e in POINT_COLUMNS.items()])
     return df.withColumn("played", N.played(F.col("first_"), F.col("second_")))
 
 
@@ -111,10 +112,11 @@ def played_string(spark, sf):
 
 
 def exploded(spark, sf):
-    """One row per stroke of every point."""
-    df = points(spark, sf).withColumn("played", F.trim("played"))
-    df = df.select(*KEY, "svr", "played", F.posexplode(N.strokes(F.col("played"))).alias("shot_idx", "s"))
-    return df.select(*KEY, "svr", "shot_idx", F.when(F.col("shot_idx") % 2 == 0, F.col("svr")).otherwise(3 - F.col("svr")).alias("striker"), "s.*")
+    """One row per stroke of every point. Strokes are rows first and columns then, which is compiled; structs built by a lambda are not."""
+    df = once(points(spark, sf), p=F.trim("played")).filter(F.length("p") > 0)
+    df = df.select(*KEY, "svr", "p", F.posexplode(F.concat(F.array(F.lit("")), N.stroke_runs(F.col("p")))).alias("shot_idx", "m"), N.n_strokes(F.col("p")).alias("last"))
+    return df.select(*KEY, "svr", "shot_idx", F.when(F.col("shot_idx") % 2 == 0, F.col("svr")).otherwise(3 - F.col("svr")).alias("striker"),
+                     *N.stroke(F.col("p"), F.col("m"), F.col("shot_idx"), F.col("last")))
 
 
 _S, _NS = cls(SHOTS), cls(SHOTS)[1:]
@@ -152,7 +154,8 @@ _PAIRS_SQL = f"""tk AS (SELECT {tokens_sql('played')} AS a, {DRAFT_EXPR} AS draf
 @query("classify_sub", f"""WITH {POINTS_SQL}, {_PAIRS_SQL} SELECT CASE WHEN kx <> ky THEN 'sub_crosstype' WHEN kx = 'serve' THEN 'sub_serve_zone' WHEN kx = 'ending' THEN 'sub_ending'
    WHEN x[1] = y[1] AND x[2] <> y[2] THEN 'sub_direction' WHEN x[2] = y[2] AND x[1] <> y[1] THEN 'sub_letter' ELSE 'sub_letter+dir' END AS cls, x AS truth_tok, y AS our_tok, count(*) AS n FROM dif GROUP BY ALL""")
 def classify_sub(spark, sf):
-    df = once(points(spark, sf), a=N.point_tokens(F.col("played")), b=N.draft_tokens(F.expr(DRAFT_EXPR)))
+    df = points(spark, sf).select("played", F.expr(DRAFT_EXPR).alias("draft"))
+    df = once(df, a=N.point_tokens(F.col("played")), b=N.draft_tokens(F.col("draft")))
     df = df.filter(F.size("a") == F.size("b")).select(F.explode(F.arrays_zip("a", "b")).alias("z")).select(F.col("z.a").alias("truth_tok"), F.col("z.b").alias("our_tok"))
     df = df.filter("truth_tok <> our_tok").groupBy("truth_tok", "our_tok").agg(F.count("*").alias("n"))
     return df.withColumn("cls", N.classify_sub(F.col("truth_tok"), F.col("our_tok")))
