@@ -10,15 +10,15 @@ from . import slices as S
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-              width: float = 1.0) -> DataFrame:
+              width: float = 1.0, weight: str | None = None) -> DataFrame:
     """One row per key: interpolated quantiles and the count `n`.
 
     Values are counted before the shuffle, ranked by prefix sums over value slices of
     `width`, and the two order statistics of each quantile are picked by an aggregate:
-    no task ever sees a whole group.
+    no task ever sees a whole group. A row of `weight` k counts k times.
     """
     c = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q"))
-         .agg(F.count("*").alias("_c")))
+         .agg((F.sum(weight) if weight else F.count("*")).alias("_c")))
     c = cut_lineage(c)          # counts per distinct value, used three times below
     tot = c.groupBy(*keys).agg(F.sum("_c").alias("n"))
     c = S.running_sum(S.add_slice(c, width, "_q"), {"_cum": F.col("_c")}, keys, ("_q",))
