@@ -1,5 +1,6 @@
 """Trajectory operators over irregular samples of an entity, sliced by time."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from ..functions.numeric import array_median
 from ..presets import NET_Y, TRACK, Track
 from ..session import cut_lineage
 from . import slices as S
+from .stencil import Rows, ge, gt, sorted_median, stencil
 
 ID = ("group_id", "entity_id", "seq", "event_id", "slice")
 
@@ -39,119 +41,126 @@ def gaps(df: DataFrame, longer_than: int) -> DataFrame:
             .select("group_id", "entity_id", F.col("seq").alias("start_seq"), F.col("next.seq").alias("end_seq")))
 
 
-def with_context(df: DataFrame, cols: list[str], k: int, fn) -> DataFrame:
-    """Adds the columns `fn(rows, i)` derives from the neighbourhood of each row, where
-    `rows` holds up to k rows either side in order and `i` is the index of the row.
+def _cusp_rows(r: Rows, near: float, far: float, far_y: float):
+    """Indices of the cusps among the rows to answer for, their swing and straddle."""
+    y = r.col("y")
+    ys = r.mean3(y)
+    seq = (r.seq, np.ones(r.n, bool))
+    slope = r.slope(ys, 3_600_000)
+    (v0, ok0), _ = r.at(slope, -1)
+    (v1, ok1), _ = r.at(slope, 1)
+    inside = r.mine & (r.i - r.first >= 2) & (r.end - r.i > 2)
+    need = np.where(ys[1] & ge(ys[0], far_y), near, far)
+    with np.errstate(all="ignore"):
+        swing = v0 - v1
+    at = np.flatnonzero(inside & ok0 & ok1 & gt(v0, 0.0) & (v1 < 0) & ge(swing, need))
+    return at, swing[at], r.at(seq, 1)[0][0][at] - r.at(seq, -1)[0][0][at]
 
-    The derivation sits in a generator so that later filters on its results are not
-    pushed below it, which would repeat the array arithmetic once per reference.
-    """
-    df = S.context(df, cols, k)
-    src = F.struct(F.concat("before", F.array(F.struct(*cols)), "after").alias("rows"), F.size("before").alias("i"))
-    return (df.select("*", F.inline(F.transform(F.array(src), lambda s: fn(s["rows"], s["i"]))))
-            .drop("before", "after"))
 
+def _sure(v):
+    return v, np.ones(len(v), bool)
 
-def _mean3(full: Column, j: Column, col: str) -> Column:
-    """Three-sample mean at array index j, end samples replicated."""
-    at = F.get(full, j)[col]
-    return (F.coalesce(F.get(full, j - 1)[col], at) + at + F.coalesce(F.get(full, j + 1)[col], at)) / 3
 
+def cusps(df: DataFrame, p: Track, near: float, far: float, far_y: float) -> DataFrame:
+    """Samples where the derivative of the smoothed signal flips from + to -."""
+    def find(r: Rows):
+        at, swing, straddle = _cusp_rows(r, near, far, far_y)
+        return at, {"straddle": _sure(straddle), "swing": _sure(swing)}
 
-def _slope_at(full: Column, j: Column, col: str, unit: int) -> Column:
-    """Derivative at array index j; one-sided where a neighbour is missing."""
-    m, c, p = F.get(full, j - 1), F.get(full, j), F.get(full, j + 1)
-    hs, hd = (c["seq"] - m["seq"]) / unit, (p["seq"] - c["seq"]) / unit
-    f, fm, fp = c[col], m[col], p[col]
-    inner = F.try_divide(hs * hs * fp + (hd * hd - hs * hs) * f - hd * hd * fm, hs * hd * (hs + hd))
-    return F.when(m.isNull(), F.try_divide(fp - f, hd)).when(p.isNull(), F.try_divide(f - fm, hs)).otherwise(inner)
+    return stencil(df, 4, find, {"straddle": "long", "swing": "double"})
 
 
-def _inside(full: Column, i: Column, k: int) -> Column:
-    """True when at least k rows lie on both sides of index i."""
-    return (i >= k) & (F.size(full) - i > k)
+def _speeds(r: Rows, at: np.ndarray, k: int) -> dict:
+    """Medians `mb` and `ma` of the depth speeds of up to k samples before and after, and `nb`, `na`, how many there were."""
+    v = r.slope(r.col("cy"), TRACK.second)
+    mb, okb, nb = r.median(v, at, -k, -1)
+    ma, oka, na = r.median(v, at, 1, k)
+    return {"nb": _sure(nb.astype(np.int32)), "na": _sure(na.astype(np.int32)), "mb": (mb, okb), "ma": (ma, oka)}
 
 
-def cusps(df: DataFrame, p: Track, near: float, far: float, far_y: float) -> DataFrame:
-    """Samples where the derivative of the smoothed signal flips from + to -."""
-    df = with_context(df, ["y", "seq"], 3, lambda a, i: F.struct(
-        _inside(a, i, 2).alias("_ok"),
-        F.transform(F.sequence(i - 2, i + 2), lambda j: F.struct(
-            _mean3(a, j, "y").alias("ys"), F.get(a, j)["seq"].alias("seq"))).alias("_s")))
-    df = df.filter("_ok").select("*", F.inline(F.transform(F.array("_s"), lambda s: F.struct(
-        F.get(s, F.lit(2))["ys"].alias("ys"), (F.get(s, F.lit(3))["seq"] - F.get(s, F.lit(1))["seq"]).alias("straddle"), _slope_at(s, F.lit(1), "ys", 3_600_000).alias("_v0"),
-        _slope_at(s, F.lit(3), "ys", 3_600_000).alias("_v1")))))
-    df = df.withColumn("swing", F.col("_v0") - F.col("_v1"))
-    need = F.when(F.col("ys") >= far_y, near).otherwise(far)
-    return (df.filter((F.col("_v0") > 0) & (F.col("_v1") < 0) & (F.col("swing") >= need))
-            .drop("_ok", "_s", "_v0", "_v1", "ys"))
-
-
-def speeds_around(df: DataFrame, k: int) -> DataFrame:
-    """Adds the medians `mb` and `ma` of the depth speeds of up to k samples before and
-    after, and `nb`, `na`, how many there were."""
-    def speeds(a, lo, hi):
-        return F.transform(F.filter(F.sequence(lo, hi), lambda j: (j >= 0) & (j < F.size(a))),
-                           lambda j: _slope_at(a, j, "cy", TRACK.second))
-
-    df = with_context(df, ["cy", "seq"], k + 1, lambda a, i: F.struct(
-        speeds(a, i - k, i - 1).alias("_vb"), speeds(a, i + 1, i + k).alias("_va")))
-    return df.select("*", F.inline(F.transform(F.array(F.struct("_vb", "_va")), lambda s: F.struct(
-        F.size(s["_vb"]).alias("nb"), F.size(s["_va"]).alias("na"),
-        array_median(s["_vb"]).alias("mb"), array_median(s["_va"]).alias("ma"))))).drop("_vb", "_va")
+SPEEDS = {"nb": "integer", "na": "integer", "mb": "double", "ma": "double"}
 
 
 def collapses(df: DataFrame, ratio: float = 3.0, floor: float = 0.3, k: int = 6) -> DataFrame:
     """Far-half samples whose speed collapses: medians of k before and k after."""
-    df = speeds_around(df, k).filter((F.col("nb") == k) & (F.col("na") == k) & (F.col("cy") <= NET_Y))
+    def find(r: Rows):
+        cy, ok = r.col("cy")
+        at = np.flatnonzero(r.mine & ok & (cy <= NET_Y) & (r.i - r.first >= k) & (r.end - r.i > k))
+        return at, _speeds(r, at, k)
+
+    df = stencil(df, k + 2, find, SPEEDS)
     same = F.signum("mb") == F.signum("ma")
     return df.filter(same & (F.abs("ma") > floor) & (F.try_divide(F.abs("mb"), F.abs("ma")) >= ratio))
 
 
+def _with_class(df: DataFrame, fast: float) -> DataFrame:
+    return df.withColumn("cls", F.when(F.abs("ma") > fast, "hit").otherwise("bounce"))
+
+
 def classify(df: DataFrame, fast: float = 4.5) -> DataFrame:
     """Adds `ma`, the median speed after the sample, and `cls`: hit when fast, else bounce."""
-    return speeds_around(df, 6).withColumn("cls", F.when(F.abs("ma") > fast, "hit").otherwise("bounce"))
-
-
-def crossing_edges(df: DataFrame, p: Track) -> DataFrame:
-    """Track rows with the smoothed depth `cs`, the edge to the next sample, and
-    prefix counts of samples and of level passes (used for gap evidence)."""
-    def edge(a, i):
-        prev, nxt = F.get(a, i - 1), F.get(a, i + 1)
-        return F.struct(_mean3(a, i, "cy").alias("cs"),
-                        F.when(prev.isNotNull(), _mean3(a, i - 1, "cy")).alias("prev_cs"),
-                        F.when(nxt.isNotNull(), _mean3(a, i + 1, "cy")).alias("next_cs"),
-                        prev["seq"].alias("prev_seq"), nxt["seq"].alias("next_seq"))
-
-    df = with_context(df, ["cy", "seq"], 2, edge)
-    gap, pgap = F.col("next_seq") - F.col("seq"), F.col("seq") - F.col("prev_seq")
-    side = lambda c: F.signum(F.col(c) - NET_Y)
-    d = F.when(gap <= p.cross_gap, F.signum(F.col("next_cs") - F.col("cs")))
-    dp = F.when(pgap <= p.cross_gap, F.signum(F.col("cs") - F.col("prev_cs")))
-    df = df.withColumns({
-        "d": F.coalesce(d, F.lit(0.0)), "dp": F.coalesce(dp, F.lit(0.0)),
-        "flip": F.when(side("cs") * side("prev_cs") < 0, 1).otherwise(0),
-        "next_flip": F.when(side("cs") * side("next_cs") < 0, 1).otherwise(0),
-        "step": F.abs(F.col("next_cs") - F.col("cs")) / F.greatest(gap / p.frame, F.lit(1.0))})
-    return S.running_sum(df.drop("prev_seq", "prev_cs"), {
-        "run": F.when(F.col("d") != F.col("dp"), 1).otherwise(0), "rank": F.lit(1), "flips": F.col("flip")})
-
-
-def crossings(edges: DataFrame, p: Track) -> DataFrame:
-    """Maximal monotone runs through the level, gated by span, speed and steps.
-
-    Runs are islands over edges, so neighbouring runs may share an end sample. `strict`
+    def find(r: Rows):
+        at = np.flatnonzero(r.mine)
+        return at, _speeds(r, at, 6)
+
+    return _with_class(stencil(df, 8, find, SPEEDS), fast)
+
+
+def classified_cusps(df: DataFrame, near: float, far: float, far_y: float, fast: float = 4.5) -> DataFrame:
+    """Cusps with their class; speeds are taken around cusps only."""
+    def find(r: Rows):
+        at, swing, straddle = _cusp_rows(r, near, far, far_y)
+        return at, {"straddle": _sure(straddle), "swing": _sure(swing), **_speeds(r, at, 6)}
+
+    return _with_class(stencil(df, 8, find, {"straddle": "long", "swing": "double", **SPEEDS}), fast)
+
+
+def crossings(df: DataFrame, p: Track) -> DataFrame:
+    """Maximal monotone runs of the smoothed depth through the level, gated by span, speed and steps.
+
+    Runs are islands over edges to the next sample, so neighbouring runs may share an end sample. `strict`
     tells the runs that also pass the span cap, sample floor and speed cap. `rank*` and
-    `flips*` are prefix counts at the two ends.
+    `flips*` are prefix counts of samples and of level passes at the two ends (gap evidence).
+    A row of the first step is a run, or the part of one that a stretch of rows holds.
     """
-    runs = edges.filter(F.col("d") != 0).groupBy("group_id", "entity_id", "run").agg(
-        F.min("seq").alias("start_seq"), F.max("next_seq").alias("end_seq"), F.max("d").alias("dir"),
-        F.min_by("cs", F.struct("seq", "event_id")).alias("c0"),
-        F.max_by("next_cs", F.struct("seq", "event_id")).alias("c1"),
-        F.min("rank").alias("rank0"), (F.max("rank") + 1).alias("rank1"),
-        F.min(F.col("flips") - F.col("flip")).alias("flips0"),
-        F.max(F.col("flips") + F.col("next_flip")).alias("flips1"),
-        F.max("step").alias("max_step"), F.count("*").alias("edges"))
+    def find(r: Rows):
+        cs, ok = r.mean3(r.col("cy"))
+        (ncs, okn), there = r.at((cs, ok), 1)
+        gap = r.seq[np.where(there, r.i + 1, r.i)] - r.seq
+        with np.errstate(all="ignore"):
+            rise, side = ncs - cs, np.sign(cs - NET_Y)
+            # runs that touch a NaN fail the step gate
+            d = np.where(there & (gap <= p.cross_gap) & ok & okn, np.where(np.isnan(rise), 2, np.sign(rise)), 0).astype(np.int8)
+            (before, okb), _ = r.at((side, ok), -1)
+            flip = np.where(ok & okb & (side * before < 0), 1, 0)
+            step = np.abs(rise) / np.maximum(gap / p.frame, 1.0)
+        (dp, okd), _ = r.at((d, np.ones(r.n, bool)), -1)
+        turn = d != np.where(okd, dp, 0)
+        c = r.sums(run=turn, rank=np.ones(r.n), flips=flip)
+        on = np.flatnonzero(r.mine & (np.abs(d) == 1))
+        new = np.ones(len(on), bool)
+        new[1:] = (c["run"][on[1:]] != c["run"][on[:-1]]) | (r.first[on[1:]] != r.first[on[:-1]])
+        heads = np.flatnonzero(new)
+        a, z = on[heads], on[np.append(heads[1:], len(on)) - 1] if len(on) else on
+        edges = np.diff(np.append(heads, len(on)))
+        steep = np.maximum.reduceat(step[on], heads) if len(on) else step[:0]
+        (ends, oke), _ = r.at((turn, np.ones(r.n, bool)), 1)
+        short = turn[a] & (ends[z] | ~oke[z]) & (edges + 1 < p.cross_samples_weak)        # a whole run
+        keep = ~short
+        a, z, edges, steep = a[keep], z[keep], edges[keep], steep[keep]
+        nxt = r.seq[np.minimum(z + 1, r.n - 1)] if r.n else r.seq
+        (next_flip, okf), _ = r.at((flip, np.ones(r.n, bool)), 1)
+        return a, {"run": _sure(c["run"][a]), "start_seq": _sure(r.seq[a]), "end_seq": _sure(nxt), "dir": _sure(d[a].astype(np.int32)), "c0": _sure(cs[a]), "c1": _sure(ncs[z]),
+                   "rank0": _sure(c["rank"][a]), "rank1": _sure(c["rank"][z] + 1), "flips0": _sure(c["flips"][a] - flip[a]),
+                   "flips1": _sure(c["flips"][z] + np.where(okf, next_flip, 0)[z]), "max_step": _sure(steep), "edges": _sure(edges.astype(np.int64))}
+
+    parts = stencil(df.select(*ID, "cy"), 4, find, {
+        "run": "long", "start_seq": "long", "end_seq": "long", "dir": "integer", "c0": "double", "c1": "double", "rank0": "long", "rank1": "long", "flips0": "long", "flips1": "long",
+        "max_step": "double", "edges": "long"}, {"run": "run", "rank0": "rank", "rank1": "rank", "flips0": "flips", "flips1": "flips"})
+    runs = parts.groupBy("group_id", "entity_id", "run").agg(
+        F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.max("dir").alias("dir"), F.min_by("c0", "rank0").alias("c0"), F.max_by("c1", "rank1").alias("c1"),
+        F.min("rank0").alias("rank0"), F.max("rank1").alias("rank1"), F.min("flips0").alias("flips0"), F.max("flips1").alias("flips1"),
+        F.max("max_step").alias("max_step"), F.sum("edges").alias("edges"))
     span = F.abs(F.col("c1") - F.col("c0"))
     dur = (F.col("end_seq") - F.col("start_seq")) / p.second
     lo, hi = F.least("c0", "c1"), F.greatest("c0", "c1")
@@ -161,7 +170,7 @@ def crossings(edges: DataFrame, p: Track) -> DataFrame:
             & (speed >= p.cross_speed_min) & (F.col("max_step") <= p.cross_max_step))
     strict = ((F.col("edges") + 1 >= p.cross_samples) & (span <= p.cross_span_max) & (speed <= p.cross_speed_max))
     return runs.filter(weak).select(
-        "group_id", "entity_id", "start_seq", "end_seq", F.col("dir").cast("int").alias("dir"),
+        "group_id", "entity_id", "start_seq", "end_seq", "dir",
         "rank0", "rank1", "flips0", "flips1", strict.alias("strict"))
 
 
@@ -216,26 +225,33 @@ def inside_partition(rows: DataFrame, at: str, until: str, parts: DataFrame, p:
 
 def smooth_flag_runs(df: DataFrame, flag: Column, p: Track, k: int = 9) -> DataFrame:
     """Rolling median of a flag, runs of true, small gaps merged, short runs dropped."""
-    def on(a, i, shift: int) -> Column:
-        """Majority of the k flags around the row `shift` away, end flags replicated."""
-        idx = F.sequence(i + (shift - k // 2), i + (shift + k // 2))
-        votes = F.aggregate(idx, F.lit(0), lambda acc, j: acc + F.get(
-            a, F.greatest(F.lit(0), F.least(j, F.size(a) - 1)))["flag"])
-        return F.when(votes * 2 > k, 1).otherwise(0)
+    h = k // 2
 
-    df = with_context(df.withColumn("flag", flag.cast("int")), ["flag"], k // 2 + 1, lambda a, i: F.struct(
-        on(a, i, 0).alias("on"), F.when(i > 0, on(a, i, -1)).otherwise(0).alias("was")))
-    df = S.islands(df, F.col("on") != F.col("was"), "run")
-    runs = (df.filter("on = 1").groupBy("group_id", "entity_id", "run")
-            .agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq")))
-    return merge_runs(cut_lineage(runs), p)
+    def find(r: Rows):
+        f = r.col("flag")[0].astype(np.int64)
+        # end flags are replicated
+        votes = sum(f[np.minimum(np.maximum(r.i + d, r.first), r.end - 1)] for d in range(-h, h + 1))
+        on = votes * 2 > k
+        (was, okw), _ = r.at((on, on), -1)
+        was = was & okw
+        held = np.flatnonzero(r.mine & on)
+        new = np.ones(len(held), bool)
+        new[1:] = (np.diff(held) != 1) | (r.first[held[1:]] != r.first[held[:-1]])
+        heads = np.flatnonzero(new)
+        a, z = held[heads], held[np.append(heads[1:], len(held)) - 1] if len(held) else held
+        return a, {"start_seq": _sure(r.seq[a]), "end_seq": _sure(r.seq[z]), "more": _sure(was[a])}
+
+    flags = df.select(*ID, F.coalesce(flag, F.lit(False)).cast("int").alias("flag"))
+    runs = stencil(flags, h + 2, find, {"start_seq": "long", "end_seq": "long", "more": "boolean"})
+    return merge_runs(cut_lineage(runs.select("group_id", "entity_id", "start_seq", "end_seq", F.col("event_id").alias("start_id"), "more")), p)
 
 
 def merge_runs(runs: DataFrame, p: Track) -> DataFrame:
-    """Joins runs at most `merge_gap` apart, then keeps those of at least `min_run`."""
-    runs = S.adjacent(S.add_slice(runs, p.slice_ms, "start_seq"), ["end_seq"], **BY_START)
-    far = F.col("start_seq") - F.col("prev.end_seq") > p.merge_gap
-    runs = S.islands(runs, F.coalesce(far, F.lit(True)), "seg", **BY_START)
+    """Joins runs at most `merge_gap` apart, and those that go on (`more`) where a stretch of rows ended, then keeps those of at least `min_run`."""
+    order = dict(order=("start_seq", "start_id"))
+    runs = S.adjacent(S.add_slice(runs, p.slice_ms, "start_seq"), ["end_seq"], **order)
+    far = F.coalesce(F.col("start_seq") - F.col("prev.end_seq") > p.merge_gap, F.lit(True)) & ~F.col("more")
+    runs = S.islands(runs, far, "seg", **order)
     segs = (runs.groupBy("group_id", "entity_id", "seg")
             .agg(F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq")))
     return segs.filter(F.col("end_seq") - F.col("start_seq") + p.frame >= p.min_run)
@@ -268,20 +284,41 @@ def interpolate(df: DataFrame, cols: list[str], unit: int, max_gap: int) -> Data
                      (F.col("_i") > 0).alias("fill"))
 
 
-def peak_scores(df: DataFrame, col: str, k: int) -> DataFrame:
-    """z = (value - window median) / (window MAD + 1e-6) over k edge-replicated rows."""
+def median_filter(df: DataFrame, col: str, k: int, out: str) -> DataFrame:
+    """Median over k edge-replicated rows."""
     h = k // 2
 
-    def stats(a, i):
-        win = F.transform(F.sequence(i - h, i + h), lambda j: F.get(
-            a, F.greatest(F.lit(0), F.least(j, F.size(a) - 1)))[col])
-        return F.struct(win.alias("_w"))
+    def find(r: Rows):
+        v, ok = r.col(col)
+        at = np.flatnonzero(r.mine)
+        j = at[:, None] + np.arange(-h, h + 1)
+        j = np.minimum(np.maximum(j, r.first[at][:, None]), r.end[at][:, None] - 1)
+        return at, {out: sorted_median(v[j], ok[j], np.full(len(at), k))}
+
+    return stencil(df, h + 1, find, {out: "double"})
+
+
+def peaks(df: DataFrame, col: str, k: int, least: float) -> DataFrame:
+    """Rows whose z = (value - window median) / (window MAD + 1e-6) over k edge-replicated rows is `least` or more and not
+    below either neighbour's, with `z` and the row's `rank` in the entity."""
+    h = k // 2
 
-    df = with_context(df, [col], h, stats)
-    df = df.select("*", F.inline(F.transform(F.array("_w"), lambda w: F.struct(array_median(w).alias("_m")))))
-    df = df.select("*", F.inline(F.transform(F.array(F.struct("_w", "_m")), lambda s: F.struct(
-        array_median(F.transform(s["_w"], lambda v: F.abs(v - s["_m"]))).alias("_mad")))))
-    return df.withColumn("z", (F.col(col) - F.col("_m")) / (F.col("_mad") + 1e-6)).drop("_w", "_m", "_mad")
+    def find(r: Rows):
+        v, ok = r.col(col)
+        all_ = np.full(r.n, k)
+        j = r.i[:, None] + np.arange(-h, h + 1)
+        j = np.minimum(np.maximum(j, r.first[:, None]), r.end[:, None] - 1)
+        m, okm = sorted_median(v[j], ok[j], all_)
+        with np.errstate(all="ignore"):
+            mad, okd = sorted_median(np.abs(v[j] - m[:, None]), ok[j] & okm[:, None], all_)
+            z = (v - m) / (mad + 1e-6), ok & okm & okd
+        (before, okb), _ = r.at(z, -1)
+        (after, oka), _ = r.at(z, 1)
+        rank = r.sums(rank=np.ones(r.n))["rank"]
+        at = np.flatnonzero(r.mine & z[1] & okb & oka & ge(z[0], least) & ge(z[0], before) & ge(z[0], after))
+        return at, {"z": _sure(z[0][at]), "rank": _sure(rank[at])}
+
+    return stencil(df, h + 2, find, {"z": "double", "rank": "long"}, {"rank": "rank"})
 
 
 SUPPRESS_ROUNDS = 12

@@ -28,14 +28,20 @@ def add_slice(df: DataFrame, width, seq: str = "seq") -> DataFrame:
 def row_slices(df: DataFrame, rows: int, grid: int, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
     """Adds `slice`: consecutive stretches of an entity of about `rows` rows each.
 
-    Rows are counted per (entity, grid cell); a slice ends at the first cell edge after `rows` rows, so however
-    dense or long an entity is, a task gets at most `rows` rows and one cell. Sparse entities are one slice.
+    Where an entity has more than `rows` rows, they are counted per grid cell; a slice ends at the first cell edge after
+    `rows` rows, so however dense or long an entity is, a task gets at most `rows` rows and one cell. Other entities are one
+    slice, which takes no shuffle of their rows. There is one edge for every `rows` rows, so the edges are broadcast.
     """
     cell = F.floor(F.col(seq) / F.lit(grid)).cast("long")
-    counted = df.select(*keys, cell.alias("_cell")).groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    df = df.dropna(subset=[*keys, seq])
+    long_ = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*keys)
+    counted = df.select(*keys, cell.alias("_cell")).join(F.broadcast(long_), [*keys], "left_semi").groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counted.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long").alias("slice"))
-    return df.withColumn("_cell", cell).join(cells, [*keys, "_cell"]).drop("_cell")
+    edges = cells.groupBy(*keys, "slice").agg(F.min("_cell").alias("_cell")).groupBy(*keys).agg(F.collect_list(F.struct("_cell", "slice")).alias("_edges"))
+    of = F.array_max(F.transform(F.filter("_edges", lambda e: e["_cell"] <= F.col("_at")), lambda e: e["slice"]))
+    return (df.withColumn("_at", cell).join(F.broadcast(edges), [*keys], "left")
+            .withColumn("slice", F.when(F.col("_edges").isNull(), F.lit(0).cast("long")).otherwise(of)).drop("_at", "_edges"))
 
 
 def slice_window(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER):

@@ -2,13 +2,16 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_if, once, r6
+from ..functions.numeric import count_if, r6
 from ..operators import signal as G
 from ..operators import slices as S
 from ..operators.fold import fold
+from ..operators.stencil import pair, whole
 from ..presets import (CENTER_X, COURT_L, DAY, FLIP_COST, FLIP_SLOTS, HOUR, LADDER_QUALITY, NET_Y, SIDE_L, SIDE_R, TRACK, VOTE_LANDING,
                        VOTE_SERVE, VOTE_TOUCH)
 from ..session import cut_lineage
@@ -158,20 +161,29 @@ LAUNCH_WIN, LAUNCH_GAP, LAUNCH_SPAN, LAUNCH_MONO = 2 * DAY, P.hole, 4.0, 0.75
 
 def launches(spark, sf):
     """First start whose contiguous look-ahead passes the level mostly one way."""
-    df = S.adjacent(sliced_track(spark, sf), ["seq"])
-    df = S.islands(df, F.coalesce(F.col("seq") - F.col("prev.seq") > LAUNCH_GAP, F.lit(True)), "run").drop("prev", "next", "slice")
-    df = S.spread(df, LAUNCH_WIN, P.slice_ms)
-    w = Window.partitionBy("entity_id", "slice").orderBy("seq").rangeBetween(0, LAUNCH_WIN)
-    df = df.withColumn("_a", F.collect_list(F.struct("run", "cy")).over(w)).filter("own")
-    df = once(df.select("entity_id", "seq", "event_id", "cy", "run", "_a"),
-              ys=F.transform(F.filter("_a", lambda s: s["run"] == F.col("run")), lambda s: s["cy"])).filter(F.size("ys") > 1)
-    last, first = F.element_at("ys", -1), F.get("ys", 0)
-    steps = F.zip_with(F.slice("ys", 1, F.size("ys") - 1), F.slice("ys", 2, F.size("ys") - 1), lambda a, b: F.when(F.signum(b - a) == F.signum(last - first), 1).otherwise(0))
-    mono = F.aggregate(steps, F.lit(0), lambda a, v: a + v) / F.size(steps)
-    df = once(df, y0=first, y1=last, mono=mono)
-    ok = ((F.col("y0") - NET_Y) * (F.col("y1") - NET_Y) < 0) & (F.abs(F.col("y1") - F.col("y0")) > LAUNCH_SPAN) & (F.col("mono") >= LAUNCH_MONO)
-    m = F.min(F.struct("seq", "event_id", F.when(F.col("y1") < F.col("y0"), "near").otherwise("far").alias("end_"), "cy")).alias("m")
-    return df.filter(ok).groupBy("entity_id").agg(m).select("entity_id", "m.seq", "m.event_id", "m.end_", "m.cy")
+    df = S.spread(track(spark, sf).select("entity_id", "seq", "event_id", "cy"), LAUNCH_WIN, P.slice_ms)
+    found = whole(df, ["entity_id", "slice"], ["seq", "event_id"], first_starts, "entity_id long, seq long, event_id long, end_ string, cy double")
+    return found.groupBy("entity_id").agg(F.min(F.struct("seq", "event_id", "end_", "cy")).alias("m")).select("entity_id", "m.seq", "m.event_id", "m.end_", "m.cy")
+
+
+def first_starts(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """The first own row of each group that starts a launch. Look-aheads are found by bisection, steps up and down counted by prefix sums."""
+    i, seq, (cy, ok) = np.arange(t.num_rows), t.column("seq").to_numpy(), pair(t.column("cy"))
+    new = np.zeros(t.num_rows, bool)
+    new[starts] = True
+    new[1:] |= np.diff(seq) > LAUNCH_GAP
+    key = (np.cumsum(new) << 36) + seq - seq[np.maximum.accumulate(np.where(new, i, 0))]      # ascends over the runs
+    a, z = np.searchsorted(key, key), np.searchsorted(key, key + LAUNCH_WIN, side="right") - 1
+    with np.errstate(all="ignore"):
+        step = np.where(ok[1:] & ok[:-1], np.sign(np.diff(cy)), 0)
+        up, down = (np.concatenate([[0], np.cumsum(step == d)]) for d in (1, -1))
+        y0, y1 = cy[a], cy[z]
+        same = np.where(y1 > y0, up[z] - up[a], down[z] - down[a])
+        good = ok[a] & ok[z] & ((y0 - NET_Y) * (y1 - NET_Y) < 0) & (np.abs(y1 - y0) > LAUNCH_SPAN) & (same / np.maximum(z - a, 1) >= LAUNCH_MONO)
+    at = np.flatnonzero(good & t.column("own").to_numpy())
+    at = at[np.unique(np.searchsorted(starts, at, side="right"), return_index=True)[1]]
+    out = t.select(["entity_id", "seq", "event_id", "cy"]).take(pa.array(at))
+    return out.add_column(3, "end_", pa.array(np.where(y1[at] < y0[at], "near", "far"), pa.string()))
 
 
 @query("first_launch", f"""WITH {TRACK_SQL}, r AS (SELECT *, sum(b) OVER w AS run FROM (SELECT *, CASE WHEN lag(seq) OVER w IS NULL OR seq - lag(seq) OVER w > {LAUNCH_GAP} THEN 1 ELSE 0 END AS b FROM t {W_SQL}) {W_SQL}),
@@ -292,7 +304,7 @@ def assign_launches(chain, cands):
 
 def classified_cusps(spark, sf):
     """Suppressed cusps inside the valid zone, with their hit/bounce class."""
-    c = G.cusps(G.classify(sliced_track(spark, sf)), P, NEAR_SWING, FAR_SWING, FAR_Y).filter(F.col("cy").between(-12, COURT_L + 2.2))
+    c = G.classified_cusps(sliced_track(spark, sf).select(*G.ID, "y", "cy"), NEAR_SWING, FAR_SWING, FAR_Y).filter(F.col("cy").between(-12, COURT_L + 2.2))
     c = cut_lineage(c.select("entity_id", "seq", "event_id", "cls", "cy", F.col("swing").alias("strength")))
     kept = G.suppress(c.select("entity_id", "seq", "event_id", "strength"), P.min_gap, P).select("event_id")
     return cut_lineage(c.join(kept, "event_id", "left_semi"))

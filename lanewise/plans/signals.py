@@ -1,12 +1,14 @@
 """Window, sequence and signal queries over the track."""
 
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions.numeric import array_median, count_if, ratio, r6
+from ..functions.numeric import count_if, ratio, r6
 from ..operators import signal as G
 from ..operators import slices as S
 from ..operators.quantiles import quantiles
+from ..operators.stencil import pair, sorted_median, whole
 from ..presets import (CENTER_X, COURT_L, COURT_W, DAY, HOUR, JUMP_M, NET_Y, SIDE_L, SIDE_R, TRACK)
 from ..session import cut_lineage
 from ..sources.tables import TRACK_SQL, sliced_track, track
@@ -118,8 +120,9 @@ def last_in_segment(cands, bounds, inset: int):
   SELECT entity_id, coalesce(lo, -1) AS segment, max(seq) AS seq, max_by(event_id, seq) AS event_id FROM c
   WHERE (lo IS NULL OR lo + {P.min_gap} <= seq) AND (hi IS NULL OR seq <= hi - {P.min_gap}) GROUP BY 1, 2""")
 def last_per_segment(spark, sf):
-    cands = G.collapses(sliced_track(spark, sf)).select("entity_id", "seq", "event_id")
-    return last_in_segment(cands, cusp_rows(spark, sf), P.min_gap)
+    cands = cut_lineage(G.collapses(sliced_track(spark, sf).select(*G.ID, "cy")).select("entity_id", "seq", "event_id"))
+    bounds = cut_lineage(cusp_rows(spark, sf).select("entity_id", "seq", "event_id"))       # both few, read once for each carry
+    return last_in_segment(cands, bounds, P.min_gap)
 
 
 @query("classify_event", f"""WITH {TRACK_SQL}, {grad_sql('t', 'cy', 'vcy', P.second, 'vg')},
@@ -155,7 +158,7 @@ EDGE_SQL = f"""cs AS (SELECT *, (coalesce(lag(cy) OVER w, cy) + cy + coalesce(le
 
 @query("net_crossings", f"WITH {TRACK_SQL}, {EDGE_SQL}, {cross_sql(False, 'x')} SELECT entity_id, start_seq, end_seq, dir FROM x")
 def net_crossings(spark, sf):
-    x = G.crossings(G.crossing_edges(sliced_track(spark, sf), P), P)
+    x = G.crossings(sliced_track(spark, sf), P)
     return x.filter("strict").select("entity_id", "start_seq", "end_seq", "dir")
 
 
@@ -174,7 +177,7 @@ CHAIN_SQL = f"""{EDGE_SQL}, {cross_sql(False, 'x')}, {cross_sql(True, 'xw')},
 def chains(spark, sf):
     """All crossings and the chained strict ones; the crossing table is small and used
     many times, so its lineage is cut."""
-    x = cut_lineage(G.crossings(G.crossing_edges(sliced_track(spark, sf), P), P))
+    x = cut_lineage(G.crossings(sliced_track(spark, sf), P))
     return x, cut_lineage(G.split_chains(x.filter("strict"), P))
 
 
@@ -232,12 +235,35 @@ SETTLE_SQL = f"""st AS (SELECT entity_id, s AS start_seq, count(*) AS n, median(
 
 def settled(spark, sf):
     """Sliding windows in which the entity is tracked and stands inside the band."""
-    steps = P.settle // P.settle_step
-    base = F.floor(F.col("seq") / P.settle_step).cast("long")
-    df = track(spark, sf).withColumn("s", F.explode(F.sequence(base - steps + 1, base)))
-    g = df.groupBy("entity_id", (F.col("s") * P.settle_step).alias("start_seq")).agg(
-        F.count("*").alias("n"), F.median("cx").alias("mx"), F.median("cy").alias("my"))
-    return g.filter((F.col("n") >= 2) & (F.abs(F.col("mx") - CENTER_X) <= 2.5) & F.col("my").between(5, 18))
+    df = S.spread(track(spark, sf).select("entity_id", "seq", "event_id", "cx", "cy"), P.settle, P.slice_ms)
+    g = whole(df.drop("own"), ["entity_id", "slice"], ["seq", "event_id"], settle_windows, "entity_id long, start_seq long, n long, mx double, my double")
+    return g.filter((F.abs(F.col("mx") - CENTER_X) <= 2.5) & F.col("my").between(5, 18))
+
+
+def settle_windows(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """Windows of two rows or more that start in a group's slice, with the medians of their places."""
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    lead = t.column("slice").to_numpy()[starts] * P.slice_ms // P.settle_step            # first window of the slice
+    seq, steps = t.column("seq").to_numpy(), P.settle // P.settle_step
+    since = seq - lead[group] * P.settle_step
+    w = (since // P.settle_step)[:, None] - np.arange(steps)
+    inside = (w >= 0) & (w < P.slice_ms // P.settle_step)
+    win = np.unique(((group[:, None] << 24) + w)[inside])
+    g, w = win >> 24, win & ((1 << 24) - 1)
+    key, at = (group << 36) + since + P.settle, (g << 36) + w * P.settle_step + P.settle
+    lo, hi = np.searchsorted(key, at), np.searchsorted(key, at + P.settle)
+    n = hi - lo
+    med = {c: (np.zeros(len(n)), np.zeros(len(n), bool)) for c in ("cx", "cy")}
+    for size in np.unique(n[n >= 2]):
+        of = np.flatnonzero(n == size)
+        for part in np.array_split(of, -(-len(of) * int(size) // (1 << 20))):
+            j = lo[part][:, None] + np.arange(size)
+            for c, (v, valid) in med.items():
+                x, ok = pair(t.column(c))
+                v[part], valid[part] = sorted_median(x[j], ok[j], ok[j].sum(1))
+    two = n >= 2
+    cols = [t.column("entity_id").combine_chunks().take(pa.array(starts[g[two]])), pa.array((lead[g] + w)[two] * P.settle_step), pa.array(n[two].astype(np.int64))]
+    return pa.table([*cols, *[pa.array(v[two], mask=~valid[two]) for v, valid in med.values()]], ["entity_id", "start_seq", "n", "mx", "my"])
 
 
 @query("sliding_settle", f"WITH {TRACK_SQL}, {SETTLE_SQL} SELECT entity_id, min(start_seq) AS start_seq, {q6('arg_min(mx, start_seq)')} AS mx FROM st GROUP BY 1")
@@ -260,13 +286,7 @@ def toss(df):
     """Peak of the median-5 filtered series after dropping samples over twice the median."""
     med = quantiles(df, ["entity_id"], "y", {"m0": 0.5}, 10.0).drop("n")
     df = df.join(med, "entity_id").filter(F.col("y") <= 2 * F.col("m0")).drop("m0")
-    df = S.context(df, ["y"], 2)
-    pull = lambda c: F.transform(c, lambda s: s["y"])
-    head = F.coalesce(F.get("before", 0)["y"], F.col("y"))
-    tail = F.coalesce(F.try_element_at("after", F.lit(-1))["y"], F.col("y"))
-    win = F.concat(F.array_repeat(head, 2 - F.size("before")), pull(F.col("before")), F.array("y"), pull(F.col("after")),
-                   F.array_repeat(tail, 2 - F.size("after")))
-    df = df.withColumn("hh", array_median(win)).drop("before", "after")
+    df = cut_lineage(G.median_filter(df.select("entity_id", "slice", "seq", "event_id", "y"), "y", 5, "hh"))
     peak = df.groupBy("entity_id").agg(F.min(F.struct(-F.col("hh"), "seq", "event_id")).alias("m"), F.max("hh").alias("peak"))
     mid = quantiles(df, ["entity_id"], "hh", {"med": 0.5}, 10.0).drop("n")
     return peak.join(mid, "entity_id").select("entity_id", F.col("m.seq").alias("seq"), F.col("m.event_id").alias("event_id"),
@@ -378,10 +398,7 @@ def clean_track(spark, sf):
 
 @query("peak_pick_mad")
 def peak_pick_mad(spark, sf):
-    df = G.peak_scores(sliced_track(spark, sf), "y", 9)
-    df = S.running_sum(S.adjacent(df, ["z"]), {"rank": F.lit(1)})
-    peak = (F.col("z") >= 3.0) & (F.col("z") >= F.col("prev.z")) & (F.col("z") >= F.col("next.z"))
-    peaks = df.filter(peak).drop("prev", "next")
+    peaks = G.peaks(sliced_track(spark, sf).select("entity_id", "slice", "seq", "event_id", "y"), "y", 9, 3.0)
     return separate_peaks(peaks, 3).withColumn("z", r6(F.col("z")))
 
 
