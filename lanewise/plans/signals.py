@@ -283,14 +283,52 @@ TOSS_SQL = """tm AS (SELECT entity_id, median(y) AS m0 FROM t GROUP BY 1),
 
 
 def toss(df):
-    """Peak of the median-5 filtered series after dropping samples over twice the median."""
+    """Peak of the median-5 filtered series after dropping samples over twice the median.
+
+    An entity of one slice is looked at whole; the medians of longer ones come from counts of their values."""
+    df = df.select("entity_id", "slice", "seq", "event_id", "y").filter(F.col("y").isNotNull())
+    many = cut_lineage(df.groupBy("entity_id").agg(F.min("slice").alias("_a"), F.max("slice").alias("_b")).where("_a < _b").select("entity_id"))
+    short = whole(df.join(many, "entity_id", "left_anti") if not many.isEmpty() else df, ["entity_id"], ["seq", "event_id"], toss_whole, TOSSED)
+    return short if many.isEmpty() else short.unionByName(long_toss(df.join(many, "entity_id", "left_semi")))
+
+
+TOSSED = "entity_id long, seq long, event_id long, peak_ratio double"
+
+
+def toss_whole(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    def middle(v, starts, ends):
+        """The median of each stretch, as `quantiles` interpolates it."""
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        v, at = v[np.lexsort((v, group))], (ends - starts - 1) / 2
+        lo, hi = v[starts + np.floor(at).astype(np.int64)], v[starts + np.ceil(at).astype(np.int64)]
+        return lo + (hi - lo) * (at - np.floor(at))
+
+    y, group = t.column("y").to_numpy(), np.repeat(np.arange(len(starts)), ends - starts)
+    kept = np.flatnonzero(y <= 2 * middle(y, starts, ends)[group])
+    y, group = y[kept], group[kept]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    if not len(starts):
+        return t.slice(0, 0).select(["entity_id", "seq", "event_id"]).append_column("peak_ratio", pa.array([], pa.float64()))
+    ends = np.append(starts[1:], len(y))
+    first, last = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts) - 1
+    near = np.minimum(np.maximum(np.arange(len(y))[:, None] + np.arange(-2, 3), first[:, None]), last[:, None])
+    hh = np.sort(y[near], axis=1)[:, 2]
+    top, med = np.maximum.reduceat(hh, starts), middle(hh, starts, ends)
+    at = np.flatnonzero(hh == np.repeat(top, ends - starts))
+    at = at[np.unique(group[at], return_index=True)[1]]                  # the first of equal peaks
+    with np.errstate(all="ignore"):
+        ratio = top / med
+    return t.select(["entity_id", "seq", "event_id"]).take(pa.array(kept[at])).append_column("peak_ratio", pa.array(ratio, mask=med == 0))
+
+
+def long_toss(df):
     med = quantiles(df, ["entity_id"], "y", {"m0": 0.5}, 10.0).drop("n")
     df = df.join(med, "entity_id").filter(F.col("y") <= 2 * F.col("m0")).drop("m0")
     df = cut_lineage(G.median_filter(df.select("entity_id", "slice", "seq", "event_id", "y"), "y", 5, "hh"))
     peak = df.groupBy("entity_id").agg(F.min(F.struct(-F.col("hh"), "seq", "event_id")).alias("m"), F.max("hh").alias("peak"))
     mid = quantiles(df, ["entity_id"], "hh", {"med": 0.5}, 10.0).drop("n")
     return peak.join(mid, "entity_id").select("entity_id", F.col("m.seq").alias("seq"), F.col("m.event_id").alias("event_id"),
-                                              (F.col("peak") / F.col("med")).alias("peak_ratio"))
+                                              F.try_divide("peak", "med").alias("peak_ratio"))
 
 
 @query("toss_peak", f"WITH {TRACK_SQL}, {TOSS_SQL} SELECT entity_id, seq, event_id, {q6('peak / med')} AS peak_ratio FROM tp")
