@@ -123,11 +123,15 @@ def edit_ops():
 def winner(first: Column, second: Column) -> Column:
     """1 = server, 2 = returner, null = cannot be derived."""
     f, s = F.trim(first), F.trim(second)
-    tail = char_class(OTHER_MARKS) + "+$"
-    core = lambda c: F.regexp_replace(c, tail, "")
-    double = (s != "") & last_char(core(s)).isin(*FAULT_LETTERS) & ~s.rlike(char_class(ENDING_MARKS))
-    p = F.when(s != "", s).otherwise(f)
-    strokes = F.length(F.regexp_replace(F.substring(p, 2, 1 << 30), "[^" + char_class(SHOT_LETTERS)[1:], ""))
+    return winner_of(s, F.when(s != "", s).otherwise(f))
+
+
+def winner_of(s: Column, p: Column) -> Column:
+    """The same from the trimmed second string and the played one. Both are named often: give columns that are computed once."""
+    core = lambda c: F.rtrim(c, F.lit(OTHER_MARKS))
+    double = (s != "") & last_char(core(s)).isin(*FAULT_LETTERS) & (F.translate(s, ENDING_MARKS, "") == s)
+    rest = F.substring(p, 2, 1 << 30)
+    strokes = F.length(rest) - F.length(F.translate(rest, SHOT_LETTERS, ""))
     hitter = F.when(strokes % 2 == 0, 1).otherwise(2)
     end = last_char(core(p))
     return F.when(double, 2).when(end == "*", hitter).when(end.isin("@", "#"), 3 - hitter)

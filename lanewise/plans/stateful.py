@@ -1,9 +1,10 @@
 """Stateful folds over ordered logs, in batch and as streams."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import notation as N
-from ..functions.numeric import count_if, r6
+from ..functions.numeric import count_if, once, r6
 from ..operators import slices as S
 from ..operators.compose import composed_fold
 from ..operators.fold import fold
@@ -152,25 +153,68 @@ def replay_after_edit(spark, sf):
 def winner_conflicts(spark, sf):
     """Points whose string contradicts the attested winner under the replayed server;
     a match with one may not be exported."""
-    rel = F.coalesce(N.winner(F.col("first_"), F.col("second_")), F.lit(0))
-    df = points(spark, sf).withColumn("rel", rel).select("match_id", "pt", "part", "supp", "attested", "flags", "rel")
+    df = points(spark, sf).select("match_id", "pt", "part", "supp", "attested", "flags", "first_", "second_")
+    df = once(df, f=F.trim("first_"), s=F.trim("second_")).drop("first_", "second_")
+    df = once(df, p=F.when(F.col("s") != "", F.col("s")).otherwise(F.col("f"))).drop("f")
+    df = once(df, rel=F.coalesce(N.winner_of(F.col("s"), F.col("p")), F.lit(0))).drop("s", "p")
 
-    rules = Rules()
-
-    def step(state, r):
-        svr = rules.server(state[0])
-        derived = 0 if r.rel == 0 else svr if r.rel == 1 else 3 - svr
-        w = r.attested or derived
-        if not w:
-            return [(r.match_id, r.pt, "underivable", False)]
-        state[0] = rules.after(state[0], int(w))
-        return [(r.match_id, r.pt, "ok", bool(derived and r.flags != "unseen" and derived != w))]
-
-    out = fold(df, ["match_id"], ["pt", "part", "supp", "attested", "flags", "rel"], lambda: [Count()], step, "match_id long, pt int, status string, conflict boolean")
-    g = out.groupBy("match_id").agg(F.count("*").alias("points"), count_if(F.col("conflict")).alias("conflicts"), count_if(F.col("status") == "underivable").alias("underivable"))
+    df = df.repartition("match_id").sortWithinPartitions("match_id", "pt", "part", "supp", "attested", "flags", "rel")
+    g = df.select("match_id", "attested", (F.col("flags") == "unseen").alias("unseen"), "rel").mapInArrow(count_conflicts, "match_id long, points long, conflicts long, underivable long")
     return g.withColumn("exportable", (F.col("conflicts") == 0) & (F.col("underivable") == 0))
 
 
+STATES = 1 << 16
+
+
+def count_conflicts(batches):
+    """One row a match from its ordered points. The counters are numbered as they come up; what follows from them is looked up."""
+    rules = Rules()
+    known, counts, server, after = {}, [], [], ([], [], [])
+
+    def number(c):
+        c = c._replace(game_no=1)               # nothing depends on it
+        if c not in known:
+            known[c] = len(counts)
+            counts.append(c)
+            server.append(rules.server(c))
+            for to in after:
+                to.append(-1)
+        return known[c]
+
+    key, told = None, [0, 0, 0]
+    for batch in batches:
+        out = []
+        for match, attested, unseen, rel in zip(*(batch.column(c).to_pylist() for c in ("match_id", "attested", "unseen", "rel"))):
+            if match != key or not counts:
+                if told[0]:
+                    out.append((key, *told))
+                if len(counts) > STATES:
+                    known.clear()
+                    for held in (counts, server, *after):
+                        held.clear()
+                key, told, at = match, [0, 0, 0], number(Count())
+            told[0] += 1
+            svr = server[at]
+            derived = 0 if rel == 0 else svr if rel == 1 else 3 - svr
+            w = attested or derived
+            if not w:
+                told[2] += 1
+                continue
+            if derived and derived != w and not unseen:
+                told[1] += 1
+            to = after[w][at]
+            if to < 0:
+                to = after[w][at] = number(rules.after(counts[at], w))
+            at = to
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], POINTS)
+    if told[0]:
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (key, *told)], POINTS)
+
+
+POINTS = ["match_id", "points", "conflicts", "underivable"]
+
+
 # ---- plateaus ----
 def plateaus(spark, sf, rows=None):
     """Plateau of every row. An entity of more than `rows` rows is many tasks, whether or not it ever pauses."""
