@@ -270,9 +270,10 @@ def onehot_logistic(spark, sf):
     """Next-token model on one-hot context, trained and tested on a hash split of the orders."""
     back = lambda i, k: F.when(i >= k, F.get("truth", i - k)).otherwise("none")
     rows = F.transform("truth", lambda t, i: F.struct(F.substring(t, 1, 1).alias("y"), back(i, 1).alias("p1"), back(i, 2).alias("p2"), F.least(i, F.lit(12)).cast("string").alias("pos")))
-    df = sequences(spark, sf).select(split_of(F.col("entity_id").cast("string"), 100).alias("split"), F.inline(rows))
-    # equal rows are one weighted row: the fit sees hundreds of rows, not the corpus
-    df = cut_lineage(df.groupBy("split", "y", "p1", "p2", "pos").agg(F.count("*").cast("double").alias("n")))
+    df = sequences(spark, sf).groupBy(split_of(F.col("entity_id").cast("string"), 100).alias("split"), "truth").agg(F.count("*").alias("k"))
+    # equal sequences are opened once, equal rows are one weighted row: the fit sees hundreds of rows, not the corpus
+    df = df.select("split", "k", F.inline(rows))
+    df = cut_lineage(df.groupBy("split", "y", "p1", "p2", "pos").agg(F.sum("k").cast("double").alias("n")))
     tr, te = df.filter("split = 'train'"), df.filter("split = 'test'")
     cols = ["p1", "p2", "pos"]
     ix = StringIndexer(inputCols=["y", *cols], outputCols=["label", *[f"{c}_i" for c in cols]], handleInvalid="keep", stringOrderType="alphabetAsc").fit(tr)
