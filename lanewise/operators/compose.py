@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import cut_lineage
+from .slices import one_slice
 
 BROADCAST_BYTES, ROUNDS = 32 << 20, 8
 
@@ -27,6 +28,8 @@ BROADCAST_BYTES, ROUNDS = 32 << 20, 8
 def composed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], machine, report: list | None = None) -> DataFrame:
     """Rows of `machine` over each key of df, whose column `slice` cuts keys in order. report takes the number of slices run in each round."""
     keys = list(keys)
+    if one_slice(df):
+        return _run(_with_heads(df, None), keys, order, machine, True).withMetadata("entity_id", df.schema["entity_id"].metadata)
     per = df.groupBy(*keys, "slice").agg(F.count("*").alias("_n"))
     long_ = per.groupBy(*keys).agg(F.count("*").alias("_s")).where("_s > 1").select(*keys)
     long_ = cut_lineage(long_)

@@ -1,6 +1,7 @@
 """Trajectory operators over irregular samples of an entity, sliced by time."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from ..functions.numeric import array_median
 from ..presets import NET_Y, TRACK, Track
 from ..session import cut_lineage
 from . import slices as S
-from .stencil import Rows, ge, gt, sorted_median, stencil
+from .stencil import Find, Rows, ge, gt, pair, several, sorted_median, stencil, whole
 
 ID = ("group_id", "entity_id", "seq", "event_id", "slice")
 
@@ -63,11 +64,15 @@ def _sure(v):
 
 def cusps(df: DataFrame, p: Track, near: float, far: float, far_y: float) -> DataFrame:
     """Samples where the derivative of the smoothed signal flips from + to -."""
+    return stencil(df, *_find_cusps(near, far, far_y))
+
+
+def _find_cusps(near: float, far: float, far_y: float) -> Find:
     def find(r: Rows):
         at, swing, straddle = _cusp_rows(r, near, far, far_y)
         return at, {"straddle": _sure(straddle), "swing": _sure(swing)}
 
-    return stencil(df, 4, find, {"straddle": "long", "swing": "double"})
+    return Find(4, find, {"straddle": "long", "swing": "double"})
 
 
 def _speeds(r: Rows, at: np.ndarray, k: int) -> dict:
@@ -83,14 +88,21 @@ SPEEDS = {"nb": "integer", "na": "integer", "mb": "double", "ma": "double"}
 
 def collapses(df: DataFrame, ratio: float = 3.0, floor: float = 0.3, k: int = 6) -> DataFrame:
     """Far-half samples whose speed collapses: medians of k before and k after."""
+    return stencil(df, *_find_collapses(k)).filter(_collapsed(ratio, floor))
+
+
+def _find_collapses(k: int) -> Find:
     def find(r: Rows):
         cy, ok = r.col("cy")
         at = np.flatnonzero(r.mine & ok & (cy <= NET_Y) & (r.i - r.first >= k) & (r.end - r.i > k))
         return at, _speeds(r, at, k)
 
-    df = stencil(df, k + 2, find, SPEEDS)
+    return Find(k + 2, find, SPEEDS)
+
+
+def _collapsed(ratio: float, floor: float) -> Column:
     same = F.signum("mb") == F.signum("ma")
-    return df.filter(same & (F.abs("ma") > floor) & (F.try_divide(F.abs("mb"), F.abs("ma")) >= ratio))
+    return same & (F.abs("ma") > floor) & (F.try_divide(F.abs("mb"), F.abs("ma")) >= ratio)
 
 
 def _with_class(df: DataFrame, fast: float) -> DataFrame:
@@ -108,11 +120,27 @@ def classify(df: DataFrame, fast: float = 4.5) -> DataFrame:
 
 def classified_cusps(df: DataFrame, near: float, far: float, far_y: float, fast: float = 4.5) -> DataFrame:
     """Cusps with their class; speeds are taken around cusps only."""
+    return _with_class(stencil(df, *_find_classified(near, far, far_y)), fast)
+
+
+def _find_classified(near: float, far: float, far_y: float) -> Find:
     def find(r: Rows):
         at, swing, straddle = _cusp_rows(r, near, far, far_y)
         return at, {"straddle": _sure(straddle), "swing": _sure(swing), **_speeds(r, at, 6)}
 
-    return _with_class(stencil(df, 8, find, {"straddle": "long", "swing": "double", **SPEEDS}), fast)
+    return Find(8, find, {"straddle": "long", "swing": "double", **SPEEDS})
+
+
+def cusps_and_collapses(df: DataFrame, near: float, far: float, far_y: float) -> tuple[DataFrame, DataFrame]:
+    """`cusps` and `collapses` of one pass."""
+    cu, co = several(df, [_find_cusps(near, far, far_y), _find_collapses(6)])
+    return cu, co.filter(_collapsed(3.0, 0.3))
+
+
+def detectors(df: DataFrame, p: Track, near: float, far: float, far_y: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`crossings`, `classified_cusps` and `collapses` of one pass."""
+    runs, cu, co = several(df, [_find_crossings(p), _find_classified(near, far, far_y), _find_collapses(6)])
+    return _crossings(runs, p), _with_class(cu, 4.5), co.filter(_collapsed(3.0, 0.3))
 
 
 def crossings(df: DataFrame, p: Track) -> DataFrame:
@@ -123,6 +151,10 @@ def crossings(df: DataFrame, p: Track) -> DataFrame:
     `flips*` are prefix counts of samples and of level passes at the two ends (gap evidence).
     A row of the first step is a run, or the part of one that a stretch of rows holds.
     """
+    return _crossings(stencil(df.select(*ID, "cy"), *_find_crossings(p)), p)
+
+
+def _find_crossings(p: Track) -> Find:
     def find(r: Rows):
         cs, ok = r.mean3(r.col("cy"))
         (ncs, okn), there = r.at((cs, ok), 1)
@@ -154,9 +186,12 @@ def crossings(df: DataFrame, p: Track) -> DataFrame:
                    "rank0": _sure(c["rank"][a]), "rank1": _sure(c["rank"][z] + 1), "flips0": _sure(c["flips"][a] - flip[a]),
                    "flips1": _sure(c["flips"][z] + np.where(okf, next_flip, 0)[z]), "max_step": _sure(steep), "edges": _sure(edges.astype(np.int64))}
 
-    parts = stencil(df.select(*ID, "cy"), 4, find, {
+    return Find(4, find, {
         "run": "long", "start_seq": "long", "end_seq": "long", "dir": "integer", "c0": "double", "c1": "double", "rank0": "long", "rank1": "long", "flips0": "long", "flips1": "long",
         "max_step": "double", "edges": "long"}, {"run": "run", "rank0": "rank", "rank1": "rank", "flips0": "flips", "flips1": "flips"})
+
+
+def _crossings(parts: DataFrame, p: Track) -> DataFrame:
     runs = parts.groupBy("group_id", "entity_id", "run").agg(
         F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.max("dir").alias("dir"), F.min_by("c0", "rank0").alias("c0"), F.max_by("c1", "rank1").alias("c1"),
         F.min("rank0").alias("rank0"), F.max("rank1").alias("rank1"), F.min("flips0").alias("flips0"), F.max("flips1").alias("flips1"),
@@ -181,7 +216,7 @@ BY_START = dict(order=("start_seq", "end_seq"))
 def split_chains(cross: DataFrame, p: Track, coverage: float = 0.5) -> DataFrame:
     """Chain id per crossing: a new chain starts after a dead gap that was sampled well
     enough to be evidence and in which the level was never passed."""
-    df = S.add_slice(cross, p.slice_ms, "start_seq")
+    df = S.derived_slice(cross, p.slice_ms, "start_seq")
     df = S.adjacent(df, ["end_seq", "rank1", "flips1"], **BY_START)
     gap = F.col("start_seq") - F.col("prev.end_seq")
     seen = (F.col("rank0") - F.col("prev.rank1")) / (gap / p.second)
@@ -198,7 +233,7 @@ def longest_chain(chained: DataFrame) -> DataFrame:
 
 def long_partitions(chain: DataFrame, first_seen: DataFrame, p: Track) -> DataFrame:
     """Over-long gaps inside a chain, and the stretch before its first crossing."""
-    df = S.adjacent(S.add_slice(chain, p.slice_ms, "start_seq"), ["start_seq"], **BY_START)
+    df = S.adjacent(S.derived_slice(chain, p.slice_ms, "start_seq"), ["start_seq"], **BY_START)
     inner = (df.filter(F.col("next.start_seq") - F.col("end_seq") > p.long_gap)
              .select("group_id", "entity_id", F.col("end_seq").alias("p0"), F.col("next.start_seq").alias("p1")))
     head = chain.groupBy("group_id", "entity_id").agg(F.min("start_seq").alias("p1"))
@@ -217,7 +252,7 @@ def inside_partition(rows: DataFrame, at: str, until: str, parts: DataFrame, p:
                     F.lit(None).cast("struct<p0:bigint,p1:bigint>").alias("_part"))
     b = parts.select("entity_id", F.col("p0").alias("_at"), F.lit(1).alias("_side"),
                      F.struct("p0", "p1").alias("_part"))
-    both = S.add_slice(a.unionByName(b, allowMissingColumns=True), p.slice_ms, "_at")
+    both = S.derived_slice(a.unionByName(b, allowMissingColumns=True), p.slice_ms, "_at")
     both = S.carry(both, {"_in": F.col("_part")}, order=("_at", "_side"))
     return (both.filter((F.col("_side") == 0) & (F.col("_in.p0") < F.col(at)) & (F.col(until) < F.col("_in.p1")))
             .drop("_at", "_side", "_part", "_in", "slice"))
@@ -249,7 +284,7 @@ def smooth_flag_runs(df: DataFrame, flag: Column, p: Track, k: int = 9) -> DataF
 def merge_runs(runs: DataFrame, p: Track) -> DataFrame:
     """Joins runs at most `merge_gap` apart, and those that go on (`more`) where a stretch of rows ended, then keeps those of at least `min_run`."""
     order = dict(order=("start_seq", "start_id"))
-    runs = S.adjacent(S.add_slice(runs, p.slice_ms, "start_seq"), ["end_seq"], **order)
+    runs = S.adjacent(S.derived_slice(runs, p.slice_ms, "start_seq"), ["end_seq"], **order)
     far = F.coalesce(F.col("start_seq") - F.col("prev.end_seq") > p.merge_gap, F.lit(True)) & ~F.col("more")
     runs = S.islands(runs, far, "seg", **order)
     segs = (runs.groupBy("group_id", "entity_id", "seg")
@@ -298,9 +333,10 @@ def median_filter(df: DataFrame, col: str, k: int, out: str) -> DataFrame:
     return stencil(df, h + 1, find, {out: "double"})
 
 
-def peaks(df: DataFrame, col: str, k: int, least: float) -> DataFrame:
+def peaks(df: DataFrame, col: str, k: int, least: float, sep: int = 3) -> DataFrame:
     """Rows whose z = (value - window median) / (window MAD + 1e-6) over k edge-replicated rows is `least` or more and not
-    below either neighbour's, with `z` and the row's `rank` in the entity."""
+    below either neighbour's, with `z` and the row's `rank` in the entity. Peaks less than `sep` ranks after the one before are of its
+    `cluster`; those that are `lone` have no other in theirs."""
     h = k // 2
 
     def find(r: Rows):
@@ -314,11 +350,13 @@ def peaks(df: DataFrame, col: str, k: int, least: float) -> DataFrame:
             z = (v - m) / (mad + 1e-6), ok & okm & okd
         (before, okb), _ = r.at(z, -1)
         (after, oka), _ = r.at(z, 1)
-        rank = r.sums(rank=np.ones(r.n))["rank"]
-        at = np.flatnonzero(r.mine & z[1] & okb & oka & ge(z[0], least) & ge(z[0], before) & ge(z[0], after))
-        return at, {"z": _sure(z[0][at]), "rank": _sure(rank[at])}
+        peak = z[1] & okb & oka & ge(z[0], least) & ge(z[0], before) & ge(z[0], after)
+        back, on = (np.any([r.at((peak, peak), d)[0][1] for d in side], axis=0) for side in (range(1 - sep, 0), range(1, sep)))
+        c = r.sums(rank=np.ones(r.n), cluster=peak & ~back)
+        at = np.flatnonzero(r.mine & peak)
+        return at, {"z": _sure(z[0][at]), "rank": _sure(c["rank"][at]), "cluster": _sure(c["cluster"][at]), "lone": _sure(~(back | on)[at])}
 
-    return stencil(df, h + 2, find, {"z": "double", "rank": "long"}, {"rank": "rank"})
+    return stencil(df, h + sep + 1, find, {"z": "double", "rank": "long", "cluster": "long", "lone": "boolean"}, {"rank": "rank", "cluster": "cluster"})
 
 
 SUPPRESS_ROUNDS = 12
@@ -332,7 +370,11 @@ def suppress(cand: DataFrame, min_gap: int, p: Track, report: list | None = None
     bucket: where it beats the strongest of both neighbours it is kept. All buckets of all entities go at once, and the strongest undecided
     one of an entity always wins, so rounds are few (about the logarithm of the candidates) unless strengths rise steadily over
     many buckets; what such ramps leave open after SUPPRESS_ROUNDS is folded by cluster. report takes the undecided rows before each round.
+    Where no entity is long, each is looked at whole (`suppress_whole`).
     """
+    if S.short_keys(cand):
+        few = cand.select("entity_id", "seq", "event_id", F.col("strength").cast("double").alias("strength"))
+        return whole(few, ["entity_id"], ["seq", "event_id"], lambda t, starts, ends: suppress_whole(t, starts, min_gap), few.schema)
     rows = cand.select("entity_id", "seq", "event_id", F.col("strength").cast("double").alias("strength"), F.floor(F.col("seq") / F.lit(min_gap)).cast("long").alias("b"))
     open_, kept = cut_lineage(rows), None
     around = F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))
@@ -356,6 +398,21 @@ def suppress(cand: DataFrame, min_gap: int, p: Track, report: list | None = None
     return kept if open_.isEmpty() else kept.union(_suppress_clusters(open_.drop("b"), min_gap, p))
 
 
+def suppress_whole(t: pa.Table, starts: np.ndarray, min_gap: int) -> pa.Table:
+    """The same of sorted rows of whole entities: strongest first, each takes out the rows within the gap."""
+    step = np.minimum(np.diff(t.column("seq").to_numpy(), prepend=0), min_gap)
+    step[starts] = min_gap                                  # wider steps and other entities are out of reach alike
+    at = np.cumsum(step)
+    lo, hi = np.searchsorted(at, at - min_gap, side="right").tolist(), np.searchsorted(at, at + min_gap).tolist()
+    v, ok = pair(t.column("strength"))
+    kept, gone = [], bytearray(len(at))
+    for i in np.lexsort((np.arange(len(at)), -v, ~np.isnan(v), ~ok)).tolist():     # NaN is the largest number; ties go by seq, then event_id
+        if not gone[i]:
+            kept.append(i)
+            gone[lo[i]:hi[i]] = b"\1" * (hi[i] - lo[i])
+    return t.take(pa.array(kept, pa.int64()))
+
+
 def _suppress_clusters(cand: DataFrame, min_gap: int, p: Track) -> DataFrame:
     """The same by a fold: an entity is cut where candidates lie min_gap apart, and a cluster's buffer is released
     as soon as the strongest pending candidate is out of reach."""

@@ -17,35 +17,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 KEYS = ("entity_id",)
 ORDER = ("seq", "event_id")
+ONE = {"one_slice": True}           # metadata of a column `slice` that holds 0 only, and of an `entity_id` whose rows are few enough for that
 
 
 def add_slice(df: DataFrame, width, seq: str = "seq") -> DataFrame:
     return df.withColumn("slice", F.floor(F.col(seq) / F.lit(width)).cast("long"))
 
 
+def derived_slice(df: DataFrame, width, seq: str = "seq") -> DataFrame:
+    """Slices of rows taken from a track, at most one or two for each of its rows: one slice where `row_slices` found no long entity."""
+    return _one(df) if short_keys(df) else add_slice(df, width, seq)
+
+
+def short_keys(df: DataFrame) -> bool:
+    """Whether the rows stem from a track in which no entity has more rows than a task may hold."""
+    return bool(df.schema["entity_id"].metadata.get("one_slice"))
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.withColumn("slice", F.lit(0).cast("long")).withMetadata("slice", ONE)
+
+
 def row_slices(df: DataFrame, rows: int, grid: int, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
     """Adds `slice`: consecutive stretches of an entity of about `rows` rows each.
 
     Where an entity has more than `rows` rows, they are counted per grid cell; a slice ends at the first cell edge after
     `rows` rows, so however dense or long an entity is, a task gets at most `rows` rows and one cell. Other entities are one
-    slice, which takes no shuffle of their rows. There is one edge for every `rows` rows, so the edges are broadcast.
+    slice, which takes no shuffle of their rows. There is one edge for every `rows` rows, so the edges are broadcast. Rows are counted
+    here and now: where no entity is long, `slice` is known to be one (`one_slice`), and nothing is carried between slices.
     """
     cell = F.floor(F.col(seq) / F.lit(grid)).cast("long")
     df = df.dropna(subset=[*keys, seq])
-    long_ = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*keys)
+    long_ = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*keys))
+    if long_.isEmpty():
+        return _one(df).withMetadata("entity_id", ONE) if "entity_id" in keys else _one(df)
     counted = df.select(*keys, cell.alias("_cell")).join(F.broadcast(long_), [*keys], "left_semi").groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counted.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long").alias("slice"))
     edges = cells.groupBy(*keys, "slice").agg(F.min("_cell").alias("_cell")).groupBy(*keys).agg(F.collect_list(F.struct("_cell", "slice")).alias("_edges"))
+    edges = cut_lineage(edges)
     of = F.array_max(F.transform(F.filter("_edges", lambda e: e["_cell"] <= F.col("_at")), lambda e: e["slice"]))
     return (df.withColumn("_at", cell).join(F.broadcast(edges), [*keys], "left")
             .withColumn("slice", F.when(F.col("_edges").isNull(), F.lit(0).cast("long")).otherwise(of)).drop("_at", "_edges"))
 
 
-def slice_window(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER):
-    return Window.partitionBy(*keys, "slice").orderBy(*order)
+def one_slice(df: DataFrame) -> bool:
+    """Whether `row_slices` found no entity of several slices."""
+    return bool(df.schema["slice"].metadata.get("one_slice"))
+
+
+def slice_window(keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, one: bool = False):
+    return Window.partitionBy(*keys, *([] if one else ["slice"])).orderBy(*order)
 
 
 def _across(keys):
@@ -56,8 +82,10 @@ def adjacent(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS,
              order: Sequence[str] = ORDER) -> DataFrame:
     """Adds structs `prev` and `next` (null at the two ends of the entity)."""
     item, rank = F.struct(*cols), F.struct(*order)
-    w = slice_window(keys, order)
+    w = slice_window(keys, order, one_slice(df))
     base = df.withColumn("prev", F.lag(item).over(w)).withColumn("next", F.lead(item).over(w))
+    if one_slice(df):
+        return base
     edges = (base.groupBy(*keys, "slice")
              .agg(F.min_by(item, rank).alias("_head"), F.max_by(item, rank).alias("_tail")))
     a = _across(keys)
@@ -73,9 +101,11 @@ def context(df: DataFrame, cols: Sequence[str], k: int, keys: Sequence[str] = KE
             order: Sequence[str] = ORDER) -> DataFrame:
     """Adds arrays `before` and `after`: up to k neighbouring rows, oldest first."""
     item = F.struct(*cols)
-    w = slice_window(keys, order)
+    w = slice_window(keys, order, one_slice(df))
     base = (df.withColumn("before", F.collect_list(item).over(w.rowsBetween(-k, -1)))
             .withColumn("after", F.collect_list(item).over(w.rowsBetween(1, k))))
+    if one_slice(df):
+        return base
     rim = base.filter((F.size("before") < k) | (F.size("after") < k))
     e = Window.partitionBy(*keys).orderBy("slice", *order)
     rim = rim.select(*keys, "slice", F.size("before").alias("_nb"), F.size("after").alias("_na"),
@@ -94,11 +124,13 @@ def context(df: DataFrame, cols: Sequence[str], k: int, keys: Sequence[str] = KE
 def running_sum(df: DataFrame, sums: dict[str, Column], keys: Sequence[str] = KEYS,
                 order: Sequence[str] = ORDER) -> DataFrame:
     """Adds inclusive prefix sums over the whole entity."""
-    w = slice_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    w = slice_window(keys, order, one_slice(df)).rowsBetween(Window.unboundedPreceding, 0)
     tmp = {f"_v_{n}": c for n, c in sums.items()}
     base = df.withColumns(tmp)
     for n in sums:
         base = base.withColumn(n, F.sum(f"_v_{n}").over(w))
+    if one_slice(df):
+        return base.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in sums}).drop(*tmp)
     tot = base.groupBy(*keys, "slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     a = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*keys, "slice", *[F.coalesce(F.sum(f"_t_{n}").over(a), F.lit(0)).alias(f"_o_{n}") for n in sums])
@@ -111,13 +143,15 @@ def carry(df: DataFrame, values: dict[str, Column], forward: bool = True, inclus
           keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """Adds the nearest non-null value before (or after) each row."""
     edge = 0 if inclusive else (-1 if forward else 1)
-    w = slice_window(keys, order)
+    w = slice_window(keys, order, one_slice(df))
     w = w.rowsBetween(Window.unboundedPreceding, edge) if forward else w.rowsBetween(edge, Window.unboundedFollowing)
     pick = F.last if forward else F.first
     tmp = {f"_v_{n}": c for n, c in values.items()}
     base = df.withColumns(tmp)
     for n in values:
         base = base.withColumn(n, pick(f"_v_{n}", True).over(w))
+    if one_slice(df):
+        return base.drop(*tmp)
     rank = F.struct(*order)
     agg = F.max_by if forward else F.min_by
     summ = base.groupBy(*keys, "slice").agg(

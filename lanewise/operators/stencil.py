@@ -6,6 +6,7 @@ pair (values, valid): a null is not a NaN. A task holds one stretch of rows, wha
 """
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import cut_lineage
-from .slices import KEYS, ORDER, slice_window
+from .slices import KEYS, ORDER, one_slice, slice_window
 
 STRETCH = 1 << 16           # rows answered for at a time
 
@@ -141,6 +142,8 @@ def sorted_median(v: np.ndarray, ok: np.ndarray, n: np.ndarray):
 
 def _rim(df: DataFrame, k: int, keys, order) -> DataFrame | None:
     """The k rows before and after each slice of keys that have several, under the number of that slice."""
+    if one_slice(df):
+        return None
     many = df.groupBy(*keys).agg(F.min("slice").alias("_a"), F.max("slice").alias("_b")).where("_a < _b").select(*keys)
     many = cut_lineage(many)
     if many.isEmpty():
@@ -155,18 +158,56 @@ def _rim(df: DataFrame, k: int, keys, order) -> DataFrame | None:
     return put.select("slice", "_r.*").select(*df.columns)
 
 
+class Find(NamedTuple):
+    """What looks at rows: `fn(rows) -> (indices, {column: pair})` keeps some of them, sees k rows before and after each, and adds columns (types in `adds`).
+
+    prefix names the added columns that are sums of `rows.sums` and from which: sums of earlier slices are added to them."""
+    k: int
+    fn: Callable
+    adds: dict[str, str]
+    prefix: dict[str, str] | None = None
+
+
 def stencil(df: DataFrame, k: int, fn: Callable, adds: dict[str, str], prefix: dict[str, str] | None = None,
             keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
-    """Rows of df that `fn(rows) -> (indices, {column: pair})` keeps, with the columns it adds (types in `adds`).
+    """Rows of df that a `Find` of these parts keeps, with the columns it adds."""
+    out = _answers(df, k, fn, adds, prefix, keys, order)
+    return _shifted(cut_lineage(out), prefix, keys) if prefix else out.drop("_sum")
 
-    prefix names the added columns that are sums of `rows.sums` and from which: sums of earlier slices are added to them."""
+
+def several(df: DataFrame, finds: Sequence[Find], keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> list[DataFrame]:
+    """What each of `finds` keeps, of one pass over the rows, written once. One of them may have sums."""
+    adds = {"_what": "integer"} | {c: t for f in finds for c, t in f.adds.items()}
+    summed = [f.prefix for f in finds if f.prefix]
+    assert len(summed) <= 1
+
+    def fn(r: Rows):
+        found = [f.fn(r) for f in finds]
+        new = {"_what": _filled([(np.full(len(at), i, np.int32), np.ones(len(at), bool)) for i, (at, _) in enumerate(found)], found)}
+        for c in list(adds)[1:]:
+            new[c] = _filled([cols.get(c) for _, cols in found], found)
+        return np.concatenate([at for at, _ in found]), new
+
+    out = cut_lineage(_answers(df, max(f.k for f in finds), fn, adds, summed[0] if summed else None, keys, order))
+    parts = [out.where((F.col("_what") == i) | F.col("_sum")).select(*df.columns, *f.adds, "_sum") for i, f in enumerate(finds)]
+    return [_shifted(part, f.prefix, keys) if f.prefix else part.where("NOT _sum").drop("_sum") for part, f in zip(parts, finds)]
+
+
+def _filled(parts, found):
+    """One pair out of those of several finds, null where a find has none."""
+    like = next(p[0] for p in parts if p is not None).dtype
+    none = [(np.zeros(len(at), like), np.zeros(len(at), bool)) for at, _ in found]
+    return tuple(np.concatenate([(p or n)[side] for p, n in zip(parts, none)]) for side in (0, 1))
+
+
+def _answers(df: DataFrame, k: int, fn: Callable, adds: dict[str, str], prefix: dict[str, str] | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     at = [*keys, "slice"]
     df = df.dropna(subset=at)
     rim = _rim(df, k, keys, order)
     rows = df.withColumn("_own", F.lit(True))
     if rim is not None:
         rows = rows.unionByName(rim.withColumn("_own", F.lit(False)))
-    rows = rows.repartition(*at).sortWithinPartitions(*at, *order)
+    rows = rows.repartition(*(keys if one_slice(df) else at)).sortWithinPartitions(*at, *order)
     names, schema = df.columns, StructType(list(df.schema.fields))
     for name, kind in adds.items():
         schema = schema.add(name, kind)
@@ -203,10 +244,14 @@ def stencil(df: DataFrame, k: int, fn: Callable, adds: dict[str, str], prefix: d
         if n:
             yield from answer(pa.Table.from_batches(held).combine_chunks(), a, n, state, True)
 
-    out = rows.mapInArrow(run, schema)
-    if not prefix:
-        return out.drop("_sum")
-    out = cut_lineage(out)
+    return rows.mapInArrow(run, schema)
+
+
+def _shifted(out: DataFrame, prefix: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """Written rows of `_answers`, with what earlier slices hold added to the sums."""
+    at = [*keys, "slice"]
+    if one_slice(out):          # its stretches add up already
+        return out.where("NOT _sum").drop("_sum")
     w = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     per = out.where("_sum").groupBy(*at).agg(*[F.sum(c).alias(f"_o_{c}") for c in prefix])
     offs = per.select(*at, *[F.coalesce(F.sum(f"_o_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in prefix])

@@ -284,7 +284,7 @@ def assign_launches(chain, cands):
     # each crossing's candidates in the order in which it would take them
     rank = F.struct((F.col("l.cls") != "hit").alias("other"), F.abs(F.col("l.seq") - F.col("r.start_seq")).alias("off"), F.col("l.seq").alias("seq"), F.col("l.event_id").alias("event_id"))
     pool = j.groupBy("r.entity_id", "r.start_seq", "r.end_seq").agg(F.array_sort(F.collect_list(rank)).alias("pool"))
-    c = S.adjacent(S.add_slice(chain.select("entity_id", "start_seq", "end_seq"), P.slice_ms, "start_seq"), ["start_seq"], **G.BY_START)
+    c = S.adjacent(S.derived_slice(chain.select("entity_id", "start_seq", "end_seq"), P.slice_ms, "start_seq"), ["start_seq"], **G.BY_START)
     c = S.islands(c, F.col("start_seq") - F.col("prev.start_seq") > BACK + FWD + P.min_gap, "cluster", **G.BY_START).drop("prev", "next", "slice")
     rows = c.join(pool, ["entity_id", "start_seq", "end_seq"], "left").select(
         "entity_id", "cluster", "start_seq", "end_seq", F.coalesce(F.to_json("pool"), F.lit("[]")).alias("pool"))
@@ -304,7 +304,11 @@ def assign_launches(chain, cands):
 
 def classified_cusps(spark, sf):
     """Suppressed cusps inside the valid zone, with their hit/bounce class."""
-    c = G.classified_cusps(sliced_track(spark, sf).select(*G.ID, "y", "cy"), NEAR_SWING, FAR_SWING, FAR_Y).filter(F.col("cy").between(-12, COURT_L + 2.2))
+    return suppressed_cusps(G.classified_cusps(sliced_track(spark, sf).select(*G.ID, "y", "cy"), NEAR_SWING, FAR_SWING, FAR_Y))
+
+
+def suppressed_cusps(c):
+    c = c.filter(F.col("cy").between(-12, COURT_L + 2.2))
     c = cut_lineage(c.select("entity_id", "seq", "event_id", "cls", "cy", F.col("swing").alias("strength")))
     kept = G.suppress(c.select("entity_id", "seq", "event_id", "strength"), P.min_gap, P).select("event_id")
     return cut_lineage(c.join(kept, "event_id", "left_semi"))
@@ -325,10 +329,11 @@ def events(spark, sf):
     """Hits from the crossing spine, bounces from the cusp and collapse detectors.
 
     Entities without a spine keep every detector event."""
-    x, ch = chains(spark, sf)
-    spine = G.longest_chain(ch)
-    cand = classified_cusps(spark, sf)
-    falls = last_in_segment(G.collapses(sliced_track(spark, sf)).select("entity_id", "seq", "event_id"), cand, P.min_gap)
+    x, cusps, falls = G.detectors(sliced_track(spark, sf).select(*G.ID, "y", "cy"), P, NEAR_SWING, FAR_SWING, FAR_Y)
+    x = cut_lineage(x)
+    spine = G.longest_chain(cut_lineage(G.split_chains(x.filter("strict"), P)))
+    cand = suppressed_cusps(cusps)
+    falls = last_in_segment(falls.select("entity_id", "seq", "event_id"), cand, P.min_gap)
     base = cand.select("entity_id", "seq", "event_id", F.col("cls").alias("kind"), F.lit("cusp").alias("signal")).unionByName(
         falls.select("entity_id", "seq", "event_id", F.lit("bounce").alias("kind"), F.lit("collapse").alias("signal")))
     base = cut_lineage(base)

@@ -102,7 +102,7 @@ def last_in_segment(cands, bounds, inset: int):
     none = F.lit(None).cast("long")
     a = cands.select("entity_id", "seq", "event_id", F.lit(0).alias("_k"), none.alias("_b"))
     b = bounds.select("entity_id", "seq", "event_id", F.lit(1).alias("_k"), F.col("seq").alias("_b"))
-    both = S.add_slice(a.unionByName(b), P.slice_ms)
+    both = S.derived_slice(a.unionByName(b), P.slice_ms)
     order = ("seq", "event_id", "_k")
     both = S.carry(both, {"lo": F.col("_b")}, True, True, order=order)
     both = S.carry(both, {"hi": F.col("_b")}, False, True, order=order)
@@ -287,6 +287,8 @@ def toss(df):
 
     An entity of one slice is looked at whole; the medians of longer ones come from counts of their values."""
     df = df.select("entity_id", "slice", "seq", "event_id", "y").filter(F.col("y").isNotNull())
+    if S.one_slice(df):
+        return whole(df, ["entity_id"], ["seq", "event_id"], toss_whole, TOSSED)
     many = cut_lineage(df.groupBy("entity_id").agg(F.min("slice").alias("_a"), F.max("slice").alias("_b")).where("_a < _b").select("entity_id"))
     short = whole(df.join(many, "entity_id", "left_anti") if not many.isEmpty() else df, ["entity_id"], ["seq", "event_id"], toss_whole, TOSSED)
     return short if many.isEmpty() else short.unionByName(long_toss(df.join(many, "entity_id", "left_semi")))
