@@ -120,8 +120,7 @@ def last_in_segment(cands, bounds, inset: int):
   SELECT entity_id, coalesce(lo, -1) AS segment, max(seq) AS seq, max_by(event_id, seq) AS event_id FROM c
   WHERE (lo IS NULL OR lo + {P.min_gap} <= seq) AND (hi IS NULL OR seq <= hi - {P.min_gap}) GROUP BY 1, 2""")
 def last_per_segment(spark, sf):
-    cands = cut_lineage(G.collapses(sliced_track(spark, sf).select(*G.ID, "cy")).select("entity_id", "seq", "event_id"))
-    bounds = cut_lineage(cusp_rows(spark, sf).select("entity_id", "seq", "event_id"))       # both few, read once for each carry
+    bounds, cands = G.cusps_and_collapses(sliced_track(spark, sf).select(*G.ID, "y", "cy"), NEAR_SWING, FAR_SWING, FAR_Y)
     return last_in_segment(cands, bounds, P.min_gap)
 
 
