@@ -216,11 +216,12 @@ POINTS = ["match_id", "points", "conflicts", "underivable"]
 
 
 # ---- plateaus ----
-def plateaus(spark, sf, rows=None):
-    """Plateau of every row. An entity of more than `rows` rows is many tasks, whether or not it ever pauses."""
+def plateaus(spark, sf, rows=None, name="event_id"):
+    """Plateau of every row, called by its column `name`. An entity of more than `rows` rows is many tasks, whether or not it ever pauses."""
     level = (F.floor(F.col("x") / 25) * 25).cast("double")
-    df = sliced_track(spark, sf, rows).select("entity_id", "slice", F.lit(0).cast("long").alias("part"), "seq", "event_id", level.alias("level"), (F.col("kind") != "error").alias("present"))
-    return composed_fold(df, ["entity_id"], ["seq", "event_id"], LEVELS).select("entity_id", "event_id", F.col("plateau").cast("long").alias("plateau"))
+    df = sliced_track(spark, sf, rows).select("entity_id", "slice", F.lit(0).cast("long").alias("part"), "seq", F.col("event_id").alias("tie"),
+                                               F.col(name).alias("event_id"), level.alias("level"), (F.col("kind") != "error").alias("present"))
+    return composed_fold(df, ["entity_id"], ["seq", "tie"], LEVELS).select("entity_id", F.col("event_id").alias(name), F.col("plateau").cast("long").alias("plateau"))
 
 
 # The machine as a recursion: the state before row i of an entity, then what the row and rows waiting before it get.
@@ -268,20 +269,20 @@ def plateau_online(spark, sf):
 def segment_split_merge(spark, sf):
     """Segments cut at plateau handovers, slivers dropped, neighbours of one plateau merged."""
     segs = cut_lineage(flag_segments(spark, sf).select("entity_id", "seg", "start_seq", "end_seq"))
-    lab = plateaus(spark, sf).join(track(spark, sf).select("event_id", "seq"), "event_id").filter("plateau >= 0")
+    lab = plateaus(spark, sf, name="seq").filter("plateau >= 0").withColumn("event_id", F.lit(0).cast("long"))       # of a time, it does not matter which row is first
     from .signals import in_segments
-    inside = in_segments(lab.withColumn("slice", F.lit(0)), segs).select("entity_id", F.col("segm.start_seq").alias("a"), F.col("segm.end_seq").alias("b"), "plateau", "seq", "event_id")
+    inside = in_segments(lab.withColumn("slice", F.lit(0)), segs).select("entity_id", F.col("segm.start_seq").alias("a"), F.col("segm.end_seq").alias("b"), "plateau", "seq")
     # runs of one plateau inside a segment
     runs = inside.groupBy("entity_id", "a", "b", "plateau").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
     runs = cut_lineage(runs.filter("n >= 2"))
-    r = S.adjacent(S.add_slice(runs, P.slice_ms, "start_seq"), ["start_seq", "end_seq", "a"], **BY_START)
+    r = S.adjacent(S.derived_slice(runs, P.slice_ms, "start_seq"), ["start_seq", "end_seq", "a"], **BY_START)
     same = lambda side: F.col(f"{side}.a") == F.col("a")
     cut = lambda x, y: F.floor((x + y) / 2)
     p0 = F.when(same("prev"), cut(F.col("prev.end_seq"), F.col("start_seq")) + 1).otherwise(F.col("a"))
     p1 = F.when(same("next"), cut(F.col("end_seq"), F.col("next.start_seq"))).otherwise(F.col("b"))
     pieces = r.withColumn("p0", p0).withColumn("p1", p1).withColumn("split", F.coalesce(same("prev"), F.lit(False)) | F.coalesce(same("next"), F.lit(False)))
     pieces = pieces.filter(F.col("p1") - F.col("p0") >= P.min_run).select("entity_id", "plateau", F.col("p0").alias("start_seq"), F.col("p1").alias("end_seq"), "split")
-    m = S.adjacent(S.add_slice(pieces, P.slice_ms, "start_seq"), ["plateau", "end_seq"], **BY_START)
+    m = S.adjacent(S.derived_slice(pieces, P.slice_ms, "start_seq"), ["plateau", "end_seq"], **BY_START)
     new = F.col("prev").isNull() | (F.col("prev.plateau") != F.col("plateau")) | (F.col("start_seq") - F.col("prev.end_seq") > 12 * P.second)
     m = S.islands(m, new, "piece", **BY_START)
     g = m.groupBy("entity_id", "piece").agg(F.max("plateau").alias("plateau"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.count("*").alias("parts"), F.max("split").alias("split"))
