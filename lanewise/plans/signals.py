@@ -437,15 +437,20 @@ def clean_track(spark, sf):
 
 @query("peak_pick_mad")
 def peak_pick_mad(spark, sf):
-    peaks = G.peaks(sliced_track(spark, sf).select("entity_id", "slice", "seq", "event_id", "y"), "y", 9, 3.0)
-    return separate_peaks(peaks, 3).withColumn("z", r6(F.col("z")))
+    peaks = G.peaks(sliced_track(spark, sf).select("entity_id", "slice", "seq", "event_id", "y"), "y", 9, 3.0, 3)
+    kept = peaks.filter("lone").select("entity_id", "event_id", "seq", "z").unionByName(separate_clusters(peaks.filter("NOT lone"), 3))
+    return kept.withColumn("z", r6(F.col("z")))
 
 
 def separate_peaks(peaks, sep: int):
     """Left to right: a peak closer than `sep` ranks to the last kept one replaces it if higher."""
-    from ..operators.fold import fold
     df = S.adjacent(peaks, ["rank"])
-    df = S.islands(df, F.coalesce(F.col("rank") - F.col("prev.rank") >= sep, F.lit(False)), "cluster")
+    return separate_clusters(S.islands(df, F.coalesce(F.col("rank") - F.col("prev.rank") >= sep, F.lit(False)), "cluster"), sep)
+
+
+def separate_clusters(df, sep: int):
+    """The same where peaks closer than `sep` to the one before are known to be of its cluster."""
+    from ..operators.fold import fold
     df = df.select("entity_id", "cluster", "seq", "event_id", "rank", "z")
 
     def emit(state):
