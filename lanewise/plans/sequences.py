@@ -97,10 +97,10 @@ def verdict(deep, wide):
     return F.when(deep & wide, "x@").when(deep, "d@").when(wide, "w@").otherwise("*")
 
 
-def endings(spark, sf):
+def endings(spark, sf, lad=None):
     """Evidence cascade for the last hit: own landing, net death, near kink, race, '?'."""
     t = track(spark, sf)
-    lad = ladder(spark, sf)
+    lad = ladder(spark, sf) if lad is None else lad
     hits = t.filter(is_hit()).groupBy("entity_id").agg(F.max(F.struct("seq", "event_id")).alias("h"))
     last = hits.join(lad.select("event_id", "lx", "ly"), F.col("h.event_id") == F.col("event_id")).select("entity_id", F.col("h.seq").alias("c"), "lx", "ly")
     tail = t.join(hits.select("entity_id", F.col("h.seq").alias("c")), "entity_id").filter(F.col("seq") >= F.col("c")).groupBy("entity_id").agg(
@@ -372,12 +372,12 @@ def point_signals(spark, sf):
     n_x = x.filter("strict").groupBy("entity_id").agg(F.count("*").alias("n_x"))
     early = x.join(calls.select("entity_id", "serve_seq"), "entity_id").groupBy("entity_id").agg(
         count_if(F.col("end_seq") < F.col("serve_seq")).alias("pre"), count_if(F.col("end_seq") >= F.col("serve_seq")).alias("spine"))
-    lad = ladder(spark, sf)
+    lad = cut_lineage(ladder(spark, sf).select("entity_id", "event_id", "src", "digit", "hx", "hy", "nx", "ny", "lx", "ly"))
     worth = F.create_map(*[F.lit(v) for kv in LADDER_QUALITY.items() for v in kv])
     d = lad.groupBy("entity_id").agg(F.count("*").alias("n_shots"), F.avg(F.try_element_at(worth, F.col("src"))).alias("dir_quality"), F.avg((F.col("digit") == "?").cast("double")).alias("dirs_refused"),
                                      F.avg(F.hypot(F.col("nx") - F.col("hx"), F.col("ny") - F.col("hy"))).alias("dist"))
     hits = track(spark, sf).filter(is_hit()).groupBy("entity_id").agg(((F.max("seq") - F.min("seq")) / P.second / F.greatest(F.count("*") - 1, F.lit(1))).alias("shot_gap"))
-    e = endings(spark, sf).select("entity_id", "ending")
+    e = endings(spark, sf, lad).select("entity_id", "ending")
     j = calls.join(q, "entity_id")
     for part in (n_x, early, d, hits, e):
         j = j.join(part, "entity_id", "left")
