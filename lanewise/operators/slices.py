@@ -142,10 +142,10 @@ def running_sum(df: DataFrame, sums: dict[str, Column], keys: Sequence[str] = KE
 def carry(df: DataFrame, values: dict[str, Column], forward: bool = True, inclusive: bool = True,
           keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """Adds the nearest non-null value before (or after) each row."""
-    edge = 0 if inclusive else (-1 if forward else 1)
-    w = slice_window(keys, order, one_slice(df))
-    w = w.rowsBetween(Window.unboundedPreceding, edge) if forward else w.rowsBetween(edge, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
+    edge = 0 if inclusive else -1
+    # backwards in reverse order: a frame that runs on to the end would be gone through again for every row
+    w = slice_window(keys, order if forward else [F.desc(c) for c in order], one_slice(df)).rowsBetween(Window.unboundedPreceding, edge)
+    pick = F.last
     tmp = {f"_v_{n}": c for n, c in values.items()}
     base = df.withColumns(tmp)
     for n in values:
@@ -156,8 +156,7 @@ def carry(df: DataFrame, values: dict[str, Column], forward: bool = True, inclus
     agg = F.max_by if forward else F.min_by
     summ = base.groupBy(*keys, "slice").agg(
         *[agg(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_s_{n}") for n in values])
-    a = _across(keys)
-    a = a.rowsBetween(Window.unboundedPreceding, -1) if forward else a.rowsBetween(1, Window.unboundedFollowing)
+    a = (_across(keys) if forward else Window.partitionBy(*keys).orderBy(F.desc("slice"))).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*keys, "slice", *[pick(f"_s_{n}", True).over(a).alias(f"_c_{n}") for n in values])
     out = base.join(summ, [*keys, "slice"])
     return (out.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})

@@ -77,9 +77,9 @@ LADDER_SQL = f"""{HITS_SQL}, lad AS (SELECT h.group_id, h.entity_id, h.event_id,
     coalesce(land_near, contact, "cross", land_far, '?') AS digit FROM lad)"""
 
 
-def ladder(spark, sf):
+def ladder(spark, sf, t=None):
     """Each hit with its landing, the reads of every rung, and the committed digit."""
-    df = hit_frames(spark, sf).filter(is_hit())
+    df = hit_frames(spark, sf, t).filter(is_hit())
     before = F.col("nxt").isNull() | (F.struct("land.seq", "land.event_id") < F.struct("nxt.seq", "nxt.event_id"))
     df = df.withColumn("land", F.when(before, F.col("land")))
     hx, hy, lx, ly, nx, ny = (F.col(c) for c in ("cx", "cy", "land.cx", "land.cy", "nxt.cx", "nxt.cy"))
@@ -230,8 +230,8 @@ def track_quality(spark, sf):
     return quality(spark, sf).select("entity_id", "n", r6(F.col("coverage")).alias("coverage"), "max_hole", "n_holes", r6(F.col("mean_gap")).alias("mean_gap"))
 
 
-def quality(spark, sf):
-    df = S.adjacent(sliced_track(spark, sf), ["seq"])
+def quality(spark, sf, t=None):
+    df = S.adjacent(sliced_track(spark, sf) if t is None else t, ["seq"])
     gap = F.col("seq") - F.col("prev.seq")
     span = (F.max("seq") - F.min("seq")) / P.second
     return df.groupBy("group_id", "entity_id").agg(F.count("*").alias("n"), (F.count("*") / (span + 1)).alias("coverage"), F.coalesce(F.max(gap), F.lit(0)).alias("max_hole"),

@@ -15,7 +15,7 @@ from ..operators.stencil import pair, whole
 from ..presets import (CENTER_X, COURT_L, DAY, FLIP_COST, FLIP_SLOTS, HOUR, LADDER_QUALITY, NET_Y, SIDE_L, SIDE_R, TRACK, VOTE_LANDING,
                        VOTE_SERVE, VOTE_TOUCH)
 from ..session import cut_lineage
-from ..sources.tables import TRACK_SQL, sliced_track, table, track
+from ..sources.tables import TRACK_SQL, sliced_track, table, track, written_track
 from .aggregates import ladder, quality
 from .registry import query
 from .registry import r6 as q6
@@ -30,11 +30,11 @@ TAIL_SQL = f"""lc AS (SELECT entity_id, max((seq, event_id)) AS c FROM t WHERE k
   tl AS (SELECT * FROM (SELECT *, max(CASE WHEN g > {FLIGHT_HOLE} OR st / (g / {P.frame}::DOUBLE) > {TELEPORT} THEN 1 ELSE 0 END) OVER w AS bad FROM ta {W_SQL}) WHERE bad = 0)"""
 
 
-def flight_tail(spark, sf):
+def flight_tail(spark, sf, t=None):
     """Contiguous samples after the last hit of each entity, cut at the first hole or jump.
 
     Only the hours after one hit are kept before the window, which bounds its size."""
-    t = track(spark, sf)
+    t = track(spark, sf) if t is None else t
     last = t.filter(is_hit()).groupBy("entity_id").agg(F.max("seq").alias("c"))
     t = t.join(last, "entity_id").filter((F.col("seq") > F.col("c")) & (F.col("seq") <= F.col("c") + FLIGHT_CAP))
     w = Window.partitionBy("entity_id").orderBy("seq", "event_id")
@@ -75,10 +75,10 @@ def race(tail):
     return f.withColumn("ts", F.expr(_TS)).withColumn("tb", F.expr(_TB)).withColumn("call", F.expr(_RACE))
 
 
-def kinks(spark, sf):
+def kinks(spark, sf, t=None):
     """First near-half V-cusp within flight time of each entity's last hit."""
-    last = track(spark, sf).filter(is_hit()).groupBy("entity_id").agg(F.max("seq").alias("c"))
-    k = cusp_rows(spark, sf).join(last, "entity_id")
+    last = (track(spark, sf) if t is None else t).filter(is_hit()).groupBy("entity_id").agg(F.max("seq").alias("c"))
+    k = cusp_rows(spark, sf, t).join(last, "entity_id")
     k = k.filter((F.col("seq") > F.col("c") + 2 * P.frame) & (F.col("seq") <= F.col("c") + 4 * P.recv) & (F.col("straddle") <= 4 * DAY)
                  & (F.col("swing") >= NEAR_SWING) & (F.col("cy") > NET_Y + 1) & (F.col("cy") < COURT_L + 8.0))
     m = F.min(F.struct("seq", "event_id", "cx", "cy")).alias("m")
@@ -97,16 +97,16 @@ def verdict(deep, wide):
     return F.when(deep & wide, "x@").when(deep, "d@").when(wide, "w@").otherwise("*")
 
 
-def endings(spark, sf, lad=None):
+def endings(spark, sf, lad=None, shared=None):
     """Evidence cascade for the last hit: own landing, net death, near kink, race, '?'."""
-    t = track(spark, sf)
+    t = track(spark, sf) if shared is None else shared
     lad = ladder(spark, sf) if lad is None else lad
     hits = t.filter(is_hit()).groupBy("entity_id").agg(F.max(F.struct("seq", "event_id")).alias("h"))
     last = hits.join(lad.select("event_id", "lx", "ly"), F.col("h.event_id") == F.col("event_id")).select("entity_id", F.col("h.seq").alias("c"), "lx", "ly")
     tail = t.join(hits.select("entity_id", F.col("h.seq").alias("c")), "entity_id").filter(F.col("seq") >= F.col("c")).groupBy("entity_id").agg(
         F.count("*").alias("n"), F.max(F.struct("seq", "event_id", "cy")).alias("z"))
-    k = kinks(spark, sf).select("entity_id", F.col("cx").alias("kx"), F.col("cy").alias("ky"))
-    r = race(flight_tail(spark, sf)).select("entity_id", "call")
+    k = kinks(spark, sf, shared).select("entity_id", F.col("cx").alias("kx"), F.col("cy").alias("ky"))
+    r = race(flight_tail(spark, sf, shared)).select("entity_id", "call")
     j = last.join(tail, "entity_id", "left").join(k, "entity_id", "left").join(r, "entity_id", "left")
     wide = lambda c: ~F.col(c).between(SIDE_L - OUT, SIDE_R + OUT)
     net = (F.col("n") >= 3) & (F.abs(F.col("z.cy") - NET_Y) < 1.5) & (F.col("z.seq") - F.col("c") <= 4 * P.recv)
@@ -159,9 +159,9 @@ def alternation_map(spark, sf):
 LAUNCH_WIN, LAUNCH_GAP, LAUNCH_SPAN, LAUNCH_MONO = 2 * DAY, P.hole, 4.0, 0.75
 
 
-def launches(spark, sf):
+def launches(spark, sf, t=None):
     """First start whose contiguous look-ahead passes the level mostly one way."""
-    df = S.spread(track(spark, sf).select("entity_id", "seq", "event_id", "cy"), LAUNCH_WIN, P.slice_ms)
+    df = S.spread((track(spark, sf) if t is None else t).select("entity_id", "seq", "event_id", "cy"), LAUNCH_WIN, P.slice_ms)
     found = whole(df, ["entity_id", "slice"], ["seq", "event_id"], first_starts, "entity_id long, seq long, event_id long, end_ string, cy double")
     return found.groupBy("entity_id").agg(F.min(F.struct("seq", "event_id", "end_", "cy")).alias("m")).select("entity_id", "m.seq", "m.event_id", "m.end_", "m.cy")
 
@@ -195,14 +195,14 @@ def first_launch(spark, sf):
     return launches(spark, sf).select("entity_id", "seq", "event_id", "end_", r6(F.col("cy")).alias("cy"))
 
 
-def serve_calls(spark, sf):
+def serve_calls(spark, sf, shared=None):
     """Ball launch first; else a settled entity with a peak; else a refusal with its reason."""
-    t = track(spark, sf)
-    la = launches(spark, sf).select("entity_id", F.col("seq").alias("f0"), F.col("end_").alias("ball_end"), F.col("cy").alias("launch_cy"))
+    t = track(spark, sf) if shared is None else shared
+    la = launches(spark, sf, shared).select("entity_id", F.col("seq").alias("f0"), F.col("end_").alias("ball_end"), F.col("cy").alias("launch_cy"))
     pre = t.join(la, "entity_id").filter((F.col("seq") >= F.col("f0") - 2 * P.second) & (F.col("seq") <= F.col("f0")))
     stance = pre.groupBy("entity_id").agg(F.count("*").alias("ns"), F.median("cx").alias("sx")).filter((F.col("ns") >= 2) & (F.abs(F.col("sx") - CENTER_X) <= 2.5))
-    st = settled(spark, sf).groupBy("entity_id").agg(F.min(F.struct("start_seq", "mx", "my")).alias("s"))
-    tp = toss(sliced_track(spark, sf)).select("entity_id", F.col("seq").alias("toss_seq"), "peak_ratio")
+    st = settled(spark, sf, shared).groupBy("entity_id").agg(F.min(F.struct("start_seq", "mx", "my")).alias("s"))
+    tp = toss(sliced_track(spark, sf) if shared is None else shared).select("entity_id", F.col("seq").alias("toss_seq"), "peak_ratio")
     ids = t.groupBy("entity_id").agg(F.min("seq").alias("first_seq"))
     j = ids.join(la, "entity_id", "left").join(stance, "entity_id", "left").join(st, "entity_id", "left").join(tp, "entity_id", "left")
     players = F.col("s").isNotNull() & (F.col("peak_ratio") >= 1.12)
@@ -366,18 +366,21 @@ def events(spark, sf):
 @query("point_signals")
 def point_signals(spark, sf):
     """The feature vector of every entity, defaults and clamps included."""
-    calls = serve_calls(spark, sf).select("entity_id", "server", "margin", "serve_s", "launch_cy", "src", "side", "serve_seq")
-    q = quality(spark, sf).select("entity_id", "n", "coverage", "max_hole", "n_holes")
-    x, ch = chains(spark, sf)
+    t = written_track(spark, sf)
+    calls = serve_calls(spark, sf, t).select("entity_id", "server", "margin", "serve_s", "launch_cy", "src", "side", "serve_seq")
+    calls = cut_lineage(calls)          # read twice
+    q = quality(spark, sf, t).select("entity_id", "n", "coverage", "max_hole", "n_holes")
+    x, _ = chains(spark, sf, t)
     n_x = x.filter("strict").groupBy("entity_id").agg(F.count("*").alias("n_x"))
     early = x.join(calls.select("entity_id", "serve_seq"), "entity_id").groupBy("entity_id").agg(
         count_if(F.col("end_seq") < F.col("serve_seq")).alias("pre"), count_if(F.col("end_seq") >= F.col("serve_seq")).alias("spine"))
-    lad = cut_lineage(ladder(spark, sf).select("entity_id", "event_id", "src", "digit", "hx", "hy", "nx", "ny", "lx", "ly"))
+    lad = cut_lineage(ladder(spark, sf, t).select("entity_id", "event_id", "src", "digit", "hx", "hy", "nx", "ny", "lx", "ly")
+                      .sortWithinPartitions("entity_id", "event_id"))           # averages add up in one order
     worth = F.create_map(*[F.lit(v) for kv in LADDER_QUALITY.items() for v in kv])
     d = lad.groupBy("entity_id").agg(F.count("*").alias("n_shots"), F.avg(F.try_element_at(worth, F.col("src"))).alias("dir_quality"), F.avg((F.col("digit") == "?").cast("double")).alias("dirs_refused"),
                                      F.avg(F.hypot(F.col("nx") - F.col("hx"), F.col("ny") - F.col("hy"))).alias("dist"))
     hits = track(spark, sf).filter(is_hit()).groupBy("entity_id").agg(((F.max("seq") - F.min("seq")) / P.second / F.greatest(F.count("*") - 1, F.lit(1))).alias("shot_gap"))
-    e = endings(spark, sf, lad).select("entity_id", "ending")
+    e = endings(spark, sf, lad, t).select("entity_id", "ending")
     j = calls.join(q, "entity_id")
     for part in (n_x, early, d, hits, e):
         j = j.join(part, "entity_id", "left")

@@ -56,8 +56,8 @@ CUSP_SQL = f"""{MA_SQL}, {grad_sql('ma', 'ys', 'v', HOUR, 'cg')},
       AND lag(v) OVER w - lead(v) OVER w >= CASE WHEN ys >= {FAR_Y} THEN {NEAR_SWING} ELSE {FAR_SWING} END)"""
 
 
-def cusp_rows(spark, sf):
-    return G.cusps(sliced_track(spark, sf), P, NEAR_SWING, FAR_SWING, FAR_Y)
+def cusp_rows(spark, sf, t=None):
+    return G.cusps(sliced_track(spark, sf) if t is None else t, P, NEAR_SWING, FAR_SWING, FAR_Y)
 
 
 @query("cusp_candidates", f"WITH {TRACK_SQL}, {CUSP_SQL} SELECT entity_id, event_id, {q6('swing')} AS swing FROM cu")
@@ -173,10 +173,10 @@ CHAIN_SQL = f"""{EDGE_SQL}, {cross_sql(False, 'x')}, {cross_sql(True, 'xw')},
   best AS (SELECT ch.* FROM ch JOIN pick USING (entity_id, chain))"""
 
 
-def chains(spark, sf):
+def chains(spark, sf, t=None):
     """All crossings and the chained strict ones; the crossing table is small and used
     many times, so its lineage is cut."""
-    x = cut_lineage(G.crossings(sliced_track(spark, sf), P))
+    x = cut_lineage(G.crossings(sliced_track(spark, sf) if t is None else t, P))
     return x, cut_lineage(G.split_chains(x.filter("strict"), P))
 
 
@@ -232,9 +232,9 @@ SETTLE_SQL = f"""st AS (SELECT entity_id, s AS start_seq, count(*) AS n, median(
     GROUP BY 1, 2 HAVING n >= 2 AND abs(mx - {CENTER_X}) <= 2.5 AND my BETWEEN 5 AND 18)"""
 
 
-def settled(spark, sf):
+def settled(spark, sf, t=None):
     """Sliding windows in which the entity is tracked and stands inside the band."""
-    df = S.spread(track(spark, sf).select("entity_id", "seq", "event_id", "cx", "cy"), P.settle, P.slice_ms)
+    df = S.spread((track(spark, sf) if t is None else t).select("entity_id", "seq", "event_id", "cx", "cy"), P.settle, P.slice_ms)
     g = whole(df.drop("own"), ["entity_id", "slice"], ["seq", "event_id"], settle_windows, "entity_id long, start_seq long, n long, mx double, my double")
     return g.filter((F.abs(F.col("mx") - CENTER_X) <= 2.5) & F.col("my").between(5, 18))
 
@@ -488,9 +488,9 @@ def is_hit():
     return F.col("kind") == "purchase"
 
 
-def hit_frames(spark, sf):
+def hit_frames(spark, sf, t=None):
     """Track rows with the hit at or before them, the next hit after, and the next landing."""
-    df = sliced_track(spark, sf)
+    df = sliced_track(spark, sf) if t is None else t
     df = S.carry(df, {"hit": F.when(is_hit(), F.struct("seq", "event_id", "cx", "cy"))})
     df = S.carry(df, {"nxt": F.when(is_hit(), F.struct("seq", "event_id", "cx", "cy")),
                       "land": F.when(F.col("kind") == "view", F.struct("seq", "event_id", "cx", "cy"))}, forward=False, inclusive=False)
