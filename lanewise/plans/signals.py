@@ -362,9 +362,9 @@ def bool_smooth_runs(spark, sf):
 
 def in_segments(samples, segs):
     """Samples joined with the (disjoint) segment containing them, by carrying segments."""
-    a = samples.select("*", F.lit(1).alias("_k"), F.lit(None).cast("struct<start_seq:bigint,end_seq:bigint>").alias("_s")).drop("slice")
+    a = samples.select("*", F.lit(1).alias("_k"), F.lit(None).cast("struct<seg:bigint,start_seq:bigint,end_seq:bigint>").alias("_s")).drop("slice")
     b = segs.select("entity_id", F.col("start_seq").alias("seq"), F.lit(-1).cast("long").alias("event_id"), F.lit(0).alias("_k"),
-                    F.struct("start_seq", "end_seq").alias("_s"))
+                    F.struct("seg", "start_seq", "end_seq").alias("_s"))
     both = S.derived_slice(a.unionByName(b, allowMissingColumns=True), P.slice_ms)
     both = S.carry(both, {"segm": F.col("_s")}, order=("seq", "_k", "event_id"))
     return both.filter((F.col("_k") == 1) & (F.col("seq") <= F.col("segm.end_seq"))).drop("_k", "_s")

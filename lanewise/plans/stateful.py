@@ -216,11 +216,12 @@ POINTS = ["match_id", "points", "conflicts", "underivable"]
 
 
 # ---- plateaus ----
-def plateaus(spark, sf, rows=None, name="event_id"):
-    """Plateau of every row, called by its column `name`. An entity of more than `rows` rows is many tasks, whether or not it ever pauses."""
+def plateaus(spark, sf, rows=None, name="event_id", call=None):
+    """Plateau of every row, called by its column `name`, or by the whole number `call`, then named so. An entity of more than `rows` rows is
+    many tasks, whether or not it ever pauses."""
     level = (F.floor(F.col("x") / 25) * 25).cast("double")
     df = sliced_track(spark, sf, rows).select("entity_id", "slice", F.lit(0).cast("long").alias("part"), "seq", F.col("event_id").alias("tie"),
-                                               F.col(name).alias("event_id"), level.alias("level"), (F.col("kind") != "error").alias("present"))
+                                               (F.col(name) if call is None else call).alias("event_id"), level.alias("level"), (F.col("kind") != "error").alias("present"))
     return composed_fold(df, ["entity_id"], ["seq", "tie"], LEVELS).select("entity_id", F.col("event_id").alias(name), F.col("plateau").cast("long").alias("plateau"))
 
 
@@ -265,27 +266,50 @@ def plateau_online(spark, sf):
     return drain(timed_fold(df, ["entity_id", "part"], ["seq", "event_id"], LEVELS, "seq", "1 day", P.absent_close), "plateau", end).drop("part")
 
 
+BY_RUN = dict(order=("start_seq", "plateau"))      # plateaus are numbered in the order of rows, so runs that start at one time stay in order too
+LAST_LETTER = 0xD7FF                               # of the code points from 'a' on that stand in one stretch
+
+
+def piece_name(i):
+    """The letter of a segment's run i (from 0): a, b, ... and on by code points; where those end, its number."""
+    letter = F.decode(F.unhex(F.lpad(F.hex(i + ord("a")), 4, "0")), "UTF-16BE")
+    return F.when(i <= LAST_LETTER - ord("a"), letter).otherwise(F.concat(F.lit("."), i.cast("string")))
+
+
 @query("segment_split_merge")
 def segment_split_merge(spark, sf):
-    """Segments cut at plateau handovers, slivers dropped, neighbours of one plateau merged."""
+    """Segments cut at plateau handovers; those mostly absent and slivers dropped, neighbours of one plateau merged.
+
+    src tells what a row is made of: segments as `bool_smooth_runs` numbers them, each with the letter of its piece if it was cut, such as 4b+7."""
     segs = cut_lineage(flag_segments(spark, sf).select("entity_id", "seg", "start_seq", "end_seq"))
-    lab = plateaus(spark, sf, name="seq").filter("plateau >= 0").withColumn("event_id", F.lit(0).cast("long"))       # of a time, it does not matter which row is first
+    present = F.coalesce(F.col("kind") != "error", F.lit(False)).cast("long")
+    lab = plateaus(spark, sf, name="call", call=F.col("seq") * 2 + present)          # of a time, it does not matter which row is first
+    lab = lab.select("entity_id", F.shiftright("call", 1).alias("seq"), F.col("call").bitwiseAND(1).alias("present"), "plateau", F.lit(0).cast("long").alias("event_id"))
     from .signals import in_segments
-    inside = in_segments(lab.withColumn("slice", F.lit(0)), segs).select("entity_id", F.col("segm.start_seq").alias("a"), F.col("segm.end_seq").alias("b"), "plateau", "seq")
-    # runs of one plateau inside a segment
-    runs = inside.groupBy("entity_id", "a", "b", "plateau").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
-    runs = cut_lineage(runs.filter("n >= 2"))
-    r = S.adjacent(S.derived_slice(runs, P.slice_ms, "start_seq"), ["start_seq", "end_seq", "a"], **BY_START)
-    same = lambda side: F.col(f"{side}.a") == F.col("a")
-    cut = lambda x, y: F.floor((x + y) / 2)
-    p0 = F.when(same("prev"), cut(F.col("prev.end_seq"), F.col("start_seq")) + 1).otherwise(F.col("a"))
-    p1 = F.when(same("next"), cut(F.col("end_seq"), F.col("next.start_seq"))).otherwise(F.col("b"))
-    pieces = r.withColumn("p0", p0).withColumn("p1", p1).withColumn("split", F.coalesce(same("prev"), F.lit(False)) | F.coalesce(same("next"), F.lit(False)))
-    pieces = pieces.filter(F.col("p1") - F.col("p0") >= P.min_run).select("entity_id", "plateau", F.col("p0").alias("start_seq"), F.col("p1").alias("end_seq"), "split")
+    inside = in_segments(lab.withColumn("slice", F.lit(0)), segs).select("entity_id", "segm.seg", F.col("segm.start_seq").alias("a"), F.col("segm.end_seq").alias("b"), "plateau", "seq", "present")
+    # runs of one plateau inside a segment; its rows without one (-1) count for the share that is present
+    runs = inside.groupBy("entity_id", "seg", "a", "b", "plateau").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"), F.sum("present").alias("present"))
+    runs = cut_lineage(runs)
+    there = runs.groupBy("entity_id", "a").agg((F.sum("present") / F.sum("n")).alias("share")).filter(F.col("share") >= P.present_share)
+    # from its first to its last row a run has `confirm` (2) rows if and only if it has two of its own
+    runs = runs.filter((F.col("plateau") >= 0) & (F.col("n") >= LEVELS.confirm)).join(there, ["entity_id", "a"], "left_semi")
+    r = S.adjacent(S.derived_slice(cut_lineage(runs), P.slice_ms, "start_seq"), ["start_seq", "end_seq", "a"], **BY_RUN)
+    same = lambda side: F.coalesce(F.col(f"{side}.a") == F.col("a"), F.lit(False))
+    mid = lambda x, y: F.floor((x + y) / 2)
+    r = S.running_sum(r, {"i": F.lit(1)}, **BY_RUN)
+    r = S.carry(r, {"first": F.when(~same("prev"), F.col("i"))}, **BY_RUN)
+    p0 = F.when(same("prev"), mid(F.col("prev.end_seq"), F.col("start_seq")) + 1).otherwise(F.col("a"))
+    p1 = F.when(same("next"), mid(F.col("end_seq"), F.col("next.start_seq"))).otherwise(F.col("b"))
+    tick = F.when(same("next"), 1).otherwise(P.frame)           # to where the next piece starts, or the segment's last frame ends
+    pieces = r.withColumns({"p0": p0, "p1": p1, "tick": tick, "split": same("prev") | same("next")}).filter(F.col("p1") + F.col("tick") - F.col("p0") >= P.min_run)
+    src = F.concat(F.col("seg").cast("string"), F.when(F.col("split"), piece_name(F.col("i") - F.col("first"))).otherwise(""))
+    pieces = pieces.select("entity_id", "plateau", F.col("p0").alias("start_seq"), F.col("p1").alias("end_seq"), "split", src.alias("src"))
     m = S.adjacent(S.derived_slice(pieces, P.slice_ms, "start_seq"), ["plateau", "end_seq"], **BY_START)
     new = F.col("prev").isNull() | (F.col("prev.plateau") != F.col("plateau")) | (F.col("start_seq") - F.col("prev.end_seq") > 12 * P.second)
     m = S.islands(m, new, "piece", **BY_START)
-    g = m.groupBy("entity_id", "piece").agg(F.max("plateau").alias("plateau"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.count("*").alias("parts"), F.max("split").alias("split"))
+    lineage = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_seq", "src"))), lambda p: p["src"]), "+")
+    g = m.groupBy("entity_id", "piece").agg(F.max("plateau").alias("plateau"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.count("*").alias("parts"),
+                                            F.max("split").alias("split"), lineage.alias("src"))
     return g.withColumn("action", F.when(F.col("parts") > 1, "merged").when(F.col("split"), "split").otherwise("keep")).drop("split")
 
 

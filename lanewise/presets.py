@@ -71,6 +71,7 @@ class Track:
     settle_step: int = 2 * HOUR
     merge_gap: int = 8 * HOUR * 6 // 10
     min_run: int = 24 * HOUR
+    present_share: float = 0.30     # a segment in which fewer rows are present is no segment
     absent_close: int = 120 * HOUR  # 15 s
     cross_gap: int = 24 * HOUR
     cross_span_min: float = 5.0
